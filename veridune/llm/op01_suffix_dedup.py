@@ -99,7 +99,7 @@ def sort_suffixes(text: np.ndarray, n: int, starts: np.ndarray, depth: int, rank
         yield pos
 
 
-def least_documents(contents: list[bytes], least: np.ndarray, windows_of: np.ndarray, _anchors: np.ndarray, length: int) -> np.ndarray:
+def least_documents(contents: list[bytes], least: np.ndarray, windows_of: np.ndarray, length: int) -> np.ndarray:
     """For each window (a suffix start) the least document of all suffixes with the same first ``length`` bytes."""
     text = np.frombuffer(b"".join(contents) + bytes(length + 8 * PERIOD), np.uint8)
     n = len(text) - length - 8 * PERIOD

@@ -93,27 +93,20 @@ class SuffixAutomaton:
                 yield n, None
 
 
-def least_documents(contents: list[bytes], least: np.ndarray, windows_of: np.ndarray, anchors: np.ndarray, length: int) -> np.ndarray:
+def least_documents(contents: list[bytes], least: np.ndarray, windows_of: np.ndarray, length: int) -> np.ndarray:
+    """Builds one shard's automaton and streams its fragments through it."""
+    names: dict[bytes, int] = {}
+    shard = [[names.setdefault(w, len(names)) for w in c.split(b" ")] for c in contents]
+    automaton = SuffixAutomaton()
+    for words, doc in zip(shard, least.tolist(), strict=True):
+        automaton.add(words, doc)
+    automaton.settle()
     out = np.empty(int(windows_of.sum()), np.int64)
-    start = np.cumsum(windows_of) - windows_of
-    order = np.argsort(anchors, kind="stable").tolist()
     at = 0
-    while at < len(order):
-        # a shard: whole anchors, about SHARD_WORDS words
-        to, words = at, 0
-        while to < len(order) and (words < SHARD_WORDS or anchors[order[to]] == anchors[order[to - 1]]):
-            words += int(windows_of[order[to]]) + length - 1
-            to += 1
-        names: dict[bytes, int] = {}
-        shard = [(i, [names.setdefault(w, len(names)) for w in contents[i].split(b" ")]) for i in order[at:to]]
-        automaton = SuffixAutomaton()
-        for i, words_of in shard:
-            automaton.add(words_of, int(least[i]))
-        automaton.settle()
-        for i, words_of in shard:
-            got = [d for _, d in automaton.statistics(words_of, length)][length - 1 :]
-            out[start[i] : start[i] + windows_of[i]] = got
-        at = to
+    for words in shard:
+        got = [d for _, d in automaton.statistics(words, length)][length - 1 :]
+        out[at : at + len(got)] = got
+        at += len(got)
     return out
 
 
@@ -124,7 +117,7 @@ def automaton_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     removed), kept binary (kept words joined by one space).  Words are [^\\x20\\x09-\\x0D]+ unchanged.  Null text: no word.
     Null id: after every other id.  Rows with one id are one document.  Texts of fewer words are kept.
     """
-    out = windows.remove_repeats(docs, windows.Words(length, min(5, length)), least_documents, id_col, text)
+    out = windows.remove_repeats(docs, windows.Words(length, min(5, length), SHARD_WORDS), least_documents, id_col, text)
     return out.withColumnRenamed("n_units", "n_words")
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
+
 BLOCK_SCHEMA = "block long, n_rows long, n_bytes long, payload binary"
 NO_ID = np.iinfo(np.int64).max  # stands for a null id inside operators: after every other id, null again in results
 

@@ -39,10 +39,10 @@ def _unnpz(blob: bytes, **kinds) -> dict[str, np.ndarray]:
 
 
 class Bytes:
-    """Windows over the UTF-8 bytes of a text."""
+    """Windows over the UTF-8 bytes of a text; shard: units resolved at once."""
 
-    def __init__(self, length: int = 50, k: int = 24):
-        self.length, self.k = length, k
+    def __init__(self, length: int = 50, k: int = 24, shard: int = 1 << 20):
+        self.length, self.k, self.shard = length, k, shard
 
     def units(self, buf, off):
         """(value function, unit offsets of the texts, first byte of each unit or None, end byte of each unit or None)"""
@@ -50,10 +50,10 @@ class Bytes:
 
 
 class Words:
-    """Windows over words [^\\x20\\x09-\\x0D]+."""
+    """Windows over words [^\\x20\\x09-\\x0D]+; shard: units resolved at once."""
 
-    def __init__(self, length: int = 13, k: int = 5):
-        self.length, self.k = length, k
+    def __init__(self, length: int = 13, k: int = 5, shard: int = 20_000):
+        self.length, self.k, self.shard = length, k, shard
 
     def units(self, buf, off):
         s, e, w = grams.words_of(buf, off)
@@ -177,6 +177,26 @@ def _fragment_rows(text: str, id_col: str, unit, n_buckets: int):
     return rows
 
 
+def _by_shard(contents: list[bytes], least: np.ndarray, windows: np.ndarray, anchors: np.ndarray, unit, resolver: Callable) -> np.ndarray:
+    """The least document of each window; the resolver sees one shard of whole anchors at a time, to bound memory."""
+    out = np.empty(int(windows.sum()), np.int64)
+    start = np.cumsum(windows) - windows
+    order = np.argsort(anchors, kind="stable")
+    units = np.cumsum(windows[order] + unit.length - 1)
+    last = np.append(anchors[order][1:] != anchors[order][:-1], True)
+    at = 0
+    while at < len(order):
+        base = units[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(units, base + unit.shard, "right")))
+        to += int(np.argmax(last[to - 1 :]))
+        i = order[at:to]
+        got = resolver([contents[j] for j in i], least[i], windows[i], unit.length)
+        n = windows[i]
+        out[np.repeat(start[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = got
+        at = to
+    return out
+
+
 def _resolved(unit, resolver: Callable):
     kinds = {"doc": np.int64, "seq": np.int32, "first": np.int64, "count": np.int32, "size": np.int64, "text": np.uint8, "low": np.uint32}
 
@@ -211,7 +231,7 @@ def _resolved(unit, resolver: Callable):
                 of.append(which)
             least, windows = np.array(least, np.int64), np.array(windows, np.int64)
             start = np.cumsum(windows) - windows
-            found = resolver(contents, least, windows, np.array(low, np.uint32), unit.length)  # least document of each window
+            found = _by_shard(contents, least, windows, np.array(low, np.uint32), unit, resolver)
             earlier = np.concatenate([[0], np.cumsum(found < np.repeat(least, windows))])
             for (block, r), k in zip(rows, of, strict=True):
                 whole = r["doc"] > least[k]
@@ -288,8 +308,8 @@ def _word_units(buf, off):
 def remove_repeats(docs: DataFrame, unit, resolver: Callable, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Cuts every unit covered by a window that also starts in a document of smaller id.
 
-    resolver(contents, least, windows, anchors, length) gets a bucket's distinct fragments, their least documents, their
-    numbers of windows and their anchors, and gives the least document of every window, fragment after fragment.
+    resolver(contents, least, windows, length) gets distinct fragments, their least documents and their numbers of
+    windows, and gives the least document of every window, fragment after fragment.
 
     Returns id_col, n_units, n_removed, spans (byte positions, end exclusive), kept (bytes).  A null text is empty; a null
     id counts as greater than every other id; rows that share an id are one document in comparisons and stay one row each.
