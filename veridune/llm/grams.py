@@ -93,7 +93,7 @@ def window_runs(values_of, offsets: np.ndarray, length: int, k: int, most: int =
         seq_l.append(seq[f])
         first_l.append(at[f])
         count_l.append(np.minimum(most, counts[rep] - part * most))
-        anchor_l.append(m[f])
+        anchor_l.append(mix(m[f]))  # least hashes crowd at the low end; mixed again they are even
     if not seq_l:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
@@ -137,3 +137,30 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         out[at:to] = mix((s[e] - s[a]) * down[a] + (e - a).astype(np.uint64))
         at = to
     return out
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each (possibly overlapping) byte span, starts ascending within slices of any order."""
+    out = np.zeros(len(starts), np.uint64)
+    n = len(buf)
+    if not n or not len(starts):
+        return out
+    up, down = _powers(1 << max(4, int(n + 1).bit_length()))
+    s = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * up[:n], out=s[1:])
+    return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The spans' bytes, one after another."""
+    n = ends - starts
+    return buf[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words joined by single spaces: bytes, and each word's start and end there."""
+    n = ends - starts + 1
+    to = np.cumsum(n)
+    out = gather(np.append(buf, np.uint8(0x20)), starts, np.minimum(ends + 1, len(buf) + 1)) if len(starts) else np.zeros(0, np.uint8)
+    out[to - 1] = 0x20
+    return out, to - n, to - 1

@@ -131,37 +131,37 @@ def _fragment_rows(text: str, id_col: str, unit, n_buckets: int):
         keep = np.flatnonzero(shared[np.searchsorted(uniq, key)])
         keep = keep[np.lexsort((first[keep], ids[seq[keep]]))]  # the least document first
         seq, first, count, key = seq[keep], first[keep], count[keep], key[keep]
-        lo, hi = (first, first + count + span) if us is None else (us[first] if len(first) else first, ue[first + count + span - 1] if len(first) else first)
-        raw = buf.tobytes()
+        if us is not None:
+            buf, us, ue = grams.joined_words(buf, us, ue)
+        lo, hi = (first, first + count + span) if us is None else (us[first], ue[first + count + span - 1])
+        # equal fragments of a greater document are marked here; hashes propose, bytes decide
+        code = grams.span_hashes(buf, lo, hi)
+        order = np.argsort(code, kind="stable")
+        again = np.zeros(len(code), bool)
+        again[order[1:]] = code[order[1:]] == code[order[:-1]]
+        again[order[:-1]] |= code[order[1:]] == code[order[:-1]]
+        local = np.zeros(len(code), bool)
         seen: dict[bytes, int] = {}
-        local, send, content = [], [], []
-        for i, (s, a, b) in enumerate(zip(seq.tolist(), lo.tolist(), hi.tolist(), strict=True)):
-            c = raw[a:b] if us is None else b" ".join(raw[a:b].split())
-            d = seen.setdefault(c, int(ids[s]))
-            if d < ids[s]:
-                local.append(i)
-            else:
-                send.append(i)
-                content.append(c)
-        if local:
-            x = np.array(local)
+        for i in np.flatnonzero(again).tolist():
+            local[i] = seen.setdefault(buf[lo[i] : hi[i]].tobytes(), int(ids[seq[i]])) < ids[seq[i]]
+        x = np.flatnonzero(local)
+        if len(x):
             yield -1, block, MARKS, _npz(seq=seq[x].astype(np.int32), first=first[x].astype(np.int64), count=count[x].astype(np.int32))
-        if not send:
+        x = np.flatnonzero(~local)
+        if not len(x):
             return
-        x = np.array(send)
+        x = x[np.argsort(key[x] >> np.uint64(32), kind="stable")]
         bucket = (key[x] >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        x, bucket = x[order], bucket[order]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cut, np.append(cut[1:], len(x)), strict=True):
-            i, parts = x[a:b], [content[j] for j in order[a:b]]
+            i = x[a:b]
             yield (
                 int(bucket[a]),
                 block,
                 FRAGMENTS,
                 _npz(
                     doc=ids[seq[i]].astype(np.int64), seq=seq[i].astype(np.int32), first=first[i].astype(np.int64), count=count[i].astype(np.int32),
-                    size=np.array([len(p) for p in parts], np.int64), text=np.frombuffer(b"".join(parts), np.uint8), low=(key[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+                    size=(hi[i] - lo[i]).astype(np.int64), text=grams.gather(buf, lo[i], hi[i]), low=(key[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                 ),
             )
 
