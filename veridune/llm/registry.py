@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from . import op01_suffix_dedup as o1
+from . import op03_simhash as o3
 from . import op05_automaton_dedup as o5
+from . import op06_quality_rules as o6
+from . import op10_line_dedup as o10
 
-QUERIES = {"op1_suffix_array_dedup": o1.op1_suffix_array_dedup, "op5_substring_dedup": o5.op5_substring_dedup}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_suffix_array_dedup": o1.op1_suffix_array_dedup,
+    "op3_simhash_near_dedup": o3.op3_simhash_near_dedup,
+    "op5_substring_dedup": o5.op5_substring_dedup,
+    "op6_quality_rules": o6.op6_quality_rules,
+    "op10_line_dedup": o10.op10_line_dedup,
+}
+SQL: dict[str, str] = {"op6_quality_rules": o6.SQL, "op10_line_dedup": o10.SQL}
