@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def _drop(text: str, id_col: str, min_chars: int, out_schema: pa.Schema, counted
                     cols = [store.id_array(np.array(ids, np.int64)), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), kept]
                 else:
                     null = t[text].is_null().combine_chunks() if isinstance(t[text], pa.ChunkedArray) else t[text].is_null()
-                    kept = pa.compute.if_else(null, pa.scalar(None, pa.string()), kept)
+                    kept = pc.if_else(null, pa.scalar(None, pa.string()), kept)
                     cols = [kept if f.name == text else t[f.name].combine_chunks().cast(f.type) if not isinstance(t[f.name].combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(t[f.name].chunks).cast(f.type) for f in out_schema]
                 yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
 

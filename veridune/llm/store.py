@@ -19,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -121,7 +122,7 @@ def _pack(text: str, block_bytes: int):
             t = pa.Table.from_batches([batch]).cast(_large(batch.schema))
             if not t.num_rows:
                 continue
-            lens = pa.compute.fill_null(pa.compute.binary_length(t[text]), 0).to_numpy().astype(np.int64) + 64
+            lens = pc.fill_null(pc.binary_length(t[text]), 0).to_numpy().astype(np.int64) + 64
             ends = np.cumsum(lens)
             at = 0
             while at < t.num_rows:
@@ -149,7 +150,7 @@ def total_bytes(blocks: DataFrame) -> int:
 
 
 def ids_of(table: pa.Table, id_col: str) -> np.ndarray:
-    return pa.compute.fill_null(table[id_col].cast(pa.int64()), NO_ID).to_numpy()
+    return pc.fill_null(table[id_col].cast(pa.int64()), NO_ID).to_numpy()
 
 
 def id_array(ids: np.ndarray) -> pa.Array:
@@ -161,7 +162,7 @@ def texts_of(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
     col = table[text].combine_chunks() if isinstance(table[text], pa.ChunkedArray) else table[text]
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.large_string())
-    col = pa.compute.fill_null(col, "").cast(pa.large_string())
+    col = pc.fill_null(col, "").cast(pa.large_string())
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     data = col.buffers()[2] if len(col) else None
     buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
