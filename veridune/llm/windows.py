@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, unit, resolver: Callable, id_col: str = "doc
     n = max(64, -(-store.total_bytes(blocks) // BUCKET_BYTES))
     anchors = blocks.select("block", "payload").mapInArrow(_anchor_rows(text, id_col, unit, n), "bucket long, block long, keys binary, several binary")
     bits = anchors.groupBy("bucket").applyInArrow(_shared, "block long, bucket long, bits binary")
-    bits = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
+    bits = store.materialize(bits, "bits").groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
     fragments = blocks.select("block", "payload").join(bits, "block", "left").mapInArrow(_fragment_rows(text, id_col, unit, n), "bucket long, block long, kind int, blob binary")
     marks = fragments.groupBy("bucket").applyInArrow(_resolved(unit, resolver), "block long, marks binary")
     marks = store.materialize(marks, "marks", "uncompressed").groupBy("block").agg(F.collect_list("marks").alias("marks"))
