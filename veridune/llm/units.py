@@ -15,6 +15,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _WS = "\t-\r \x85\xa0  -     　"
 _SLOW = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _CUT = re.compile(r" \s| $")
+#: words whose pre-tokens are plain: Latin-1 letters, digits one by one, ASCII marks but the apostrophe
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _CACHE: dict[str, tuple] = {}
 
 
@@ -61,6 +64,8 @@ class UnitEncoder:
                 order.append(x)
             else:
                 cache[x] = y
+        if self.kind == "words":
+            order = self._plain(order)
         for a in range(0, len(order), 1 << 14):
             part = order[a : a + (1 << 14)]
             for u, e in zip(part, self.tokenizer.encode_batch_fast([x if isinstance(x, str) else x.decode() for x in part], add_special_tokens=False), strict=True):
@@ -68,6 +73,25 @@ class UnitEncoder:
                 cache[u] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join([cache[x] for x in u]) for u in split]
 
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Caches words of plain pre-tokens, by the library's model on each lower-cased pre-token; gives back the others."""
+        cache, tokenize, rest = self.cache, self.tokenizer.model.tokenize, []
+        parts: dict[str, bytes] = {}
+        for w in words:
+            s = w.decode()
+            if not _PLAIN.fullmatch(s) or "<|" in s:
+                rest.append(w)
+                continue
+            out = []
+            for p in _PIECE.findall(s.lower()):
+                ids = parts.get(p)
+                if ids is None:
+                    t = tokenize(p)
+                    ids = parts[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t])
+                out.append(ids)
+            cache[w] = b"".join(out)
+        return rest
+
 
 def encoder(path: str, kind: str) -> UnitEncoder:
     """This worker's encoder of that file, kept between tasks."""
