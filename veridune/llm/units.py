@@ -18,6 +18,10 @@ _CUT = re.compile(r" \s| $")
 #: words whose pre-tokens are plain: Latin-1 letters, digits one by one, ASCII marks but the apostrophe
 _PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: byte-level alphabets write a byte as the character of its number, or, where that isn't a visible one, as 256 and on
+_SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_AS = {b: b for b in _SEEN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_LATIN = {c: "".join(chr(_AS[b]) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 _CACHE: dict[str, tuple] = {}
 
 
@@ -86,7 +90,7 @@ class UnitEncoder:
             for p in _PIECE.findall(s.lower()):
                 ids = parts.get(p)
                 if ids is None:
-                    t = tokenize(p)
+                    t = tokenize(p if p.isascii() else p.translate(_LATIN))
                     ids = parts[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t])
                 out.append(ids)
             cache[w] = b"".join(out)
