@@ -34,13 +34,14 @@ def default_path(name: str) -> str:
 class UnitEncoder:
     """Little-endian 32-bit ids of texts; kind "words": white space only separates; kind "bytes": it belongs to what follows."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict = {}
         self.old: dict = {}
+        self.parts: dict[str, bytes] = {}
 
     def units(self, text: str) -> list:
         if self.kind == "words":
@@ -79,8 +80,9 @@ class UnitEncoder:
 
     def _plain(self, words: list[bytes]) -> list[bytes]:
         """Caches words of plain pre-tokens, by the library's model on each lower-cased pre-token; gives back the others."""
-        cache, tokenize, rest = self.cache, self.tokenizer.model.tokenize, []
-        parts: dict[str, bytes] = {}
+        cache, tokenize, rest, parts = self.cache, self.tokenizer.model.tokenize, [], self.parts
+        if len(parts) > self.most:
+            parts.clear()
         for w in words:
             s = w.decode()
             if not _PLAIN.fullmatch(s) or "<|" in s:
