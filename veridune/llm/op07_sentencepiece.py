@@ -7,11 +7,12 @@ shares with the word before, cut back to it and carried on.
 Unigram models: forward scores are best sums of piece scores (Viterbi).  BPE models have no additive scores; there the
 forward entry of a prefix is the last piece of its encoding, the one whose predecessor (the entry of the shorter prefix)
 it would stand beside without a merge across the border.  A prefix has just one such piece, so the forward pass is the
-same and needs no backward search; each distinct word's result is kept only if re-running the merges confirms it.
+same and needs no backward search.  Where no piece stands, the word is merged pair by pair.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from . import store
 from .units import default_path
 
 MARK = "▁"
+MOST_WORDS = 600_000
 _LOADED: dict[str, PieceModel] = {}
 
 
@@ -46,6 +48,8 @@ class PieceModel:
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.beside: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.whole = {p for p in self.id if len(p) == 1 or self.merges(p) == [p]}
 
     def _is_unigram(self, sp) -> bool:
         # BPE scores are the negative ranks of the merges
@@ -75,14 +79,11 @@ class PieceModel:
             got = self.beside[a, b] = self.merges(a + b) == [a, b]
         return got
 
-    def whole(self, piece: str) -> bool:
-        return len(piece) == 1 or self.fits(piece, "")
-
     def encode_sorted(self, words: list[str]) -> Iterator[list[str]]:
         """Pieces of each of the sorted distinct words; the forward table is shared along common prefixes."""
         table: list = [("", 0.0)]  # table[i]: (last piece of the prefix of i characters, score of that prefix)
         last = ""
-        ids, score, longest = self.id, self.score, self.longest
+        whole, score, longest, fits = self.whole, self.score, self.longest, self.fits
         for word in words:
             k, most = 0, min(len(word), len(last))
             while k < most and word[k] == last[k]:
@@ -102,29 +103,19 @@ class PieceModel:
                     continue
                 for j in range(max(0, i - longest), i):
                     piece = word[j:i]
-                    if (i - j == 1 or piece in ids) and self.merges_alone(piece) and (not j or self.fits(table[j][0], piece)):
+                    if (piece in whole or i - j == 1) and (not j or fits(table[j][0], piece)):
                         choice = piece
                         break
-                table.append((choice if choice is not None else word[i - 1 : i], 0.0))
+                table.append((choice or word[i - 1 : i], 0.0 if choice else 1.0))
             last = word
-            out, i = [], len(word)
+            out, i, sure = [], len(word), True
             while i > 0:
-                out.append(table[i][0])
-                i -= len(table[i][0])
+                piece, doubt = table[i]
+                out.append(piece)
+                i -= len(piece)
+                sure &= self.unigram or not doubt
             out.reverse()
-            if not self.unigram and not self.confirmed(word, out):
-                out = self.merges(word)
-            yield out
-
-    def merges_alone(self, piece: str) -> bool:
-        got = self.beside.get((piece, ""))
-        if got is None:
-            got = self.beside[piece, ""] = self.merges(piece) == [piece]
-        return got
-
-    def confirmed(self, word: str, parts: list[str]) -> bool:
-        """Every neighbouring pair stands: checked pair by pair while encoding, so only the sum is looked at here."""
-        return all(self.fits(a, b) for a, b in zip(parts, parts[1:], strict=False)) and "".join(parts) == word
+            yield out if sure else self.merges(word)
 
     def ids_of(self, parts: list[str]) -> list[int]:
         out = []
@@ -155,13 +146,22 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
+        if len(self.cache) > MOST_WORDS:  # two generations: what is used stays
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
         fresh = {w for s in split for w in s}
-        if len(self.cache) > 400_000:
-            self.cache = {w: self.cache[w] for w in fresh & self.cache.keys()}
-        words = sorted(fresh - self.cache.keys())
+        fresh.difference_update(cache)
+        words = []
+        for w in fresh:
+            got = old.get(w)
+            if got is None:
+                words.append(w)
+            else:
+                cache[w] = got
+        words.sort()
         for w, parts in zip(words, self.encode_sorted(words), strict=True):
-            self.cache[w] = np.array(self.ids_of(parts), "<i4").tobytes()
-        cache = self.cache
+            ids = self.ids_of(parts)
+            cache[w] = struct.pack(f"<{len(ids)}i", *ids)
         return [b"".join([cache[w] for w in s]) for s in split]
 
     def decode(self, ids: Iterable[int]) -> str:
