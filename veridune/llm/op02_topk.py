@@ -3,8 +3,9 @@
 Vectors are rotated onto the right singular vectors of the corpus, so leading coordinates carry most of the length.  For
 a query the inner product is at most the partial sum over the leading coordinates plus the product of the two residual
 lengths.  Vectors are range-dealt by descending length; a task walks its vectors from long to short and stops for a
-query when even the whole lengths cannot reach its k-th score.  Survivors are scored exactly in integers.  The longest
-vectors, a stated number, are scored first on the driver to start all tasks with good k-th scores.
+query when even the whole lengths cannot reach its k-th score.  Survivors are scored exactly: in integers where they are
+few; where they are many, by a product of whole matrices of integer values, in floats while lengths prove every sum to be
+exact.  The longest vectors, a stated number, are scored first on the driver to start all tasks with good k-th scores.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ LEAD = 16
 CHUNK = 8192  # queries broadcast at once
 STEP = 512  # vectors scored at once
 SEED = 2048  # longest vectors that give first thresholds
+WAIT = 1 << 16  # results that wait for a sort, at least
+DENSE = 32  # where one pair in so many outlives the bound, all of a step's are multiplied at once
+EXACT = 2.0**52  # lengths whose product is below it: float sums of integer products are exact
 NONE = -(1 << 62)  # below every score, and its negative is a number too
 
 
@@ -41,24 +45,49 @@ def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Best:
-    """k best (score, -id) of each query."""
+    """k best (score, -id) of each query; what is added waits until it is worth a sort."""
 
     def __init__(self, n: int, k: int, first: np.ndarray):
         self.k, self.first = k, first  # first: a score that k others are known to reach
-        self.score = np.full((n, k), NONE)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.kth = np.full(n, NONE)
+        self.held = [tuple(np.zeros(0, np.int64) for _ in range(3))]  # (query, id, score), settled ones first
+        self.settled = self.waiting = 0
 
     def bar(self) -> np.ndarray:
-        return np.maximum(self.score[:, -1], self.first)
+        return np.maximum(self.kth, self.first)
 
     def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Pairs sorted by q."""
-        at = np.flatnonzero(np.diff(q, prepend=-1))
-        for a, b in zip(at, np.append(at[1:], len(q)), strict=True):
-            i = q[a]
-            s, d = np.concatenate([self.score[i], score[a:b]]), np.concatenate([self.id[i], ids[a:b]])
-            order = np.lexsort((d, -s))[: self.k]
-            self.score[i], self.id[i] = s[order], d[order]
+        self.held.append((q, ids, score))
+        self.waiting += len(q)
+        if self.waiting >= max(WAIT, self.settled):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = rank < self.k
+        full = rank == self.k - 1
+        self.kth[q[full]] = score[full]
+        self.held = [(q[keep], ids[keep], score[keep])]
+        self.settled, self.waiting = int(keep.sum()), 0
+        return self.held[0]
+
+
+def _products(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer inner products of q[i] and v[j], some pairs at a time."""
+    out = np.empty(len(i), np.int64)
+    for s in range(0, len(i), 1 << 18):
+        out[s : s + (1 << 18)] = np.einsum("ij,ij->i", q[i[s : s + (1 << 18)]], v[j[s : s + (1 << 18)]])
+    return out
+
+
+def _all_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    qf, vf = q.astype(np.float64), v.astype(np.float64)
+    if np.sqrt((qf**2).sum(axis=1).max(initial=0.0)) * np.sqrt((vf**2).sum(axis=1).max(initial=0.0)) < EXACT:
+        return (qf @ vf.T).astype(np.int64)
+    return q @ v.T
 
 
 def _search(shared, k: int):
@@ -66,34 +95,40 @@ def _search(shared, k: int):
         qid, q, rot, first = shared.value
         if not len(qid):
             return
-        qr = q @ rot
+        qf = q.astype(np.float64)
+        qr = qf @ rot
         q_lead, q_rest, q_len = qr[:, :LEAD], np.sqrt((qr[:, LEAD:] ** 2).sum(axis=1)), np.sqrt((qr**2).sum(axis=1))
         best = _Best(len(qid), k, first)
         for batch in batches:
             ids, x = batch["id"].to_numpy(), _matrix(batch["v"])
             for a in range(0, len(ids), STEP):
                 v, vid = x[a : a + STEP], ids[a : a + STEP]
-                vr = v @ rot
+                vf = v.astype(np.float64)
+                vr = vf @ rot
                 v_len, v_rest = np.sqrt((vr**2).sum(axis=1)), np.sqrt((vr[:, LEAD:] ** 2).sum(axis=1))
-                slack = 1e-9 * (1 + q_len * v_len.max(initial=0.0))
-                bar = best.bar() - slack
-                live = np.flatnonzero(q_len * v_len.max(initial=0.0) >= bar)
+                longest = v_len.max(initial=0.0)
+                bar = best.bar()
+                low = bar - 1e-9 * (1 + q_len * longest)
+                live = np.flatnonzero(q_len * longest >= low)
                 if not len(live):
                     continue
-                bound = q_lead[live] @ vr[:, :LEAD].T + np.outer(q_rest[live], v_rest)
-                i, j = np.nonzero(bound >= bar[live][:, None])
-                i = live[i]
-                other = qid[i] != vid[j]
-                i, j = i[other], j[other]
-                for s in range(0, len(i), 1 << 18):
-                    ii, jj = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-                    score = np.einsum("ij,ij->i", q[ii], v[jj])
-                    keep = score >= best.bar()[ii]
-                    best.add(ii[keep], vid[jj[keep]], score[keep])
-        i, j = np.nonzero(best.id != np.iinfo(np.int64).max)
+                bound = q_lead[live] @ vr[:, :LEAD].T
+                bound += np.outer(q_rest[live], v_rest)
+                hit = bound >= low[live][:, None]
+                hit &= qid[live][:, None] != vid
+                if np.count_nonzero(hit) * DENSE >= hit.size and q_len.max() * longest < EXACT:
+                    score = np.matmul(qf[live], vf.T, out=bound)
+                    hit &= score >= bar[live][:, None]
+                    i, j = np.nonzero(hit)
+                    best.add(live[i], vid[j], score[i, j].astype(np.int64))
+                else:
+                    i, j = np.nonzero(hit)
+                    score = _products(q, v, live[i], j)
+                    keep = score >= bar[live[i]]
+                    best.add(live[i[keep]], vid[j[keep]], score[keep])
+        i, ids, score = best.settle()
         for s in range(0, len(i), 1 << 16):
-            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(best.id[a, b]), pa.array(best.score[a, b])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)]) for c in (qid[i], ids, score)], names=["query_id", "vec_id", "score"])
 
     return rows
 
@@ -138,7 +173,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: i
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == c).select("id", "v").distinct() if parts > 1 else queries.select("id", "v").distinct()
         rows = own.collect()  # about CHUNK rows
         qid, q = np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.int64).reshape(len(rows), dim)
-        s = q @ seed_v.T
+        s = _all_products(q, seed_v)
         s[qid[:, None] == seed_id[None, :]] = NONE
         first = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(qid), NONE)
         part = dealt.mapInArrow(_search(spark.sparkContext.broadcast((qid, q, rot, first)), k), out)
