@@ -5,8 +5,9 @@ broken) alone.  Blocks run in lockstep as lanes of numpy arrays: a step codes on
 
 Model of a lane: what followed the last two ids and what followed the last id here before (order 2, order 1), each with a
 confidence; their adaptive probabilities are mixed in the logistic domain with weights learnt as it goes, giving the
-probability that the prediction holds.  If it doesn't, the id's bit length follows by adaptive frequencies (order 0)
-and then its lower bits as they are.  All model arithmetic is in integers.
+probability that the prediction holds.  If it doesn't, the id's bit length follows by adaptive frequencies (order 0),
+renewed every ``RENEW`` steps; its lower bits, which no model predicts, stand in a stream of plain bits beside the range
+coder's words.  All model arithmetic is in integers.
 """
 
 from __future__ import annotations
@@ -18,227 +19,247 @@ import numpy as np
 BLOCK = 4096
 LANES = 2048
 SLOTS = 1 << 12
-MAGIC = b"VTOK1\0\0\0"
-CLASSES = 33
-_TOP, _BOT = np.uint64(1 << 24), np.uint64(1 << 16)
-_M32 = np.uint64(0xFFFFFFFF)
-_STRETCH = np.array([0, *[round(256 * np.log(p / (4096 - p))) for p in range(1, 4096)]], np.int64)
+MAGIC = b"VTOK2\0\0\0"
+CLASSES, STRIDE = 33, 64
+RENEW = 32
+ONE = 12  # bits of a probability
+_BOT, _TOP, _WORD = np.uint64(1 << 32), np.uint64(1 << 48), np.uint64(16)
+_STRETCH = np.array([0, *[round(256 * np.log(p / (4096 - p))) for p in range(1, 4096)]], np.int32)
 _STRETCH[0] = _STRETCH[1]
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
+_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
+_U = np.uint32
 
 
 class _Model:
     def __init__(self, lanes: int):
         self.n = lanes
-        self.row = np.arange(lanes) * SLOTS
-        self.t1, self.t2 = np.zeros(lanes * SLOTS, np.int64), np.zeros(lanes * SLOTS, np.int64)  # id << 4 | confidence
-        self.p1, self.p2 = np.full((lanes, 16), 1024, np.int64), np.full((lanes, 16), 2048, np.int64)
-        self.w = np.full((2, lanes), 1 << 15, np.int64)
-        self.freq = np.full((lanes, CLASSES), 1, np.int64)
-        self.lane = np.arange(lanes)
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the last id and the one before
-
-    def cut(self, n: int) -> None:
-        """Goes on with the first n lanes."""
+        self.row, self.lane = np.arange(lanes) * SLOTS, np.arange(lanes) * 16
+        self.t1, self.t2 = np.zeros(lanes * SLOTS, _U), np.zeros(lanes * SLOTS, _U)  # id << 4 | confidence
+        self.p1, self.p2 = np.full(lanes * 16, 1024, np.int32), np.full(lanes * 16, 2048, np.int32)
+        self.w1, self.w2 = np.full(lanes, 1 << 15, np.int32), np.full(lanes, 1 << 15, np.int32)
+        self.count = np.ones((lanes, CLASSES), np.int32)
+        self.cum = np.full((lanes, STRIDE), 1 << ONE, np.int32)
+        self.cum[:, 0] = 0
+        self.a, self.b = np.zeros(lanes, _U), np.zeros(lanes, _U)  # the last id and the one before
+
+    def start(self, t: int, n: int) -> None:
+        """Step t, with the first n lanes."""
         if n < self.n:
-            self.row, self.lane, self.a, self.b, self.w = self.row[:n], self.lane[:n], self.a[:n], self.b[:n], self.w[:, :n]
-            self.n = n
-
-    def predict(self):
-        a = self.a
-        self.i1 = self.row + ((a * 40503 >> 4) & (SLOTS - 1))
-        self.i2 = self.row + (((a * 40503) ^ (self.b * 60493) ^ (a >> 3)) >> 2 & (SLOTS - 1))
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, self.c2 = e1 & 15, e2 & 15
-        self.g1, self.g2 = e1 >> 4, e2 >> 4
-        two = self.c2 > 0
-        self.guess = np.where(two, self.g2, self.g1)
-        self.k1 = np.where(self.g1 == self.guess, np.minimum(self.c1, 14), 15)  # 15: order 1 says otherwise
-        self.s1, self.s2 = _STRETCH[self.p1[self.lane, self.k1]], _STRETCH[self.p2[self.lane, self.c2]]
-        dot = (self.w[0] * self.s1 + self.w[1] * self.s2) >> 16
-        self.p = _SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
+            for name in ("row", "lane", "a", "b", "w1", "w2"):
+                setattr(self, name, getattr(self, name)[:n])
+            self.count, self.cum, self.n = self.count[:n], self.cum[:n], n
+        if t % RENEW == 0 or t < RENEW and t & (t - 1) == 0:
+            total = self.count.sum(axis=1, dtype=np.int32)
+            f = self.count * np.int32((1 << ONE) - CLASSES) // total[:, None] + np.int32(1)
+            f[np.arange(n), f.argmax(axis=1)] += (1 << ONE) - f.sum(axis=1, dtype=np.int32)
+            np.cumsum(f, axis=1, out=self.cum[:, 1 : CLASSES + 1])
+            big = total > 1 << 13
+            if big.any():
+                self.count[big] = (self.count[big] + 1) >> 1
+
+    def predict(self) -> np.ndarray:
+        a = self.a * _U(40503)
+        self.i1 = self.row + ((a >> _U(4)) & _U(SLOTS - 1))
+        self.i2 = self.row + (((a ^ (self.b * _U(60493)) ^ (self.a >> _U(3))) >> _U(2)) & _U(SLOTS - 1))
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        c1, c2 = self.e1 & _U(15), self.e2 & _U(15)
+        chosen = np.where(c2 > 0, self.e2, self.e1)
+        self.guess = chosen >> _U(4)
+        self.k1 = self.lane + np.where((self.e1 ^ chosen) < 16, c1, _U(15))  # 15: order 1 says otherwise
+        self.k2 = self.lane + c2
+        self.q1, self.q2 = self.p1.take(self.k1), self.p2.take(self.k2)
+        self.s1, self.s2 = _STRETCH.take(self.q1), _STRETCH.take(self.q2)
+        dot = (self.w1 * self.s1 + self.w2 * self.s2) >> 16
+        self.p = _SQUASH.take(np.minimum(np.maximum(dot, -2048), 2047) + 2048)
         return self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        y = hit.astype(np.int64) << 12
+        y = hit.astype(np.int32) << ONE
         err = y - self.p
-        self.w[0] += (self.s1 * err) >> 10
-        self.w[1] += (self.s2 * err) >> 10
-        np.minimum(self.w, 1 << 18, out=self.w)
-        np.maximum(self.w, -(1 << 18), out=self.w)
-        q1, q2 = self.p1[self.lane, self.k1], self.p2[self.lane, self.c2]
-        self.p1[self.lane, self.k1] = np.minimum(np.maximum(q1 + ((y - q1) >> 4), 32), 4064)
-        self.p2[self.lane, self.c2] = np.minimum(np.maximum(q2 + ((y - q2) >> 4), 32), 4064)
-        for t, i, g, c in ((self.t1, self.i1, self.g1, self.c1), (self.t2, self.i2, self.g2, self.c2)):
-            same = (g == ids) & (c > 0)
-            t[i] = np.where(same, (g << 4) | np.minimum(c + 1, 13), np.where(c > 3, (g << 4) | (c >> 1), (ids << 4) | 1))
+        for w, s in ((self.w1, self.s1), (self.w2, self.s2)):
+            w += (s * err) >> 10
+            np.minimum(np.maximum(w, -(1 << 18), out=w), 1 << 18, out=w)
+        self.p1[self.k1] = np.minimum(np.maximum(self.q1 + ((y - self.q1) >> 4), 32), 4064)
+        self.p2[self.k2] = np.minimum(np.maximum(self.q2 + ((y - self.q2) >> 4), 32), 4064)
+        packed = ids << _U(4)
+        new = np.where(ids < 1 << 28, packed | _U(1), _U(0))  # larger ids are never predicted
+        for t, i, e in ((self.t1, self.i1, self.e1), (self.t2, self.i2, self.e2)):
+            c = e & _U(15)
+            same = (e ^ packed) - _U(1) < 13
+            t[i] = np.where(same, e + (c < 13), np.where(c > 3, e - c + (c >> _U(1)), new))
         self.b, self.a = self.a, ids
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.frexp(x.astype(np.float64))[1], 0).astype(np.int64)
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
 class _Encoder:
+    """Carry-less: 64-bit state, words of 16 bits leave when the range is below 2 ** 32."""
+
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _M32)
-        self.out, self.pos = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
-
-    def code(self, i, start, freq, total) -> None:
-        """i: lanes (a slice or positions)."""
-        low, rng = self.low[i], self.range[i]
-        r = rng // total
-        low = low + start * r
-        rng = r * freq
-        at = np.arange(len(low)) if isinstance(i, slice) else i
-        while True:
-            same = ((low ^ (low + rng)) & _M32) < _TOP
-            tight = ~same & (rng < _BOT)
-            if tight.any():
-                rng = np.where(tight, (~low + np.uint64(1)) & (_BOT - np.uint64(1)), rng)
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            lanes = at[go]
-            self.out[lanes, self.pos[lanes]] = (low[go] >> np.uint64(24)).astype(np.uint8)
-            self.pos[lanes] += 1
-            low[go] = (low[go] << np.uint64(8)) & _M32
-            rng[go] = (rng[go] << np.uint64(8)) & _M32
-        self.low[i], self.range[i] = low, rng
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+        self.out, self.pos = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
+
+    def renew(self, n: int) -> None:
+        go = np.flatnonzero(self.range[:n] < _BOT)
+        while len(go):
+            low, rng = self.low[go], self.range[go]
+            rng = np.where((low ^ (low + rng)) < _TOP, rng, -low & (_BOT - np.uint64(1)))
+            at = self.pos[go]
+            self.out[go, at] = low >> np.uint64(48)
+            self.pos[go] = at + 1
+            self.low[go] = low << _WORD
+            rng = rng << _WORD
+            self.range[go] = rng
+            go = go[rng < _BOT]
 
     def finish(self) -> list[bytes]:
+        lanes = np.arange(len(self.low))
         for _ in range(4):
-            lanes = np.arange(len(self.low))
-            self.out[lanes, self.pos] = (self.low >> np.uint64(24)).astype(np.uint8)
+            self.out[lanes, self.pos] = self.low >> np.uint64(48)
             self.pos += 1
-            self.low = (self.low << np.uint64(8)) & _M32
+            self.low <<= _WORD
         return [self.out[j, :n].tobytes() for j, n in enumerate(self.pos.tolist())]
 
 
 class _Decoder:
     def __init__(self, parts: list[bytes]):
         n = len(parts)
-        room = max(map(len, parts)) + 8
-        self.data = np.zeros((n, room), np.uint64)
+        self.data = np.zeros((n, max(max(map(len, parts)) // 2, 4) + 1), "<u2")
         for j, p in enumerate(parts):
-            self.data[j, : len(p)] = np.frombuffer(p, np.uint8)
+            self.data[j, : len(p) // 2] = np.frombuffer(p, "<u2", len(p) // 2)
         self.pos = np.full(n, 4, np.int64)
-        self.code_ = (self.data[:, 0] << np.uint64(24)) | (self.data[:, 1] << np.uint64(16)) | (self.data[:, 2] << np.uint64(8)) | self.data[:, 3]
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _M32)
-
-    def target(self, i, total):
-        self.r = self.range[i] // total
-        return np.minimum(((self.code_[i] - self.low[i]) & _M32) // self.r, total - np.uint64(1))
-
-    def take(self, i, start, freq) -> None:
-        low, rng, code = self.low[i] + start * self.r, self.r * freq, self.code_[i]
-        at = np.arange(len(low)) if isinstance(i, slice) else i
-        while True:
-            same = ((low ^ (low + rng)) & _M32) < _TOP
-            tight = ~same & (rng < _BOT)
-            if tight.any():
-                rng = np.where(tight, (~low + np.uint64(1)) & (_BOT - np.uint64(1)), rng)
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            lanes = at[go]
-            code[go] = ((code[go] << np.uint64(8)) | self.data[lanes, self.pos[lanes]]) & _M32
-            self.pos[lanes] = np.minimum(self.pos[lanes] + 1, self.data.shape[1] - 1)  # damaged blocks may ask for more
-            low[go] = (low[go] << np.uint64(8)) & _M32
-            rng[go] = (rng[go] << np.uint64(8)) & _M32
-        self.low[i], self.range[i], self.code_[i] = low, rng, code
-
-
-def _u(x) -> np.ndarray:
-    return x.astype(np.uint64)
-
-
-def _raw(coder, i, value, bits, encode: bool):
-    """Lower bits, 8 at a time."""
-    done = np.zeros(len(bits), np.int64)
-    out = np.zeros(len(bits), np.int64)
-    while True:
-        left = bits - done
-        j = np.flatnonzero(left > 0)
-        if not len(j):
-            return out
-        n = np.minimum(left[j], 8)
-        total = _u(1 << n)
-        if encode:
-            coder.code(i[j], _u((value[j] >> done[j]) & ((1 << n) - 1)), np.ones(len(j), np.uint64), total)
-        else:
-            t = coder.target(i[j], total)
-            coder.take(i[j], t, np.ones(len(j), np.uint64))
-            out[j] |= t.astype(np.int64) << done[j]
-        done[j] += n
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
+        self.code = np.zeros(n, np.uint64)
+        for c in range(4):
+            self.code = (self.code << _WORD) | self.data[:, c]
+
+    def renew(self, n: int) -> None:
+        go = np.flatnonzero(self.range[:n] < _BOT)
+        while len(go):
+            low, rng = self.low[go], self.range[go]
+            rng = np.where((low ^ (low + rng)) < _TOP, rng, -low & (_BOT - np.uint64(1)))
+            at = self.pos[go]
+            self.code[go] = (self.code[go] << _WORD) | self.data[go, at]
+            self.pos[go] = np.minimum(at + 1, self.data.shape[1] - 1)  # damaged blocks may ask for more
+            self.low[go] = low << _WORD
+            rng = np.maximum(rng << _WORD, np.uint64(1))
+            self.range[go] = rng
+            go = go[rng < _BOT]
+
+
+def _pack_bits(ids: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """The lowest bits of each id, one lane's after another's, as 32-bit words a lane."""
+    out = []
+    for a in range(0, len(ids), 64):
+        k = bits[a : a + 64].astype(np.int64)
+        end = np.cumsum(k, axis=1)
+        words = (end[:, -1] + 31) >> 5
+        first = np.cumsum(words) - words
+        at = end - k + (first << 5)[:, None]
+        j = np.nonzero(k)
+        at, value = at[j], (ids[a : a + 64][j].astype(np.uint64) & ((np.uint64(1) << k[j].astype(np.uint64)) - np.uint64(1))) << (at[j] & 31).astype(np.uint64)
+        n = int(words.sum())
+        # the bits of a word don't overlap, so that sums are unions and below 2 ** 32
+        flat = np.bincount(at >> 5, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1) + np.bincount((at >> 5) + 1, (value >> np.uint64(32)).astype(np.float64), n + 1)[: n + 1]
+        flat = flat[:n].astype("<u4")
+        out += [flat[f : f + w].tobytes() for f, w in zip(first.tolist(), words.tolist(), strict=True)]
+    return out
 
 
-def _run(lengths: np.ndarray, ids: np.ndarray | None, parts: list[bytes] | None):
+class _Bits:
+    def __init__(self, parts: list[bytes]):
+        width = max(map(len, parts)) // 4 + 2
+        self.words = np.zeros((len(parts), width), "<u4")
+        for j, p in enumerate(parts):
+            self.words[j, : len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
+        self.flat, self.row, self.most = self.words.reshape(-1), np.arange(len(parts)) * width, (width - 2) * 32
+        self.pos = np.zeros(len(parts), np.int64)
+
+    def take(self, i: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        pos = self.pos[i]
+        at = self.row[i] + (pos >> 5)
+        both = self.flat.take(at).astype(np.uint64) | (self.flat.take(at + 1).astype(np.uint64) << np.uint64(32))
+        self.pos[i] = np.minimum(pos + bits, self.most)  # damaged blocks may ask for more
+        return ((both >> (pos & 31).astype(np.uint64)) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(_U)
+
+
+def _classes(cum: np.ndarray, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The last class of each row that starts at or below the goal."""
+    k = row.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        k += np.where(cum.take(np.minimum(k + step, row + STRIDE - 1)) <= goal, step, 0)
+    return np.minimum(k - row, CLASSES - 1)
+
+
+def _run(lengths: np.ndarray, ids: np.ndarray | None, parts: list[tuple[bytes, bytes]] | None):
     """Codes lanes (longest first): ids (lanes x BLOCK) to parts, or parts to ids."""
-    lanes = len(lengths)
-    model = _Model(lanes)
-    coder = _Encoder(lanes, 6 * int(lengths.max()) + 64) if parts is None else _Decoder(parts)
-    out = np.zeros((lanes, int(lengths.max())), np.int64) if ids is None else None
-    full = np.uint64(4096)
-    for t in range(int(lengths.max())):
-        n = int(np.searchsorted(-lengths, -t, "left"))  # lanes with an id at t
-        model.cut(n)
-        i = slice(0, n)
-        p = _u(model.predict())
-        if parts is None:
-            x = ids[:n, t]
+    lanes, longest = len(lengths), int(lengths.max())
+    model, encode = _Model(lanes), parts is None
+    if encode:
+        coder, bits = _Encoder(lanes, 2 * longest + 8), np.zeros((lanes, longest), np.uint8)
+        steps = np.ascontiguousarray(ids.T)
+    else:
+        coder, bits = _Decoder([p[0] for p in parts]), _Bits([p[1] for p in parts])
+        steps = np.zeros((longest, lanes), _U)
+    one = np.uint64(ONE)
+    for t in range(longest):
+        n = lanes if t < lengths[-1] else int(np.searchsorted(-lengths, -t, "left"))  # lanes with an id at t
+        model.start(t, n)
+        p = model.predict().astype(np.uint64)
+        low, rng = coder.low[:n], coder.range[:n]
+        r = rng >> one
+        split = r * p
+        if encode:
+            x = steps[t, :n]
             hit = x == model.guess
-            coder.code(i, np.where(hit, np.uint64(0), p), np.where(hit, p, full - p), full)
         else:
-            hit = coder.target(i, full) < p
-            coder.take(i, np.where(hit, np.uint64(0), p), np.where(hit, p, full - p))
-            x = np.where(hit, model.guess, 0)
+            hit = coder.code[:n] - low < split
+            x = steps[t, :n]
+            x[:] = model.guess
+        low += np.where(hit, np.uint64(0), split)
+        rng[:] = np.where(hit, split, (r << one) - split)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            freq = model.freq[miss]
-            cum = np.cumsum(freq, axis=1)
-            total = cum[:, -1]
-            if parts is None:
+            row, cum = miss * STRIDE, model.cum.reshape(-1)
+            r = rng[miss] >> one
+            if encode:
                 v = x[miss]
                 k = _bit_length(v)
+                bits[miss, t] = np.maximum(k - 1, 0)
             else:
-                goal = coder.target(miss, _u(total)).astype(np.int64)
-                k = (cum <= goal[:, None]).sum(axis=1)
-            row = np.arange(len(miss))
-            f = freq[row, k]
-            start = cum[row, k] - f
-            if parts is None:
-                coder.code(miss, _u(start), _u(f), _u(total))
-                _raw(coder, miss, v, np.maximum(k - 1, 0), True)
-            else:
-                coder.take(miss, _u(start), _u(f))
-                low = _raw(coder, miss, None, np.maximum(k - 1, 0), False)
-                x[miss] = np.where(k > 0, (np.int64(1) << np.maximum(k - 1, 0)) | low, 0)
-            model.freq[miss, k] += 24
-            big = miss[total > 8000]
-            if len(big):
-                model.freq[big] = (model.freq[big] + 1) >> 1
+                goal = (coder.code[miss] - low[miss]) // np.maximum(r, np.uint64(1))
+                k = _classes(cum, row, np.minimum(goal, np.uint64((1 << ONE) - 1)).astype(np.int32))
+                most = np.maximum(k - 1, 0)
+                x[miss] = np.where(k > 0, (_U(1) << most.astype(_U)) | bits.take(miss, most), _U(0))
+            at = row + k
+            start = cum.take(at)
+            low[miss] += r * start.astype(np.uint64)
+            rng[miss] = r * (cum.take(at + 1) - start).astype(np.uint64)
+            model.count.reshape(-1)[miss * CLASSES + k] += 24
+        coder.renew(n)
         model.update(x, hit)
-        if parts is not None:
-            out[:n, t] = x
-    return coder.finish() if parts is None else out
+    if not encode:
+        return steps.T
+    return list(zip(coder.finish(), _pack_bits(ids[:, :longest], bits), strict=True))
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
-    """A file image: magic, ids, block size, then per block its bytes and the checksum of its ids, then the blocks."""
+    """A file image: magic, ids, block size, then per block its bytes of words and of plain bits and the checksum of its ids, then the blocks."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     sizes = np.full(-(-n // block), block, np.int64)
     if n % block:
         sizes[-1] = n % block
-    parts: list[bytes] = []
+    parts: list[tuple[bytes, bytes]] = []
     for a in range(0, len(sizes), lanes):
         s = sizes[a : a + lanes]
-        grid = np.zeros((len(s), block), np.int64)
+        grid = np.zeros((len(s), block), _U)
         grid.reshape(-1)[: int(s.sum())] = ids[a * block : a * block + int(s.sum())]
         parts += _run(s, grid, None)
-    head = np.array([[len(p), zlib.crc32(ids[j * block : (j + 1) * block].tobytes())] for j, p in enumerate(parts)], "<u4").reshape(-1, 2)
-    return MAGIC + np.array([n, block], "<u8").tobytes() + head.tobytes() + b"".join(parts)
+    head = np.array([[len(p), len(q), zlib.crc32(ids[j * block : (j + 1) * block].tobytes())] for j, (p, q) in enumerate(parts)], "<u4").reshape(-1, 3)
+    return MAGIC + np.array([n, block], "<u8").tobytes() + head.tobytes() + b"".join(x for p in parts for x in p)
 
 
 def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
@@ -247,18 +268,18 @@ def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
         raise ValueError("not a token file")
     n, block = (int(x) for x in np.frombuffer(image, "<u8", 2, 8))
     count = -(-n // block)
-    head = np.frombuffer(image, "<u4", 2 * count, 24).reshape(-1, 2).astype(np.int64)
-    at = 24 + 8 * count + np.concatenate([[0], np.cumsum(head[:, 0])])
+    head = np.frombuffer(image, "<u4", 3 * count, 24).reshape(-1, 3).astype(np.int64)
+    at = 24 + 12 * count + np.concatenate([[0], np.cumsum(head[:, :2].ravel())])
     sizes = np.full(count, block, np.int64)
     if n % block:
         sizes[-1] = n % block
     out = np.empty(n, "<u4")
     for a in range(0, count, lanes):
         s = sizes[a : a + lanes]
-        got = _run(s, None, [image[at[j] : at[j + 1]] for j in range(a, a + len(s))])
+        got = _run(s, None, [(image[at[2 * j] : at[2 * j + 1]], image[at[2 * j + 1] : at[2 * j + 2]]) for j in range(a, a + len(s))])
         for j, m in enumerate(s.tolist()):
             ids = got[j, :m].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != head[a + j, 1]:
+            if zlib.crc32(ids.tobytes()) != head[a + j, 2]:
                 raise ValueError(f"block {a + j} is damaged")
             out[(a + j) * block : (a + j) * block + m] = ids
     return out
