@@ -77,6 +77,13 @@ def test_mixcoder_round_trip(case):
             mixcoder.decode(bytes(broken))
 
 
+def test_block_sizes_fill_the_lanes():
+    assert [mixcoder.block_for(n) for n in (0, 1, 2048 * 1024, 2048 * 1024 + 1, 2048 * 4096, 1 << 40)] == [1024, 1024, 1024, 1088, 4096, 4096]
+    ids = np.random.default_rng(1).integers(0, 500, 70_000).astype("<u4")
+    image = mixcoder.encode(ids, lanes=64)
+    assert np.frombuffer(image, "<u8", 1, 16)[0] == 1152 and (mixcoder.decode(image) == ids).all()
+
+
 def test_packing(spark):
     rows = rows_of()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -1,6 +1,6 @@
 """Context-mixing range coder for token ids, many blocks side by side.
 
-Every block of ``BLOCK`` ids is coded by itself from a fresh state, with a checksum, so blocks can be read (or found
+Every block of at most ``BLOCK`` ids (fewer in short files) is coded by itself from a fresh state, with a checksum, so blocks can be read (or found
 broken) alone.  Blocks run in lockstep as lanes of numpy arrays: a step codes one id of each.
 
 Model of a lane: what followed the last two ids and what followed the last id here before (order 2, order 1), each with a
@@ -17,6 +17,7 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
+LEAST_BLOCK = 1024
 LANES = 2048
 SLOTS = 1 << 12
 MAGIC = b"VTOK2\0\0\0"
@@ -245,10 +246,16 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, parts: list[tuple[bytes, b
     return list(zip(coder.finish(), _pack_bits(ids[:, :longest], bits), strict=True))
 
 
-def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
+def block_for(n: int, lanes: int = LANES) -> int:
+    """The block size of a file of n ids: BLOCK, shorter where that leaves lanes empty, since a step's cost hardly falls with its lanes."""
+    return min(BLOCK, max(LEAST_BLOCK, -(-n // (lanes * 64)) * 64))
+
+
+def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> bytes:
     """A file image: magic, ids, block size, then per block its bytes of words and of plain bits and the checksum of its ids, then the blocks."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
+    block = block or block_for(n, lanes)
     sizes = np.full(-(-n // block), block, np.int64)
     if n % block:
         sizes[-1] = n % block
