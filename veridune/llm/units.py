@@ -10,6 +10,8 @@ import os
 import re
 import struct
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Unicode White_Space, which the tokenizers' \s stands for (Python's \s has four control characters more)
 _WS = "\t-\r \x85\xa0  -     　"
@@ -22,6 +24,8 @@ _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS = {b: b for b in _SEEN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 _LATIN = {c: "".join(chr(_AS[b]) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+#: units that can be encoded many at a time, with a line break between: a space and then none that is white
+_JOINS = re.compile(rf" [^{_WS}]{{1,64}}")
 _CACHE: dict[str, tuple] = {}
 
 
@@ -42,6 +46,7 @@ class UnitEncoder:
         self.cache: dict = {}
         self.old: dict = {}
         self.parts: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def units(self, text: str) -> list:
         if self.kind == "words":
@@ -69,8 +74,7 @@ class UnitEncoder:
                 order.append(x)
             else:
                 cache[x] = y
-        if self.kind == "words":
-            order = self._plain(order)
+        order = self._plain(order) if self.kind == "words" else self._joined(order)
         for a in range(0, len(order), 1 << 14):
             part = order[a : a + (1 << 14)]
             for u, e in zip(part, self.tokenizer.encode_batch_fast([x if isinstance(x, str) else x.decode() for x in part], add_special_tokens=False), strict=True):
@@ -78,6 +82,25 @@ class UnitEncoder:
                 cache[u] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join([cache[x] for x in u]) for u in split]
 
+    def _joined(self, units: list[str], many: int = 64) -> list[str]:
+        """Caches units by encoding many as lines of one text, where each line break is an id of its own; gives back the others."""
+        if len(self.line) != 1:
+            return units
+        joins, rest = [], []
+        for u in units:
+            (joins if _JOINS.fullmatch(u) and not any(s in u for s in self.special) else rest).append(u)
+        for a in range(0, len(joins), 1 << 14):
+            groups = [joins[b : b + many] for b in range(a, min(a + (1 << 14), len(joins)), many)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, breaks = ids.tobytes(), 4 * np.flatnonzero(ids == self.line[0])
+                if len(breaks) != len(group) - 1:
+                    rest += group
+                    continue
+                for u, start, stop in zip(group, [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)], strict=True):
+                    self.cache[u] = raw[start:stop]
+        return rest
+
     def _plain(self, words: list[bytes]) -> list[bytes]:
         """Caches words of plain pre-tokens, by the library's model on each lower-cased pre-token; gives back the others."""
         cache, tokenize, rest, parts = self.cache, self.tokenizer.model.tokenize, [], self.parts
