@@ -139,3 +139,43 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_greedy_match_against_brute_force(spark):
+    import random
+
+    from veridune.operators import assets
+
+    r = random.Random(5)
+    box = lambda i: (r.randrange(6), r.choice("ab"), i, float(x := r.randrange(30)), float(y := r.randrange(30)), x + 20.0, y + 20.0)
+    a, b = [box(i) for i in range(80)], [box(i) for i in range(80)]
+    schema = "image_id int, class_id string, box int, x1 double, y1 double, x2 double, y2 double"
+    da, db = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+
+    def iou(p, q):
+        w, h = max(0, min(p[5], q[5]) - max(p[3], q[3])), max(0, min(p[6], q[6]) - max(p[4], q[4]))
+        return w * h / (800 - w * h)
+
+    pairs = sorted((-iou(p, q), p[2], q[2]) for p in a for q in b if p[:2] == q[:2] and iou(p, q) >= 0.3)
+    want, left, right = [], set(), set()
+    for o, i, j in pairs:
+        if i not in left and j not in right:
+            want.append((i, j, round(-o, 9)))
+            left.add(i)
+            right.add(j)
+    got = [(x.a, x.b, round(x.iou, 9)) for x in assets.greedy_match(da, db, threshold=0.3).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 10
+    q = assets.detection_quality(da, db, threshold=0.3).first()
+    assert (q.n_true, q.n_found, q.tp) == (80, 80, len(want)) and abs(q.f1 - len(want) / 80) < 1e-9
+    none = assets.detection_quality(da.where("false"), db.where("false")).first()
+    assert (none.tp, none.precision, none.f1, none.mean_iou) == (0, 0.0, 0.0, 0.0)
+    lost = {x.image_id: x.unmatched for x in assets.unmatched(da, db, threshold=0.3).collect()}
+    assert lost == {i: sum(p[0] == i and not any(p[:2] == q[:2] and iou(p, q) >= 0.3 for q in b) for p in a) for i in {p[0] for p in a}}
+
+
+def test_standardised_counts_dead_dimensions_apart(spark):
+    from veridune.operators import assets
+
+    ref = spark.createDataFrame([(1, [0.0, 5.0]), (2, [2.0, 5.0])], "id int, v array<double>")
+    got = {x.id: (x.score, x.dead_moved) for x in assets.standardised(ref, spark.createDataFrame([(3, [4.0, 5.0]), (4, [1.0, 6.0])], "id int, v array<double>"), "id", "v").collect()}
+    assert got == {3: (3.0, 0), 4: (1000.0, 1)}

@@ -44,6 +44,22 @@ def conformal_pvalues(df: DataFrame, score: str = "score", is_cal: str = "is_cal
     return out.withColumn("p", F.when(F.col("n_cal") > 0, (1.0 + F.col("n_extreme")) / (1.0 + F.col("n_cal"))))
 
 
+def conditional_pvalues(df: DataFrame, by: tuple[str, ...], score: str = "score", is_cal: str = "is_cal", least: int = 19, higher: bool = True) -> DataFrame:
+    """Conformal p-values against the row's own cell alone; cells with fewer calibration rows than ``least`` refuse (null p)."""
+    out = conformal_pvalues(df, score, is_cal, by, higher)
+    ok = F.col("n_cal") >= least
+    return out.withColumn("status", F.when(ok, "ok").otherwise("refused")).withColumn("p", F.when(ok, F.col("p")))
+
+
+def mixed_batch(df: DataFrame, p: str, positive: str, alpha: float = 0.05) -> DataFrame:
+    """False discoveries and power of step-up flags in a mixed batch, and whether its smallest p could pass the strictest cut."""
+    a = adjusted(df, p, alpha)
+    g = a.agg(F.count(F.lit(1)).alias("n"), F.count_if("bh").alias("flagged"), F.count_if(F.col("bh") & F.col(positive)).alias("caught"), F.count_if(positive).alias("n_positive"), F.min(p).alias("min_p"))
+    h = F.expr("aggregate(sequence(1L, greatest(n, 1L)), 0D, (a, i) -> a + 1D / i)")
+    share = lambda k, n: F.when(n > 0, k / n)
+    return g.select("n", "flagged", share(F.col("flagged") - F.col("caught"), F.col("flagged")).alias("fdr"), share(F.col("caught"), F.col("n_positive")).alias("power"), "min_p", (F.lit(alpha) / (F.col("n") * h)).alias("strictest"), (F.col("min_p") <= F.lit(alpha) / (F.col("n") * h)).alias("can_flag"))
+
+
 def conformal_threshold(df: DataFrame, score: str, alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score, at most the n-th, within ``by``."""
     n = df.groupBy(*by).agg(F.count(score).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import chains, decisions, drift, ledger, population, quality, ranks
+from .operators import assets, chains, decisions, drift, ledger, population, quality, ranks
 from .streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,10 +223,11 @@ def ledger_problems(spark, sf):
     return ledger.problems(e, ["error"], ["view", "click"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0) SELECT o_custkey, count(*) AS n, round(sum(o_totalprice)::DOUBLE, 2) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)) GROUP BY o_custkey")
+@query("WITH a AS (SELECT doc_id, 'labels' AS origin, quality AS score FROM labels), m AS (SELECT * FROM a UNION ALL SELECT doc_id, 'documents', n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a)) SELECT origin, count(*) AS n, sum(score)::BIGINT AS total FROM m GROUP BY origin")
 def ledger_merge(spark, sf):
-    o = read(spark, sf, "orders")
-    return ledger.merge(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0"), ("o_orderkey",)).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice").cast("double"), 2).alias("total"))
+    a = read(spark, sf, "labels").select("doc_id", F.lit("labels").alias("origin"), F.col("quality").cast("long").alias("score"))
+    b = read(spark, sf, "documents").select("doc_id", F.lit("documents").alias("origin"), F.col("n_chars").cast("long").alias("score"))
+    return ledger.merge(a, b, ("doc_id",)).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
 
 
 COQ = "WITH g AS (SELECT user_id % 8 AS c, count(*) AS n, count(*) FILTER (value > 150) AS k FROM events GROUP BY 1), r AS (SELECT sum(k)::DOUBLE / sum(n) AS rate, count(*) AS m FROM g)"
@@ -276,11 +277,10 @@ def within_shard_duplicates(spark, sf):
     return population.within_duplicates(read(spark, sf, "documents"), "source", "text")
 
 
-@query("WITH p AS (SELECT o_orderkey, o_orderstatus AS d FROM orders WHERE o_orderkey % 5 <> 0), k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE o_orderstatus END AS d FROM orders WHERE o_orderkey % 3 <> 0) SELECT CASE WHEN k.o_orderkey IS NULL THEN 'not_seen' WHEN p.o_orderkey IS NULL THEN 'not_planned' WHEN p.d = k.d THEN 'verified' ELSE 'digest_mismatch' END AS status, count(*) AS n FROM p FULL JOIN k ON p.o_orderkey = k.o_orderkey GROUP BY 1")
+@query("WITH k AS (SELECT l_orderkey, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS d FROM lineitem GROUP BY 1) SELECT CASE WHEN l_orderkey IS NULL THEN 'not_seen' WHEN o_orderkey IS NULL THEN 'not_planned' WHEN o_orderstatus = d THEN 'verified' ELSE 'digest_mismatch' END AS status, count(*) AS n FROM orders FULL JOIN k ON o_orderkey = l_orderkey GROUP BY 1")
 def plan_reconcile(spark, sf):
-    o = read(spark, sf, "orders")
-    p = o.where("o_orderkey % 5 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("d"))
-    k = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise(F.col("o_orderstatus")).alias("d"))
+    p = read(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("d"))
+    k = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.min("l_linestatus") == F.max("l_linestatus"), F.min("l_linestatus")).otherwise("P").alias("d"))
     return population.reconcile(p, k, "o_orderkey", "d").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -532,11 +532,11 @@ def residual_risk(spark, sf):
     return r6(decisions.residual_risk(m, 1000, 3).select("r_star", "unbounded", "accept_permitted"), "r_star")
 
 
-@query("""WITH l AS (SELECT l_orderkey, unnest(['qty', 'price']) AS signal, unnest([l_quantity::DOUBLE, l_extendedprice::DOUBLE]) AS s FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH l AS (SELECT l_orderkey, unnest(['qty', 'price']) AS signal, unnest([max(l_quantity)::DOUBLE, max(l_extendedprice)::DOUBLE]) AS s FROM lineitem GROUP BY l_orderkey),
 w AS (SELECT *, sum((l_orderkey % 2)::INT) OVER (PARTITION BY signal ORDER BY s DESC) AS ge, sum((l_orderkey % 2)::INT) OVER (PARTITION BY signal) AS n FROM l), p AS (SELECT l_orderkey, count(*) AS m, min((1.0::DOUBLE + ge) / (1 + n)) AS p, min(n)::BIGINT AS n_cal FROM w GROUP BY 1)
 SELECT l_orderkey, m, n_cal, round(least(1, m * p), 6) AS p, CASE WHEN n_cal < ceil(m / 0.05) - 1 THEN 'ABSTAIN' WHEN least(1, m * p) <= 0.05 THEN 'FLAG' ELSE 'CLEAR' END AS decision FROM p""")
 def asset_rule(spark, sf):
-    x = read(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.expr("stack(2, 'qty', cast(l_quantity as double), 'price', cast(l_extendedprice as double)) as (signal, score)")).withColumn("clean", F.col("l_orderkey") % 2 == 1)
+    x = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").cast("double").alias("q"), F.max("l_extendedprice").cast("double").alias("e")).select("l_orderkey", F.expr("stack(2, 'qty', q, 'price', e) as (signal, score)")).withColumn("clean", F.col("l_orderkey") % 2 == 1)
     return r6(decisions.asset_rule(x, "l_orderkey", "signal", "score", "clean"), "p")
 
 
@@ -569,17 +569,16 @@ def chain_verify(spark, sf):
     return chains.chain_status(linked, "conv_id", "turn", body)
 
 
-_L = "WITH l0 AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS pos, sha256(p_name) AS h FROM part WHERE p_partkey - (SELECT min(p_partkey) FROM part) < 100)"
-for _i in range(1, 8):
-    _L += f", l{_i} AS (SELECT pos // 2 AS pos, sha256(min_by(h, pos) || max_by(h, pos)) AS h FROM l{_i - 1} GROUP BY 1)"
+_L = "WITH l0 AS MATERIALIZED (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS pos, sha256(p_name) AS h, 0 AS depth FROM part)"
+for _i in range(1, 25):
+    _L += f", l{_i} AS MATERIALIZED (SELECT pos // 2 AS pos, CASE WHEN (SELECT count(*) FROM l{_i - 1}) > 1 THEN sha256(min_by(h, pos) || max_by(h, pos)) ELSE max(h) END AS h, max(depth) + ((SELECT count(*) FROM l{_i - 1}) > 1)::INT AS depth FROM l{_i - 1} GROUP BY 1)"
 
 
-@query(_L + " SELECT 7 AS depth, h AS root FROM l7")
+@query(_L + " SELECT depth, h AS root FROM l24")
 def merkle_root(spark, sf):
     p = read(spark, sf, "part")
     low = p.agg(F.min("p_partkey")).first()[0]
-    leaves = p.select((F.col("p_partkey") - low).alias("pos"), "p_name").where("pos < 100")  # the tree asked for has 100 leaves
-    return chains.merkle_root(leaves, "pos", "p_name")
+    return chains.merkle_root(p.select((F.col("p_partkey") - low).alias("pos"), "p_name"), "pos", "p_name")
 
 
 @query("WITH s AS (SELECT user_id AS key, event_id AS arrived, (value * 10)::BIGINT AS seq, 'n' || (event_id % 5000) AS nonce FROM (SELECT event_id, user_id, floor(value) AS value FROM events)), r AS (SELECT *, row_number() OVER (PARTITION BY nonce ORDER BY arrived) AS k, max(seq) OVER (PARTITION BY key ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM s) SELECT key, CASE WHEN k > 1 THEN 'replayed_nonce' ELSE 'stale_sequence' END AS problem, count(*) AS n FROM r WHERE k > 1 OR seq <= h GROUP BY ALL")
@@ -603,3 +602,112 @@ SELECT user_id, count(*) AS steps, round(max_by(l, i), 6) AS log_wealth, round(g
 def eprocess_batch(spark, sf):
     e = monitor.eprocess(read(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 100.0, 0.1)
     return r6(e, "log_wealth", "high_water")
+
+
+@query("""WITH x AS (SELECT user_id % 20 AS c, event_type AS "given", CASE WHEN value > 100 THEN 'error' ELSE 'view' END AS suggested, 1 / (1 + abs(value)) AS p FROM events), g AS (SELECT c, "given", suggested, count(*) AS n, min(p) AS min_p FROM x WHERE "given" <> suggested GROUP BY c, "given", suggested ORDER BY min(p), c, "given", suggested LIMIT 20)
+SELECT c, "given", suggested, n, round(min_p, 6) AS min_p FROM g""")
+def label_patterns(spark, sf):
+    e = read(spark, sf, "events").select((F.col("user_id") % 20).alias("c"), F.col("event_type").alias("given"), F.when(F.col("value") > 100, "error").otherwise("view").alias("suggested"), (1 / (1 + F.abs("value"))).alias("p"))
+    return r6(assets.label_patterns(e, "c", "given", "suggested", "p"), "min_p")
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS d FROM embeddings), r AS (SELECT d, avg(v) AS mu, stddev_pop(v) AS sd FROM x WHERE label = 0 GROUP BY d)
+SELECT vec_id, round(max(abs(v - mu) / sd), 6) AS score, 0::BIGINT AS dead_moved FROM x JOIN r USING (d) GROUP BY vec_id""")
+def standardised_deviation(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return r6(assets.standardised(e.where("label = 0"), e, "vec_id", "embedding").select("vec_id", "score", "dead_moved"), "score")
+
+
+@query("WITH g AS (SELECT lang, count(*) AS n, avg(((n_chars > 2000)::INT = quality)::INT) AS a FROM documents JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, n, round(a, 6) AS agreement, CASE WHEN a < 0.5 THEN 'CRITICAL' WHEN a < 0.8 THEN 'HIGH' WHEN a < 1 THEN 'MEDIUM' ELSE 'INFO' END AS severity FROM g")
+def fingerprint_agreement(spark, sf):
+    a = read(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") > 2000).cast("int").alias("y"))
+    return r6(assets.agreement(a, read(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id", "y", "lang"), "agreement")
+
+
+CEN = """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS d FROM embeddings), c AS (SELECT label AS y, d, quantile_cont(v, 0.5) AS m FROM x GROUP BY ALL)"""
+
+
+@query(f"{CEN} SELECT y AS label, round(sum(m), 6) AS total, round(max(m), 6) AS largest FROM c GROUP BY y")
+def class_medians(spark, sf):
+    c = assets.centroids(read(spark, sf, "embeddings"), "label", "embedding")
+    return r6(c.select("label", F.aggregate("centroid", F.lit(0.0), lambda s, v: s + v).alias("total"), F.array_max("centroid").alias("largest")), "total", "largest")
+
+
+@query(f"""{CEN}, dist AS (SELECT vec_id, label, y, sum((v - m) ** 2) AS s FROM x JOIN c USING (d) GROUP BY ALL), near AS (SELECT vec_id, label, min_by(y, s) AS y FROM dist GROUP BY ALL),
+g AS (SELECT vec_id % 40 AS asset, count(*) AS n, count(*) FILTER (y <> label) AS mismatches FROM near GROUP BY 1)
+SELECT asset, n, mismatches, round((1.0::DOUBLE + (SELECT count(*) FROM g AS k WHERE k.asset < 30 AND k.mismatches >= g.mismatches)) / (1 + (SELECT count(*) FROM g WHERE asset < 30)), 6) AS p FROM g""")
+def label_gate(spark, sf):
+    e = read(spark, sf, "embeddings").withColumn("asset", F.col("vec_id") % 40)
+    return r6(assets.label_gate(e, e, "asset", "label", "embedding", F.col("asset") < 30), "p")
+
+
+@query("WITH g AS (SELECT avg(((n_chars > 2000)::INT = quality)::INT) FILTER (lang = 'en') AS reference, avg(((n_chars > 2000)::INT = quality)::INT) FILTER (lang <> 'en') AS operational FROM documents JOIN labels USING (doc_id)) SELECT round(reference, 6) AS reference, round(operational, 6) AS operational, round(reference - operational, 6) AS \"drop\", reference - operational > 0.1 AS concept_drift FROM g")
+def concept_drift(spark, sf):
+    x = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id").withColumn("p", (F.col("n_chars") > 2000).cast("int"))
+    return r6(assets.concept_drift(x, F.col("lang") != "en", "p", "y"), "reference", "operational", "drop")
+
+
+def boxes(spark, sf, moved: bool) -> DataFrame:
+    """A box a line item, an image an order; moved by the discount and the tax."""
+    x = F.col("l_quantity").cast("double") + (F.col("l_discount").cast("double") * 100 if moved else 0.0)
+    y = F.col("l_extendedprice").cast("double") / 1000 + (F.col("l_tax").cast("double") * 100 if moved else 0.0)
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_returnflag").alias("class_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("box"), x.alias("x1"), y.alias("y1"), (x + 20.0).alias("x2"), (y + 20.0).alias("y2"))
+
+
+@query("""WITH a AS MATERIALIZED (SELECT l_orderkey AS i, row_number() OVER () AS k, l_returnflag AS c, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem), b AS (SELECT l_orderkey AS i, l_returnflag AS c, l_quantity::DOUBLE + l_discount::DOUBLE * 100 AS x, l_extendedprice::DOUBLE / 1000 + l_tax::DOUBLE * 100 AS y FROM lineitem),
+w AS (SELECT a.i, a.k, greatest(0, least(a.x, b.x) + 20 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 20 - greatest(a.y, b.y)) AS o FROM a JOIN b USING (i, c)), h AS (SELECT DISTINCT i, k FROM w WHERE o / (800 - o) >= 0.5)
+SELECT a.i AS image_id, count(*) AS n, count(*) FILTER (h.k IS NULL) AS unmatched, round(count(*) FILTER (h.k IS NULL)::DOUBLE / count(*), 6) AS divergence FROM a LEFT JOIN h ON a.i = h.i AND a.k = h.k GROUP BY a.i""")
+def reference_divergence(spark, sf):
+    return r6(assets.unmatched(boxes(spark, sf, False), boxes(spark, sf, True)), "divergence")
+
+
+@query(None)
+def detection_quality(spark, sf):
+    return r6(assets.detection_quality(boxes(spark, sf, False), boxes(spark, sf, True)), "precision", "recall", "f1", "mean_iou")
+
+
+@query(f"""{LED}, w AS (SELECT *, count(*) FILTER (split = 'calibration' AND NOT is_positive) OVER (PARTITION BY corpus, kind ORDER BY score DESC) AS ge, count(*) FILTER (split = 'calibration' AND NOT is_positive) OVER (PARTITION BY corpus, kind) AS n FROM e)
+SELECT event_id, CASE WHEN n >= 19 THEN 'ok' ELSE 'refused' END AS status, CASE WHEN n >= 19 THEN round((1.0::DOUBLE + ge) / (1 + n), 6) END AS p FROM w""")
+def conditional_pvalues(spark, sf):
+    e = events(spark, sf).withColumn("is_cal", (F.col("split") == "calibration") & ~F.col("is_positive"))
+    return r6(ranks.conditional_pvalues(e, ("corpus", "kind")).select("event_id", "status", "p"), "p")
+
+
+@query(f"""{BHQ}, f AS (SELECT qq.p, q <= 0.05 AS bh, h, is_positive AS y FROM qq JOIN p USING (event_id)) SELECT count(*) AS n, count(*) FILTER (bh) AS flagged, round(count(*) FILTER (bh AND NOT y)::DOUBLE / nullif(count(*) FILTER (bh), 0), 6) AS fdr, round(count(*) FILTER (bh AND y)::DOUBLE / nullif(count(*) FILTER (y), 0), 6) AS power,
+ round(min(p), 6) AS min_p, round(0.05 / (count(*) * max(h)), 6) AS strictest, min(p) <= 0.05 / (count(*) * max(h)) AS can_flag FROM f""")
+def mixed_batch_fdr(spark, sf):
+    return r6(ranks.mixed_batch(pvalues(spark, sf).select("p", "is_positive"), "p", "is_positive"), "fdr", "power", "min_p", "strictest")
+
+
+@query("""WITH w AS (SELECT event_type, user_id, max(-ln(greatest(1 / (1 + abs(value)), 1e-12))) AS nll FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY nll DESC, user_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM w)
+SELECT event_type, count(*) AS n_images, round(max(nll), 6) AS worst, round(avg(nll) FILTER (k <= greatest(ceil(n * 0.1::DOUBLE), 1)), 6) AS top_mean FROM r GROUP BY event_type""")
+def label_nll(spark, sf):
+    e = read(spark, sf, "events").withColumn("p", 1 / (1 + F.abs("value")))
+    return r6(assets.label_nll(e, "event_type", "user_id", "p"), "worst", "top_mean")
+
+
+@query("""WITH g AS (SELECT user_id % 20 AS kind, count(*) FILTER (event_type = 'error') AS n_attacked, count(*) FILTER (event_type <> 'error') AS n_null, avg((value > 50)::INT) FILTER (event_type = 'error') - avg((value > 50)::INT) FILTER (event_type <> 'error') AS d FROM events GROUP BY 1)
+SELECT kind, n_attacked, n_null, CASE WHEN least(n_attacked, n_null) >= 20 THEN round(greatest(d, 0), 6) END AS net, CASE WHEN least(n_attacked, n_null) < 20 THEN 'unassessable' WHEN d >= 0.5 THEN 'implanted' ELSE 'weak' END AS status FROM g""")
+def attack_success(spark, sf):
+    e = read(spark, sf, "events").withColumn("kind", F.col("user_id") % 20)
+    return r6(assets.attack_success(e, "kind", F.col("event_type") == "error", F.col("value") > 50), "net")
+
+
+@query("SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS sd, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(1.0::DOUBLE / (count(value) + 1), 6) AS floor, 1.0::DOUBLE / (count(value) + 1) <= 0.05 AS can_reject FROM events GROUP BY user_id")
+def exchangeability(spark, sf):
+    return r6(assets.exchangeability(read(spark, sf, "events"), "user_id", "value"), "mean", "sd", "q25", "q50", "q75", "floor")
+
+
+@query("SELECT user_id, count(*) AS n, count(value) AS n_finite, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS q95, round(max(value), 6) AS max FROM events GROUP BY user_id")
+def score_summary(spark, sf):
+    return r6(assets.score_summary(read(spark, sf, "events"), "user_id", "value"), "mean", "q95", "max")
+
+
+@query("SELECT lang, count(*) FILTER (toxic = 0) AS n, count(*) FILTER (toxic = 1) AS n_gated, round(avg(n_chars) FILTER (toxic = 0), 6) AS mean, round(stddev_pop(n_chars) FILTER (toxic = 0), 6) AS sd FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def kind_summary(spark, sf):
+    return r6(assets.kind_summary(read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id"), "lang", "n_chars", F.col("toxic") == 1), "mean", "sd")
+
+
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, floor(l_quantity::DOUBLE / 0.5 + 0.5)::BIGINT || ',' || floor(l_extendedprice::DOUBLE / 0.5 + 0.5)::BIGINT AS c FROM lineitem) SELECT l_orderkey, sha256(string_agg(c, ';' ORDER BY l_linenumber, c)) AS digest FROM x GROUP BY l_orderkey")
+def output_digest(spark, sf):
+    return assets.output_digest(read(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber"], ["l_quantity", "l_extendedprice"], 0.5)
