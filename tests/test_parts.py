@@ -179,3 +179,69 @@ def test_standardised_counts_dead_dimensions_apart(spark):
     ref = spark.createDataFrame([(1, [0.0, 5.0]), (2, [2.0, 5.0])], "id int, v array<double>")
     got = {x.id: (x.score, x.dead_moved) for x in assets.standardised(ref, spark.createDataFrame([(3, [4.0, 5.0]), (4, [1.0, 6.0])], "id int, v array<double>"), "id", "v").collect()}
     assert got == {3: (3.0, 0), 4: (1000.0, 1)}
+
+
+def test_spectral_and_mahalanobis_against_numpy(spark):
+    import numpy as np
+
+    from veridune.operators import spectral
+
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(300, 6)) * [1, 2, 3, 1, 1, 1], r.integers(0, 3, 300)
+    y[:4] = 7  # a class too small to judge
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(300)] + [(900, None, [0.0] * 6), (901, 1, None)], "id int, label int, v array<double>").repartition(5)
+    want = {}
+    for c in range(3):
+        i = np.flatnonzero(y == c)
+        z = x[i] - x[i].mean(axis=0)
+        p = z @ np.linalg.svd(z, full_matrices=False)[2][0]
+        want |= {int(a): b for a, b in zip(i, np.abs(p - p.mean()) / (p.std() + 1e-12), strict=True) if b > 2}
+    got = {q.id: q.z for q in spectral.spectral_outliers(df, "id", "label", "v").collect()}
+    assert got.keys() == want.keys() and len(got) > 3 and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    ref = x[:200]
+    inv = np.linalg.inv(np.cov(ref.T) + 1e-6 * np.eye(6))
+    far = np.sqrt(np.einsum("ij,jk,ik->i", x - ref.mean(axis=0), inv, x - ref.mean(axis=0)))
+    flags = {q.id: (q.distance, q.flagged) for q in spectral.ood_flags(df.where("id < 200"), df.where("id < 300"), "id", "v").collect()}
+    cut = np.quantile(far[:200], 0.95)
+    assert all(abs(flags[i][0] - far[i]) < 1e-6 and flags[i][1] == (far[i] > cut + 1e-12) for i in range(300) if abs(far[i] - cut) > 1e-9)
+    assert spectral.spectral_outliers(df.where("false"), "id", "label", "v").collect() == []
+
+
+def test_concentration_test(spark):
+    from pyspark.sql import functions as F
+
+    from veridune.operators import spectral
+
+    even = [(c, i % 5 == 0) for c in range(8) for i in range(40)]
+    test = lambda rows: spectral.concentration_test(spark.createDataFrame(rows, "c int, f boolean"), "c", F.col("f")).first()
+    assert test(even).p > 0.5
+    hot = test(even + [(9, i < 25) for i in range(30)])
+    assert hot.p < 0.01 and hot.contributors == 9 and abs(hot.max_rate - 25 / 30) < 1e-12
+    assert test([(1, True)] * 20).p is None and test(even + [(10, True)] * 3).p is None and test([]).contributors == 0
+
+
+def test_archives_and_folders(spark, tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    from veridune.sources import detections
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name, body in (("m1/manifest.json", b'{"model_id": "m1"}'), ("m1/weights.bin", b"\0" * 3_000_000), ("empty", b"")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    (tmp_path / "bad.tar").write_bytes(b"this is no archive")
+    got = {(r.archive.rsplit("/", 1)[-1], r.name): (r.size, r.sha256, r.content) for r in detections.read_archives(spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {
+        ("a.tar.gz", "m1/manifest.json"): (18, sha(b'{"model_id": "m1"}'), '{"model_id": "m1"}'),
+        ("a.tar.gz", "m1/weights.bin"): (3_000_000, sha(b"\0" * 3_000_000), None),
+        ("a.tar.gz", "empty"): (0, sha(b""), None),
+        ("bad.tar", None): (None, None, None),
+    }
+    wanted = spark.createDataFrame([("1.png",), ("2.png",), ("2.png",), (None,)], "file_name string")
+    files = spark.createDataFrame([("x", "1.png"), ("x", "9.png"), ("y", "1.png"), ("y", "2.png"), ("y", "2.png")], "folder string, file_name string")
+    assert detections.best_folder(wanted, files).collect() == [("y", 2)]
+    assert detections.best_folder(wanted.where("false"), files).collect() == []

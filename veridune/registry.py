@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import assets, chains, decisions, drift, ledger, population, quality, ranks
+from .operators import assets, chains, decisions, drift, ledger, population, quality, ranks, spectral
 from .streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,3 +711,19 @@ def kind_summary(spark, sf):
 @query("WITH x AS (SELECT l_orderkey, l_linenumber, floor(l_quantity::DOUBLE / 0.5 + 0.5)::BIGINT || ',' || floor(l_extendedprice::DOUBLE / 0.5 + 0.5)::BIGINT AS c FROM lineitem) SELECT l_orderkey, sha256(string_agg(c, ';' ORDER BY l_linenumber, c)) AS digest FROM x GROUP BY l_orderkey")
 def output_digest(spark, sf):
     return assets.output_digest(read(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber"], ["l_quantity", "l_extendedprice"], 0.5)
+
+
+@query(None)
+def spectral_outliers(spark, sf):
+    return r6(spectral.spectral_outliers(read(spark, sf, "embeddings"), "vec_id", "label", "embedding"), "z")
+
+
+@query(None)
+def ood_flags(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return r6(spectral.ood_flags(e.where("label < 5"), e, "vec_id", "embedding"), "distance")
+
+
+@query(None)
+def contributor_concentration_p(spark, sf):
+    return r6(spectral.concentration_test(read(spark, sf, "events").withColumn("c", F.col("user_id") % 20), "c", F.col("value") > 100), "max_rate", "p")

@@ -114,3 +114,47 @@ def read_manifests(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A registry of one JSON object a line; blank lines are skipped, malformed lines raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_archives(spark: SparkSession, path: str, member: str = "manifest.json", most: int = 1 << 20) -> DataFrame:
+    """(archive, name, size, sha256, content) of every file in tar archives under path, streamed and not unpacked.
+
+    content stands for members named ``member`` of at most ``most`` bytes; digests cover whole members.  An archive that
+    can't be read has one row with null name.
+    """
+    import hashlib
+    import io
+    import tarfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    columns = ["archive", "name", "size", "sha256", "content"]
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for archive, data in zip(part["path"], part["content"], strict=True):
+                rows = []
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as t:
+                        for m in t:
+                            if not m.isfile():
+                                continue
+                            f, h, kept = t.extractfile(m), hashlib.sha256(), b""
+                            named = m.name.rsplit("/", 1)[-1] == member and m.size <= most
+                            while chunk := f.read(1 << 20):
+                                h.update(chunk)
+                                kept += chunk if named else b""
+                            rows.append((archive, m.name, m.size, h.hexdigest(), kept.decode("utf-8", "replace") if named else None))
+                except (tarfile.TarError, EOFError, OSError):
+                    rows = [(archive, None, None, None, None)]
+                yield pd.DataFrame(rows, columns=columns)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInPandas(scan, "archive string, name string, size long, sha256 string, content string")
+
+
+def best_folder(wanted: DataFrame, files: DataFrame, name: str = "file_name", folder: str = "folder") -> DataFrame:
+    """The folder that holds most of the wanted file names, ties to the smaller path: (folder, hits)."""
+    hits = files.join(wanted.select(name).distinct(), name, "left_semi").groupBy(folder).agg(F.countDistinct(name).alias("hits"))
+    return hits.orderBy(F.desc("hits"), folder).limit(1)
