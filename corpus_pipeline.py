@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridune.llm import op03_simhash, op04_secret_scan, op06_quality_rules, op09_best_fit_packing, op10_line_dedup, store
+from veridune.llm import near_copies as jaccard
+from veridune.llm import op04_secret_scan, op06_quality_rules, op09_best_fit_packing, op10_line_dedup, store
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -24,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return op03_simhash.keep_one(docs)
+    """One document of each group chained by Jaccard similarity of 0.8 or more (five-word shingles) stays."""
+    return jaccard.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
