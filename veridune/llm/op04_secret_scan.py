@@ -1,7 +1,7 @@
 """Secret scans: pattern candidates, and a random forest that removes false findings.
 
-Candidates are tokens of at least 16 characters of the usual key alphabets that hold a digit and a letter.  The forest sees their
-length, character classes and transitions, likelihood under a character-pair model of ordinary words, coverage by a word
+Candidates are tokens of at least 16 characters of the usual key alphabets that hold a digit and a letter, values of any
+length and alphabet that a credential word assigns or announces, and private keys in PEM form.  The forest sees their length, character classes and transitions, likelihood under a character-pair model of ordinary words, coverage by a word
 list, the path (or source) they come from and the words beside them.  It is trained from labelled findings: a table
 (text, start, end, path, is_secret), at most ``MOST_FINDINGS`` rows of it in hash order; without one, from generated findings
 with a fixed seed.
@@ -24,6 +24,12 @@ from .forest import Forest
 
 MOST_FINDINGS = 20_000
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+ASSIGNED = re.compile(
+    rb"""(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credentials?|bearer)[\w-]{0,40}["'`]?\]?"""
+    rb"""(?:[ \t]*(?:=>|:=|==|=|:)[ \t]*|[ \t]+(?=["'`])|(?<=bearer)[ \t]+)(?:bearer[ \t]+)?(?:"((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|`([^`\r\n]+)`|([^\s"'`]\S*))""",
+    re.I,
+)
+PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", re.S)
 NEAR = 48  # bytes looked at on either side
 WORDS = """about access account after again also application array before between block build button cache call change check child class
 client code color column common config connect container content context control count create current custom data database date
@@ -82,7 +88,23 @@ def features(text: bytes, start: int, end: int, path: str | None) -> list[float]
     ]
 
 
+def assigned(text: bytes) -> Iterator[tuple[int, int]]:
+    """Values behind credential words, and private keys in PEM form."""
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:
+            b = a + len(text[a:b].rstrip(b"\"'`,;)]}>"))
+        if a < b:
+            yield a, b
+    for m in PEM.finditer(text):
+        yield m.span()
+
+
 def candidates(text: bytes) -> Iterator[tuple[int, int]]:
+    yield from sorted({*_tokens(text), *assigned(text)})
+
+
+def _tokens(text: bytes) -> Iterator[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         c = m.group().strip(b"-_=/+")
         if len(c) >= 16 and any(48 <= x <= 57 for x in c) and any(65 <= x <= 90 or 97 <= x <= 122 for x in c):
@@ -91,13 +113,47 @@ def candidates(text: bytes) -> Iterator[tuple[int, int]]:
 
 
 def generated_findings(n: int = 6000, seed: int = 11) -> list[tuple[bytes, int, int, str, int]]:
-    """Labelled findings by rule: keys in assignments, tokens with known prefixes; and the usual false ones."""
+    """Labelled findings by rule: keys and passwords in assignments, tokens with known prefixes, private keys; and the usual false ones."""
     r = random.Random(seed)
     pick = lambda a, k: "".join(r.choice(a) for _ in range(k))
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     prose = lambda k: " ".join(r.choice(WORDS) if r.random() < 0.5 else pick("aeioustnrhdl", r.randint(2, 9)) for _ in range(k))
+    words = lambda k, sep: sep.join(r.choice(WORDS) for _ in range(k))
+    odd = "!@#$%^&*.?-_"
+    leet = str.maketrans("aeiost", "4310$7")
+    names = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "ACCESS_KEY", "auth_token", "private_key", "client_secret", "Password"]
+
+    def made() -> tuple[bytes, int, int, str, int]:
+        """An assigned value of any alphabet, or a private key."""
+        secret, kind = r.random() < 0.5, r.random()
+        path = r.choice(["src/app.py", "config/prod.env", "src1", "src12", "deploy.yml"])
+        quote = r.choice(['"', '"', "'", ""])
+        lead = r.choice(names) + r.choice([" = ", "=", ": ", ":", '": ']) + quote
+        if secret and kind < 0.12:
+            name = r.choice(["RSA ", "EC ", "", "OPENSSH "]) + "PRIVATE KEY"
+            lines = [pick(alnum + "+/", 64) for _ in range(r.randint(2, 24))] + [pick(alnum + "+/", r.randint(10, 62)) + "=="]
+            lead, quote, body = "", "", f"-----BEGIN {name}-----\n" + "\n".join(lines) + f"\n-----END {name}-----"
+        elif secret:
+            body = r.choice([
+                lambda: words(1, "").title().translate(leet) + pick(odd, r.randint(1, 2)) + pick("0123456789", r.randint(1, 4)) + pick(odd, r.randint(0, 1)),
+                lambda: "".join(x.translate(leet) if r.random() < 0.5 else x for x in pick("aeioustnrhdl", r.randint(5, 9)).title()) + pick(odd, 1) + pick(alnum, r.randint(1, 4)) + pick(odd, 1),
+                lambda: pick(alnum + odd, r.randint(8, 24)), lambda: pick(alnum, r.randint(8, 15)), lambda: pick(alnum[:52], r.randint(10, 40)), lambda: pick(alnum[26:52], r.randint(12, 40)),
+                lambda: pick(hexa, r.choice([8, 12, 16, 24])), lambda: r.choice(WORDS) + pick("0123456789", r.randint(2, 5)) + pick(odd, r.randint(0, 2)), lambda: pick("aeioustnrhdl", r.randint(4, 7)) + pick("0123456789", r.randint(1, 4)),
+            ])()
+        else:
+            body = r.choice([
+                lambda: words(1, ""), lambda: words(2, "."), lambda: words(2, "_"), lambda: words(2, "_").upper(), lambda: words(1, "") + "()", lambda: words(2, ".") + "(" + words(1, "") + ")", lambda: "${" + words(2, "_").upper() + "}",
+                lambda: "<" + words(2, "-") + ">", lambda: "{{ " + words(1, "") + " }}", lambda: r.choice("*x.") * r.randint(3, 16), lambda: r.choice(["None", "null", "true", "false", "required", "string", "str", "undefined", "changeme", "your_password_here", "int", "..."]),
+                lambda: pick("aeioustnrhdl", r.randint(2, 9)), lambda: prose(r.randint(2, 5)) if quote else prose(1), lambda: "os.environ[" + words(1, "").upper() + "]", lambda: "http://" + words(2, ".") + "/" + words(1, ""), lambda: pick("0123456789", r.randint(1, 3)),
+            ])()
+        a = prose(r.randint(1, 6)) + " " + lead
+        return (a + body + quote + " " + prose(r.randint(1, 5))).encode(), len(a.encode()), len((a + body).encode()), path, int(secret)
+
     out = []
     for i in range(n):
+        if i % 5 == 4:
+            out.append(made())
+            continue
         secret = i % 2
         if secret:
             body = r.choice([lambda: pick(hexa, r.choice([32, 40, 40, 64])), lambda: pick(alnum, r.randint(20, 48)), lambda: pick(alnum + "+/", r.choice([40, 44, 64])), lambda: r.choice(["AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-"]) + pick(alnum, r.randint(16, 36))])()
@@ -107,7 +163,6 @@ def generated_findings(n: int = 6000, seed: int = 11) -> list[tuple[bytes, int,
             quote = r.choice(['"', '"', "'", ""])
             path = r.choice(["src/app.py", "config/prod.env", "src1", "src12", "deploy.yml"])
         else:
-            words = lambda k, sep: sep.join(r.choice(WORDS) for _ in range(k))
             body = r.choice([
                 lambda: words(3, "_") + str(r.randint(1, 999)), lambda: words(4, "-") + "-" + str(r.randint(2000, 2030)), lambda: words(2, "/") + "/" + words(1, "") + str(r.randint(1, 99)) + "/index",
                 lambda: pick(hexa, 8) + "-" + "-".join(pick(hexa, 4) for _ in range(3)) + "-" + pick(hexa, 12), lambda: pick(hexa, r.choice([32, 40, 64])), lambda: "x" * r.randint(12, 20) + str(r.randint(1000, 9999)),
@@ -139,7 +194,14 @@ def _judge(text: bytes, path: str | None, model: Forest, threshold: float) -> li
     if not at:
         return []
     p = model.predict(np.array([features(text, a, b, path) for a, b in at]))
-    return [(a, b, float(x)) for (a, b), x in zip(at, p, strict=True) if x >= threshold]
+    out: list[tuple[int, int, float]] = []
+    for (a, b), x in zip(at, p, strict=True):
+        if x < threshold:
+            continue
+        if out and a < out[-1][1]:  # a token inside an assigned value
+            a, b, x = out[-1][0], max(b, out[-1][1]), max(x, out.pop()[2])
+        out.append((a, b, float(x)))
+    return out
 
 
 def _scan(shared, threshold: float):
