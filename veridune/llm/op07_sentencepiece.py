@@ -46,6 +46,7 @@ class PieceModel:
         self.unigram = "unigram" in str(type(sp)).lower() or self._is_unigram(sp)
         self.is_byte = {i: b for b, i in self.byte.items()}
         self.control = {i for i in range(n) if sp.is_control(i)}
+        self.bytes_of = [bytes([self.is_byte[i]]) if i in self.is_byte else b"" if i in self.control else p.encode() if i != self.unknown else " ⁇ ".encode() for i, p in enumerate(self.pieces)]
         self.beside: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -165,13 +166,7 @@ class PieceModel:
         return [b"".join([cache[w] for w in s]) for s in split]
 
     def decode(self, ids: Iterable[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.is_byte:
-                out.append(self.is_byte[i])
-            elif i not in self.control:
-                out += self.pieces[i].encode() if i != self.unknown else " ⁇ ".encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -206,6 +201,20 @@ def _decode(path: str | None):
     return rows
 
 
+def _round_trip(path: str | None):
+    """Ids of each text, and the text decoded from those ids."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in _encode(path)(batches):
+            ids = batch["ids"]
+            values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            text = pa.array([m.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["id"], ids, text], names=["id", "ids", "decoded"])
+
+    return rows
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """id_col and ids array<int> of each whole text by the model file ``path`` (default piece_bpe_32k.model).
 
@@ -226,5 +235,6 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: s
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = encode(docs)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"))
+    store.ship(spark)
+    out = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_round_trip(None), "id long, ids array<int>, decoded string")
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.xxhash64("decoded").alias("decoded_hash"))
