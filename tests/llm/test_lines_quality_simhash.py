@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import numpy as np
@@ -81,6 +80,42 @@ def test_quality_certifies_only_what_holds(spark):
     assert kept == {i for i in range(6000) if i % 3}
 
 
+def test_quality_cutoffs_bind_on_the_test_tables(spark):
+    """Labels there suffice for a cutoff, so that the SQL's agreement covers the method; good documents stay."""
+    q = o6.op6_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    lost = {r.quality: (r.n, r.lost) for r in q.where("not base_failed").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("lost")).collect()}
+    assert lost[0][1] > 0.9 * lost[0][0] and lost[1][1] < 0.05 * lost[1][0]
+
+
+def test_quality_pools_small_strata_and_stops_the_path(spark):
+    """en (600 good) stands alone at 1 %, fr (60) and de (50) are pooled at 5 %; a cutoff that costs good documents isn't taken."""
+    row = lambda i, lang, k: (i, " ".join(f"w{i}x{j}" for j in range(100)) + " " + "#" * k, lang)
+    good = [row(i, "en", 20 if i < 60 else 0) for i in range(600)] + [row(1000 + i, "fr", 0) for i in range(60)] + [row(2000 + i, "de", 0) for i in range(50)]
+    poor = [row(3000 + i, "en", 200) for i in range(50)]
+    docs = spark.createDataFrame(good + poor, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, int(d < 3000)) for d, *_ in good + poor], "doc_id long, quality int")
+    cut = {r.stratum: r for r in o6.thresholds(o6.with_features(docs), labels).collect()}
+    assert set(cut) == {"en", "fr", "de", "es", "other"}
+    assert cut["en"].limit == 0.01 and cut["en"].pool == "en" and cut["en"].n_good == 600
+    share = max(1000 * 20 // (sum(map(len, t.split()))) for _, t, _ in good[:60])
+    assert cut["en"].cutoffs.symbols == min(c for c in o6.GRID if c >= share)
+    assert cut["fr"].pool == cut["es"].pool == "" and cut["fr"].limit == 0.05 and cut["fr"].n_good == 110 and cut["fr"].cutoffs.symbols == 10
+    assert cut["en"].cutoffs.repeats is None
+
+
+def test_quality_counts_of_long_texts_and_clashing_columns(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcd") for _ in range(n)) for n in (20, 40, 200)] + ["x " * 300_000, "y" * 2_000_000]
+    docs = spark.createDataFrame([(i, t, "en", "t", "row", "q", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, __t string, row string, q string, __quality int")
+    one = sorted(tuple(x.q) for x in o6.with_features(docs).select(F.col("q")).collect())
+    monkeypatch.setattr(o6, "PACK", 4)
+    assert sorted(tuple(x.q) for x in o6.with_features(docs.where("doc_id < 3")).select("q").collect()) == sorted(x for x in one if x[0] in (20, 40, 200))
+    monkeypatch.undo()
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = o6.quality_filter(docs.withColumn("text", F.lit("one two three four five six seven eight nine ten")), labels)
+    assert out.columns == docs.columns and out.where("__t = 't' and row = 'row' and q = 'q' and __quality = 1").count() == len(texts)
+
+
 def brute_print(t):
     w = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
     s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] * bool(w)
@@ -154,7 +189,3 @@ def test_grid_never_misses_a_link():
             b = next(o3._cells([pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.arange(500))], names=["fp", "doc"])]))
             cells.append({(c, d) for c, d in zip(b["cell"].to_pylist(), b["doc"].to_pylist(), strict=True)})
         assert {d for _, d in cells[0] & cells[1]} == set(range(500))
-
-
-def test_sha_of_kept_lines():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
