@@ -24,11 +24,11 @@ def test_line_dedup_brute(spark):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(low)
     big = lambda d: 1 << 62 if d is None else d
-    count, top = {}, {}
+    holders = {}
     for d, t, *_ in docs:
         for k in {key(s) for s in (t or "").split("\n")}:
-            count[k] = count.get(k, 0) + 1
-            top[k] = max(top.get(k, -1), big(d))
+            holders.setdefault(k, set()).add(big(d))
+    count, top = {k: len(v) for k, v in holders.items()}, {k: max(v) for k, v in holders.items()}
     want = []
     for d, t, *_ in docs:
         lines = (t or "").split("\n")
@@ -44,6 +44,33 @@ def test_line_dedup_brute(spark):
     assert o10.line_dedup(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "A line that is long enough to be one of the common lines"
+    rows = [(1, line)] * 4 + [(2, line)]
+    assert all(r.n_dropped == 0 for r in o10.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    rows += [(i, line) for i in (3, 4, 5)]
+    assert sorted((r.doc_id, r.n_dropped) for r in o10.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 0)]
+
+
+def test_very_long_lines_and_texts(spark):
+    rows = [(i, "x" * 1_500_000 + "\n" + ("many lines of this text which is long\n" * 20_000) + f"own {i}") for i in range(5)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in o10.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=20).collect()}
+    assert got == {i: (20_002, 20_001 if i < 4 else 0) for i in range(5)}
+
+
+def test_only_keys_that_no_run_holds_are_added(spark):
+    runs = o10.LineRuns(spark, 3, 4)
+    batch = lambda keys: spark.createDataFrame([(k, k, 1, 10 * k) for k in keys], "k1 long, k2 long, n_docs long, holder long")
+    for keys in ([1, 2, 3], [2, 3, 4], [4, 5, 1], [1, 6], [6, 7]):
+        runs.add(batch(keys))
+        fresh = [r.k1 for t in runs.tables() for r in t.where("not seen").collect()]
+        assert len(fresh) == len(set(fresh))
+    assert sorted(fresh) == list(range(1, 8)) and {k: len(v) for k, v in runs.levels.items()} == {1: 1, 0: 2}
+    plan = runs.tables()[0].where("not seen").select("k1", "k2").join(batch([1]).repartition(4, "k1", "k2").hint("merge"), ["k1", "k2"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1  # the run's side is read bucket by bucket
+    assert sorted((r.k1, r.n_docs) for r in runs.common(2).collect()) == [(1, 3), (2, 2), (3, 2), (4, 2), (6, 2)]
+
+
 def test_line_dedup_sql(spark):
     assert oracle.rows(o10.op10_line_dedup(spark, oracle.SF)) == oracle.run(o10.SQL)
 
