@@ -186,8 +186,13 @@ def test_simhash(spark):
     big = lambda d: 1 << 62 if d is None else d
     assert sorted((big(x.doc_id), x.fingerprint, big(x.component_id)) for x in got) == brute_components([(d, brute_print(t)) for d, t, *_ in rows])
     assert o3.simhash_components(spark.createDataFrame([], SCHEMA)).collect() == []
-    kept = o3.keep_one(spark.createDataFrame(rows, SCHEMA))
-    assert kept.columns == ["doc_id", "text", "lang", "n_lines", "k1"]
+
+
+def test_simhash_of_a_very_long_text(spark):
+    t = " ".join(f"w{i % 7001}" for i in range(300_000))
+    got = o3.simhash_components(spark.createDataFrame([(1, t), (2, t + " x"), (3, "y" * 1_000_000)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fingerprint for r in got} == {1: f"{brute_print(t):016x}", 2: f"{brute_print(t + ' x'):016x}", 3: f"{brute_print('y' * 1_000_000):016x}"}
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
 
 
 def test_links_in_crowded_cells_are_those_of_small_ones(monkeypatch):

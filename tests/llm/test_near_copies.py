@@ -49,7 +49,7 @@ def planted():
 def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "FREQUENT", 2)
     rows = planted()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, __row string").withColumnRenamed("__row", "row").repartition(5)
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
     assert got == brute(rows) and len(got) < 0.6 * len(rows)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_lines_quality_simhash import brute_components, brute_print
+from tests.llm.test_near_copies import brute
 from veridune.llm import op04_secret_scan as o4
 from veridune.llm import op06_quality_rules as o6
 
@@ -49,8 +49,7 @@ def test_pipeline(spark, tmp_path):
             count[k] = count.get(k, 0) + 1
             top[k] = max(top.get(k, -1), d)
     docs = {d: "\n".join(s for s in t.split("\n") if count.get(key(s), 0) < 5 or top[key(s)] == d) for d, t in docs.items()}
-    comp = {d: c for d, _, c in brute_components([(d, brute_print(t)) for d, t in docs.items()])}
-    docs = {d: t for d, t in docs.items() if comp[d] == d}
+    docs = dict(brute(list(docs.items())))
     model = o4.model_from()
     source = {d: s for d, _, _, s, _ in rows}
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

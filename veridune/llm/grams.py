@@ -38,6 +38,17 @@ def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 
 
+_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    count, n = np.zeros(64, np.int64), len(h)
+    for a in range(0, n, 1 << 15):
+        count += np.unpackbits(h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(_BITS[2 * count > n].sum()) if (2 * count > n).any() else 0
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k values (len(values) - k + 1 of them)."""
     n = len(values)

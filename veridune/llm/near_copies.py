@@ -3,14 +3,15 @@
 Texts are sets of hashed shingles in one global order: shingles frequent in a sample of rows last, hashes ascending
 otherwise (the order decides cost, never the result).  Two sets of similarity s or more share a shingle among their first
 n - ceil(s n) + 1, so pairs meet at a shingle of both prefixes; sizes and positions rule more pairs out, then parities of
-hash buckets, which differ at most once for each shingle that only one set holds, and the texts decide.  A first round verifies neighbours and the first of each shingle's sets, which joins large groups in linear time; a
-second verifies every remaining pair whose sets are not yet in one component.
+hash buckets, which differ at most once for each shingle that only one set holds, and the texts decide.  Links of the
+caller's own (fingerprints on a grid) are verified first; a second round verifies neighbours and the first of each
+shingle's sets, which joins large groups in linear time; a third every remaining pair of sets not yet in one component.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import connected_components
+from .grams import majority_bits
 
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 PARITIES = 2048
@@ -50,16 +52,17 @@ def _all(words: int):
 
 
 def _sets(shared, words: int, similarity: float):
-    """node names a set by a hash of all its shingles; keys are its prefix."""
+    """node names a set by a hash of all its shingles, fp is its fingerprint; keys are its prefix."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
-            node, n, keys, odd = [], [], [], []
+            node, n, keys, odd, fp = [], [], [], [], []
             for t in batch["text"].cast(pa.binary()):
                 h = shingles(t.as_py() or b"", words)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 n.append(len(h))
+                fp.append(majority_bits(h))
                 odd.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES).astype(np.uint8) & 1).tobytes())
                 if len(common) and len(h):
                     late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
@@ -67,7 +70,7 @@ def _sets(shared, words: int, similarity: float):
                 keys.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, pa.array(odd, pa.binary())], names=["row", "id", "node", "n", "keys", "odd"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, pa.array(odd, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["row", "id", "node", "n", "keys", "odd", "fp"])
 
     return rows
 
@@ -163,42 +166,48 @@ def _verify(words: int, similarity: float):
     return rows
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with exactly one row of each group chained by similarity: its least id's, null ids last.
-
-    Rows are told apart by place, so repeated and null ids are rows like any other.  Texts without a word are equal.
-    """
+def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: str, text: str, words: int, similarity: float) -> DataFrame:
+    """docs with exactly one row of each group chained by similarity; first(sets(node, fp)) gives pairs (a, b) to look at at once."""
     spark = docs.sparkSession
     store.ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = store.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    src = rows.select(F.col("__row").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(store.NO_ID)).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = store.materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    src = rows.select("row", F.coalesce(F.col("doc")[id_col].cast("long"), F.lit(store.NO_ID)).alias("id"), F.col("doc")[text].cast("string").alias("text"))
     sample = src.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_all(words), "key long").groupBy("key").count()
     common = sample.where(F.col("count") >= FREQUENT).orderBy(F.col("count").desc(), "key").limit(MOST_FREQUENT).collect()
     common = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in common], np.int64).view(np.uint64)))
-    sets = store.materialize(src.mapInArrow(_sets(common, words, similarity), "row long, id long, node long, n int, keys array<long>, odd binary"), "sets")
+    sets = store.materialize(src.mapInArrow(_sets(common, words, similarity), "row long, id long, node long, n int, keys array<long>, odd binary, fp long"), "sets")
     posts = sets.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
     shared = store.materialize(posts.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int, pos int"), "shared")
     one = sets.select("node", "row").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    one = store.materialize(one.join(sets.select("row", "n", "odd"), "row").select("node", "row", "n", "odd"), "shared-sets")
+    one = store.materialize(one.join(sets.select("row", "n", "odd", "fp"), "row").select("node", "row", "n", "odd", "fp"), "shared-sets")
     side = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
 
-    def links(rooted: DataFrame, every: bool, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        found = rooted.select("key", "node", "n", "pos", "root").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
-        pairs = found.mapInArrow(_candidates(similarity, every), PAIR_SCHEMA).distinct()
-        pairs = store.materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
         likely = store.materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(_possible(similarity), PAIR_SCHEMA), "likely")
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         rows_of = one.join(ends, "node", "left_semi").select("node", "row")
         texts = store.materialize(src.select("row", "text").join(rows_of, "row").select("node", "text"), "texts")
         text_of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
         both = likely.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "ta", "tb")
-        return pairs, store.materialize(both.mapInArrow(_verify(words, similarity), PAIR_SCHEMA), "links")
-
-    seen, edges = links(shared.withColumn("root", F.col("node")), False, None)
+        links = store.materialize(both.mapInArrow(_verify(words, similarity), PAIR_SCHEMA), "links")
+        for t in (likely, texts):
+            store.remove(spark, t._veridune_path)
+        return links
+
+    def candidates(roots: DataFrame, every: bool) -> DataFrame:
+        rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        return rooted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(similarity, every), PAIR_SCHEMA).distinct()
+
+    seen = store.materialize(first(one.select("node", "fp")), "pairs")
+    edges = verified(seen)
+    for every in (False, True):
+        roots = connected_components(edges)
+        pairs = store.materialize(candidates(roots, every).join(seen, ["a", "b"], "left_anti"), "pairs")
+        edges, seen = edges.unionByName(verified(pairs)), seen.unionByName(pairs)
     roots = connected_components(edges)
-    _, rest = links(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), True, seen)
-    if not rest.isEmpty():
-        roots = connected_components(edges.unionByName(rest))
     least = sets.select("row", "id", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "row")).alias("least"))
-    return rows.join(least.select(F.col("least.row").alias("__row")), "__row", "left_semi").drop("__row")
+    least = store.materialize(least.select(F.col("least.row").alias("row")), "least")
+    for t in (sets, shared, one):
+        store.remove(spark, t._veridune_path)
+    return rows.join(least, "row", "left_semi").select("doc.*")

@@ -6,6 +6,9 @@ distance two, and between two such points there is a grid point within one of ea
 its own cell and the (at most 32) cells beside it, an equi-join on cells finds all candidates, and bits verify them.
 Inside a cell candidates are compared with each other while few; crowded cells sort each fingerprint's 65 neighbours at
 one bit or none, which finds the same links in linear time.  Only a spanning forest of the links leaves a task.
+
+``keep_one`` is for copies by Jaccard similarity: links on the grid, checked on the texts, join most of them, and
+near_copies.py completes them to all pairs of that similarity, which differ in about ten bits where they are least alike.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import near_copies, store
 from .components import connected_components
+from .grams import majority_bits
 
 SEGMENTS, WIDTH = 16, 4
 CROWDED = 48
@@ -38,10 +42,7 @@ def fingerprint(raw: bytes, words: int = 3) -> int:
     last = ends[words - 1 :].tolist() if len(w) >= words else [len(joined)]
     hash64 = xxhash.xxh64_intdigest
     h = np.fromiter([hash64(joined[a:b], 42) for a, b in zip(starts, last, strict=True)], np.uint64, n)
-    count = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 15):
-        count += np.unpackbits(h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[2 * count > n].sum()) if (2 * count > n).any() else 0
+    return majority_bits(h)
 
 
 def _fingerprints(words: int):
@@ -148,7 +149,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Returns id_col, fingerprint (16 hex digits), component_id (least id of the group), group_size (rows with the same
     fingerprint).  A-Z are lower-cased; a null or empty text has fingerprint zero and links like any other.  A null id
     counts as greater than every other and comes back null.  Rows with one id are joined through it only if fingerprints
-    link.  Empty table: empty result.
+    link.  Texts may have any length; further columns, of whatever names, are left out.  Empty table: empty result.
     """
     store.ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(store.NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
@@ -168,11 +169,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return out.select(back("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("component_id").alias("component_id"), "group_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with the least id of each group of near copies only (rows that share that id all stay)."""
-    found = simhash_components(docs, id_col, text)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+def grid_links(sets: DataFrame) -> DataFrame:
+    """(a, b): each node of sets(node, fp) beside its fingerprint's least node, and a forest over linked fingerprints."""
+    nodes = store.materialize(sets.groupBy("fp").agg(F.min("node").alias("doc")), "nodes")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = nodes.select("fp", "doc").mapInArrow(_cells, "cell long, fp long, doc long")
+    edges = cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_edges, "a long, b long")
+    same = sets.select("node", "fp").distinct().join(nodes, "fp").select(F.col("node").alias("a"), F.col("doc").alias("b"))
+    return same.unionByName(edges).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns whatever their names, with exactly one row of each group chained by similarity: its least id's, null ids last.
+
+    Rows are told apart by place, so repeated and null ids are rows like any other, and of equal ids any one row may stay.
+    Texts without a word (null, empty, white space) are equal; texts may have any length.  Empty table: empty result.
+    """
+    return near_copies.keep_one(docs, grid_links, id_col, text, words, similarity)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
