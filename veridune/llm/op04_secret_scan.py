@@ -1,7 +1,7 @@
 """Secret scans: pattern candidates, and a random forest that removes false findings.
 
-Candidates are tokens of at least 16 characters of the usual key alphabets that hold a digit and a letter, values of any
-length and alphabet that a credential word assigns or announces, and private keys in PEM form.  The forest sees their length, character classes and transitions, likelihood under a character-pair model of ordinary words, coverage by a word
+Candidates are tokens of at least 16 characters of the usual key alphabets that hold a digit and a letter or start as known
+keys do, values of any length and alphabet that a credential word assigns or announces, and private keys in PEM form.  The forest sees their length, character classes and transitions, likelihood under a character-pair model of ordinary words, coverage by a word
 list, the path (or source) they come from and the words beside them.  It is trained from labelled findings: a table
 (text, start, end, path, is_secret), at most ``MOST_FINDINGS`` rows of it in hash order; without one, from generated findings
 with a fixed seed.
@@ -23,7 +23,7 @@ from . import store
 from .forest import Forest
 
 MOST_FINDINGS = 20_000
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 ASSIGNED = re.compile(
     rb"""(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credentials?|bearer)[\w-]{0,40}["'`]?\]?"""
     rb"""(?:[ \t]*(?:=>|:=|==|=|:)[ \t]*|[ \t]+(?=["'`])|(?<=bearer)[ \t]+)(?:bearer[ \t]+)?(?:"((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|`([^`\r\n]+)`|([^\s"'`]\S*))""",
@@ -107,7 +107,7 @@ def candidates(text: bytes) -> Iterator[tuple[int, int]]:
 def _tokens(text: bytes) -> Iterator[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         c = m.group().strip(b"-_=/+")
-        if len(c) >= 16 and any(48 <= x <= 57 for x in c) and any(65 <= x <= 90 or 97 <= x <= 122 for x in c):
+        if len(c) >= 16 and (PREFIX.search(c) or any(48 <= x <= 57 for x in c) and any(65 <= x <= 90 or 97 <= x <= 122 for x in c)):
             a = m.start() + m.group().index(c)
             yield a, a + len(c)
 
@@ -186,6 +186,8 @@ def model_from(findings: DataFrame | None = None) -> Forest:
     if findings is None:
         return train(generated_findings())
     rows = findings.where("is_secret is not null and text is not null and start >= 0 and end > start").orderBy(F.xxhash64("text", "start", "end")).limit(MOST_FINDINGS).collect()
+    if not rows:
+        return train(generated_findings())
     return train([(r.text.encode(), r.start, r.end, r.path, int(r.is_secret)) for r in rows])
 
 
@@ -221,14 +223,12 @@ def _redact(shared, threshold: float, mark: bytes):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, p in zip(batch["__text"].cast(pa.binary()).to_pylist(), batch["__path"].to_pylist(), strict=True):
+            for t, p in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["path"].to_pylist(), strict=True):
                 if t:
                     for a, b, _ in reversed(_judge(t, p, shared.value, threshold)):
                         t = t[:a] + mark + t[b:]
                 out.append(t)
-            names = [n for n in batch.schema.names if n not in ("__text", "__path")]
-            cols = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("__text", "__path")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.binary()).cast(pa.string())], names=[*names, "__clean"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(out, pa.binary()).cast(pa.string())], names=["doc", "clean"])
 
     return rows
 
@@ -236,7 +236,9 @@ def _redact(shared, threshold: float, mark: bytes):
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = "source", findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """A row a secret found: id_col, start and end (bytes of the UTF-8 text), score (share of trees), shape (its first characters' classes).
 
-    Null or empty texts hold none; a null path is an unknown one; a null id comes back null; repeated rows are scanned each.
+    Null or empty texts hold none; a null path is an unknown one; a null id comes back null; repeated rows are scanned each;
+    findings that overlap are one, with the greatest score.  Texts may have any length; further columns, of whatever names,
+    are left out.  An empty table of findings, or none of them labelled, is as none.  Empty table: empty result.
     """
     spark = docs.sparkSession
     store.ship(spark)
@@ -248,18 +250,17 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pat
 
 
 def redact(docs: DataFrame, text: str = "text", path: str | None = "source", findings: DataFrame | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs, all columns, with every secret found in ``text`` replaced by ``mark``."""
+    """docs, all columns whatever their names, with every secret that secret_scan finds in ``text`` replaced by ``mark``; null stays null."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     spark = docs.sparkSession
     store.ship(spark)
     model = spark.sparkContext.broadcast(model_from(findings))
-    others = [c for c in docs.columns if c != text]
-    source = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    src = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__text"), source.alias("__path"))
-    schema = StructType([*[docs.schema[c] for c in others], StructField("__clean", StringType())])
-    out = src.mapInArrow(_redact(model, threshold, mark.encode()), schema)
-    return out.select(*[F.col("__clean").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("doc")
+    source = F.col(f"`{path}`").cast("string") if path and path in docs.columns else F.lit(None).cast("string")
+    src = docs.select(whole, F.col(f"`{text}`").cast("string").alias("text"), source.alias("path"))
+    out = src.mapInArrow(_redact(model, threshold, mark.encode()), StructType([src.schema["doc"], StructField("clean", StringType())]))
+    return out.select(*[F.col("clean").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
