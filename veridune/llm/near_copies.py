@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from .grams import majority_bits
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 PARITIES = 2048
 PAIR_SCHEMA = "a long, b long"
+BROADCAST_ROWS = 1_000_000  # of two longs at most: 16 MB; beyond that, joins are dealt out by key
 
 
 def shingles(raw: bytes, words: int = 5) -> np.ndarray:
@@ -151,14 +153,26 @@ def _possible(similarity: float):
     return rows
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, a written table of a few longs a row, broadcast if its rows are counted few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _zip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array([pack.compress(t.as_py() or b"") for t in batch["text"].cast(pa.binary())], pa.binary())], names=["node", "text"])
+
+
 def _verify(words: int, similarity: float):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ok, last, x = [], None, None
-            for a, ta, tb in zip(batch["a"].to_pylist(), batch["ta"].cast(pa.binary()), batch["tb"].cast(pa.binary()), strict=True):
+            for a, ta, tb in zip(batch["a"].to_pylist(), batch["ta"], batch["tb"], strict=True):
                 if a != last:
-                    last, x = a, shingles(ta.as_py() or b"", words)
-                y = shingles(tb.as_py() or b"", words)
+                    last, x = a, shingles(unpack(ta.as_py()), words)
+                y = shingles(unpack(tb.as_py()), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -186,8 +200,8 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
     def verified(pairs: DataFrame) -> DataFrame:
         likely = store.materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(_possible(similarity), PAIR_SCHEMA), "likely")
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        rows_of = one.join(ends, "node", "left_semi").select("node", "row")
-        texts = store.materialize(src.select("row", "text").join(rows_of, "row").select("node", "text"), "texts")
+        rows_of = store.materialize(one.select("node", "row").join(ends, "node", "left_semi"), "ends")
+        texts = store.materialize(src.select("row", "text").join(_few(rows_of), "row").select("node", "text").mapInArrow(_zip, "node long, text binary"), "texts")
         text_of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
         both = likely.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "ta", "tb")
         links = store.materialize(both.mapInArrow(_verify(words, similarity), PAIR_SCHEMA), "links")
@@ -210,4 +224,4 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
     least = store.materialize(least.select(F.col("least.row").alias("row")), "least")
     for t in (sets, shared, one):
         store.remove(spark, t._veridune_path)
-    return rows.join(least, "row", "left_semi").select("doc.*")
+    return rows.join(_few(least), "row", "left_semi").select("doc.*")
