@@ -6,6 +6,9 @@ n - ceil(s n) + 1, so pairs meet at a shingle of both prefixes; sizes and positi
 hash buckets, which differ at most once for each shingle that only one set holds, and the texts decide.  Links of the
 caller's own (fingerprints on a grid) are verified first; a second round verifies neighbours and the first of each
 shingle's sets, which joins large groups in linear time; a third every remaining pair of sets not yet in one component.
+
+Pairs are looked at in cells.  A set's home is its first prefix shingle, which likely copies share, in chunks of about
+``CHUNK`` sets; a cell is two homes, and what is needed of a set goes to a cell once, not once a pair.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .grams import majority_bits
 
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 PARITIES = 2048
+CHUNK = 128
+CELL_SCHEMA = "cell long, a long, b long"
 PAIR_SCHEMA = "a long, b long"
 BROADCAST_ROWS = 1_000_000  # of two longs at most: 16 MB; beyond that, joins are dealt out by key
 
@@ -138,21 +143,46 @@ def _candidates(similarity: float, every: bool):
     return rows
 
 
-def _possible(similarity: float):
-    """Pairs whose parities differ in no more buckets than sets of that similarity can."""
+def _by_cell(decide: Callable):
+    """(cell, a, b) of the pairs that decide(n, data, i, j) keeps; rows arrive sorted by cell, a cell's sets (b null) before its pairs."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets, pairs = None, {}, []
+
+        def out():
+            if not pairs:
+                return
+            at = {node: i for i, node in enumerate(sets)}
+            i, j = (np.fromiter((at[p[k]] for p in pairs), np.int64, len(pairs)) for k in (0, 1))
+            keep = decide(np.array([x[0] for x in sets.values()], np.int64), [x[1] for x in sets.values()], i, j)
+            kept = [p for p, ok in zip(pairs, keep.tolist(), strict=True) if ok]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(kept), pa.int64()), pa.array([p[0] for p in kept], pa.int64()), pa.array([p[1] for p in kept], pa.int64())], names=["cell", "a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for c in ("oa", "ob"))
-            n = batch["na"].to_numpy().astype(np.int64) + batch["nb"].to_numpy()
-            ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * n + 1e-9
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            for c, a, b, n, data in zip(batch["cell"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), batch["n"].to_pylist(), batch["data"], strict=True):
+                if c != cell:
+                    yield from out()
+                    cell, sets, pairs = c, {}, []
+                if b is None:
+                    sets[a] = (n, data.as_py())
+                else:
+                    pairs.append((a, b))
+        yield from out()
 
     return rows
 
 
+def _possible(similarity: float) -> Callable:
+    """Pairs whose parities differ in no more buckets than sets of that similarity can."""
+
+    def decide(n, data, i, j):
+        x = np.frombuffer(b"".join(data), np.uint64).reshape(-1, PARITIES // 64)
+        return np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-9
+
+    return decide
+
+
 def _few(df: DataFrame) -> DataFrame:
     """df, a written table of a few longs a row, broadcast if its rows are counted few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -164,20 +194,17 @@ def _zip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array([pack.compress(t.as_py() or b"") for t in batch["text"].cast(pa.binary())], pa.binary())], names=["node", "text"])
 
 
-def _verify(words: int, similarity: float):
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(words: int, similarity: float) -> Callable:
+    """Pairs whose texts' sets are that similar."""
+
+    def decide(n, data, i, j):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            ok, last, x = [], None, None
-            for a, ta, tb in zip(batch["a"].to_pylist(), batch["ta"], batch["tb"], strict=True):
-                if a != last:
-                    last, x = a, shingles(unpack(ta.as_py()), words)
-                y = shingles(unpack(tb.as_py()), words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        held = [shingles(unpack(x), words) for x in data]
+        both = np.array([len(np.intersect1d(held[p], held[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        size = np.array([len(h) for h in held], np.int64)
+        return both >= similarity * (size[i] + size[j] - both) - 1e-9
 
-    return rows
+    return decide
 
 
 def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: str, text: str, words: int, similarity: float) -> DataFrame:
@@ -194,18 +221,29 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
     posts = sets.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
     shared = store.materialize(posts.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int, pos int"), "shared")
     one = sets.select("node", "row").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    one = store.materialize(one.join(sets.select("row", "n", "odd", "fp"), "row").select("node", "row", "n", "odd", "fp"), "shared-sets")
-    side = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    one = store.materialize(one.join(sets.select("row", "n", "odd", "fp", F.get("keys", F.lit(0)).alias("home")), "row").select("node", "row", "n", "odd", "fp", "home"), "shared-sets")
+    large = store.materialize(one.groupBy("home").count().where(F.col("count") > CHUNK), "homes")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK))
+    homes = store.materialize(one.select("node", "home").join(_few(large), "home", "left").select("node", F.xxhash64("home", chunk).alias("home")), "homes")
+
+    def looked_at(pairs: DataFrame, data: DataFrame, decide: Callable, name: str) -> DataFrame:
+        """The pairs(cell, a, b) that decide keeps, by data(node, n, data) sent to each cell that needs it."""
+        need = pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct()
+        sent = need.join(data, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "data")
+        asked = pairs.select("cell", "a", "b", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("data"))
+        dealt = sent.unionByName(asked).repartition(parts, "cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
+        return store.materialize(dealt.mapInArrow(_by_cell(decide), CELL_SCHEMA), name)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = store.materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(_possible(similarity), PAIR_SCHEMA), "likely")
+        home = lambda c: homes.select(F.col("node").alias(c), F.col("home").alias(f"h{c}"))
+        cells = pairs.join(home("a"), "a").join(home("b"), "b").select(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("cell"), "a", "b")
+        cells = store.materialize(cells, "cells")
+        likely = looked_at(cells, one.select("node", "n", F.col("odd").alias("data")), _possible(similarity), "likely")
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         rows_of = store.materialize(one.select("node", "row").join(ends, "node", "left_semi"), "ends")
         texts = store.materialize(src.select("row", "text").join(_few(rows_of), "row").select("node", "text").mapInArrow(_zip, "node long, text binary"), "texts")
-        text_of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
-        both = likely.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "ta", "tb")
-        links = store.materialize(both.mapInArrow(_verify(words, similarity), PAIR_SCHEMA), "links")
-        for t in (likely, texts):
+        links = looked_at(likely, texts.select("node", F.lit(0).alias("n"), F.col("text").alias("data")), _verify(words, similarity), "links").select("a", "b")
+        for t in (cells, likely, rows_of, texts):
             store.remove(spark, t._veridune_path)
         return links
 
@@ -222,6 +260,6 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
     roots = connected_components(edges)
     least = sets.select("row", "id", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "row")).alias("least"))
     least = store.materialize(least.select(F.col("least.row").alias("row")), "least")
-    for t in (sets, shared, one):
+    for t in (sets, shared, one, large, homes):
         store.remove(spark, t._veridune_path)
     return rows.join(_few(least), "row", "left_semi").select("doc.*")
