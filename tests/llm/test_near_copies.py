@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from veridune.llm import near_copies
 
@@ -59,3 +61,19 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(7, a), (7, a), (7, a + " x"), (9, b), (None, b + " x"), (None, None), (None, ""), (7, "other words that stand alone here")]
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == [-1, 7, 7, 9]
+
+
+def test_parities_keep_every_similar_pair_and_few_others():
+    r = np.random.default_rng(1)
+    sets, pairs = [], []
+    for n in (6, 60, 700, 6000, 40_000):
+        base = r.integers(0, 1 << 63, 2 * n, np.uint64)
+        for share in (n, round(0.9 * n), round(0.89 * n), n // 2, 0):
+            sets += [np.unique(base[:n]), np.unique(base[n - share : 2 * n - share])]
+            pairs.append((len(sets) - 2, len(sets) - 1))
+    i, j = np.array(pairs).T
+    keep = near_copies._possible(0.8)(np.array(list(map(len, sets))), [near_copies._parities(s) for s in sets], i, j)
+    for (a, b), k in zip(pairs, keep, strict=True):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        s = both / (len(sets[a]) + len(sets[b]) - both)
+        assert k if s >= 0.8 else (not k or s > 0.75), (len(sets[a]), s)

@@ -28,7 +28,7 @@ from .components import connected_components
 from .grams import majority_bits
 
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
-PARITIES = 2048
+LEAST_PARITIES = 512
 CHUNK = 128
 CELL_SCHEMA = "cell long, a long, b long"
 PAIR_SCHEMA = "a long, b long"
@@ -58,6 +58,12 @@ def _all(words: int):
     return rows
 
 
+def _parities(h: np.ndarray) -> bytes:
+    """A bit for each bucket that holds an odd number of hashes; four buckets a hash or more, so that long texts don't fill them."""
+    buckets = max(LEAST_PARITIES, 1 << (4 * len(h)).bit_length())
+    return np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets).astype(np.uint8) & 1).tobytes()
+
+
 def _sets(shared, words: int, similarity: float):
     """node names a set by a hash of all its shingles, fp is its fingerprint; keys are its prefix."""
 
@@ -70,7 +76,7 @@ def _sets(shared, words: int, similarity: float):
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 n.append(len(h))
                 fp.append(majority_bits(h))
-                odd.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES).astype(np.uint8) & 1).tobytes())
+                odd.append(_parities(h))
                 if len(common) and len(h):
                     late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate([h[~late], h[late]])
@@ -177,8 +183,23 @@ def _possible(similarity: float) -> Callable:
     """Pairs whose parities differ in no more buckets than sets of that similarity can."""
 
     def decide(n, data, i, j):
-        x = np.frombuffer(b"".join(data), np.uint64).reshape(-1, PARITIES // 64)
-        return np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-9
+        size = np.array(list(map(len, data)), np.int64)
+        least, keep = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
+        for m in np.unique(least).tolist():
+            pairs = np.flatnonzero(least == m)
+            used, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+            folded = []
+            for k in used.tolist():
+                x = np.frombuffer(data[k], np.uint64)
+                while 8 * len(x) > m:  # as many buckets as the other has: halves lie on each other
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                folded.append(x)
+            x, a, b = np.stack(folded), at[: len(pairs)], at[len(pairs) :]
+            for c in range(0, len(pairs), 4096):
+                part = pairs[c : c + 4096]
+                differ = np.bitwise_count(x[a[c : c + 4096]] ^ x[b[c : c + 4096]]).sum(axis=1, dtype=np.int64)
+                keep[part] = differ <= (1 - similarity) / (1 + similarity) * (n[i[part]] + n[j[part]]) + 1e-9
+        return keep
 
     return decide
 
