@@ -1,8 +1,9 @@
 """Near copies by Jaccard similarity of word shingles, found whole by prefix filtering and verified exactly.
 
 Texts are sets of hashed shingles in one global order: shingles frequent in a sample of rows last, hashes ascending
-otherwise (the order decides cost, never the result).  Two sets of similarity s or more share a shingle among their first
-n - ceil(s n) + 1, so pairs meet at a shingle of both prefixes; sizes and positions rule more pairs out, then parities of
+otherwise (the order decides cost, never the result).  Two sets of similarity s or more share k shingles or more among their
+first n - ceil(s n) + k, so pairs meet at shingles of both prefixes, k of them at least, where k is a fortieth of the
+smaller set and one more; sizes and positions rule more pairs out, then parities of
 hash buckets, which differ at most once for each shingle that only one set holds, and the texts decide.  Links of the
 caller's own (fingerprints on a grid) are verified first; a second round verifies neighbours and the first of each
 shingle's sets, which joins large groups in linear time; a third every remaining pair of sets not yet in one component.
@@ -64,6 +65,11 @@ def _parities(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets).astype(np.uint8) & 1).tobytes()
 
 
+def _meetings(n):
+    """How many shingles of both prefixes two similar sets share, of which the smaller has n."""
+    return 1 + n // 40
+
+
 def _sets(shared, words: int, similarity: float):
     """node names a set by a hash of all its shingles, fp is its fingerprint; keys are its prefix."""
 
@@ -80,7 +86,7 @@ def _sets(shared, words: int, similarity: float):
                 if len(common) and len(h):
                     late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     h = np.concatenate([h[~late], h[late]])
-                keys.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0])
+                keys.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + _meetings(len(h)) if len(h) else 0])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, pa.array(odd, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["row", "id", "node", "n", "keys", "odd", "fp"])
@@ -133,8 +139,8 @@ def _candidates(similarity: float, every: bool):
                 ok = (root[i] != root[j]) & (n[i] >= similarity * n[j] - 1e-9) & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
                 a, b = node[i[ok]], node[j[ok]]
                 if len(a):
-                    p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                    need = _meetings(np.minimum(n[i[ok]], n[j[ok]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
             if not every:
                 yield from out(start, live)
@@ -270,7 +276,9 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
 
     def candidates(roots: DataFrame, every: bool) -> DataFrame:
         rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-        return rooted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(similarity, every), PAIR_SCHEMA).distinct()
+        met = rooted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(similarity, every), PAIR_SCHEMA + ", need long")
+        met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
+        return (met.where("met >= need") if every else met).select("a", "b")
 
     seen = store.materialize(first(one.select("node", "fp")), "pairs")
     edges = verified(seen)
