@@ -5,8 +5,8 @@ otherwise (the order decides cost, never the result).  Two sets of similarity s
 first n - ceil(s n) + k, so pairs meet at shingles of both prefixes, k of them at least, where k is a fortieth of the
 smaller set and one more; sizes and positions rule more pairs out, then parities of
 hash buckets, which differ at most once for each shingle that only one set holds, and the texts decide.  Links of the
-caller's own (fingerprints on a grid) are verified first; a second round verifies neighbours and the first of each
-shingle's sets, which joins large groups in linear time; a third every remaining pair of sets not yet in one component.
+caller's own (fingerprints on a grid) are verified first; then neighbours and the first of each shingle's sets, then sets
+up to eight places apart, which joins large groups in linear time; at last every pair of sets not yet in one component.
 
 Pairs are looked at in cells.  A set's home is its first prefix shingle, which likely copies share, in chunks of about
 ``CHUNK`` sets; a cell is two homes, and what is needed of a set goes to a cell once, not once a pair.
@@ -123,8 +123,9 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[c][i]) for c in ("key", "node", "n", "pos")], names=["key", "node", "n", "pos"])
 
 
-def _candidates(similarity: float, every: bool):
-    """Pairs of a key's sets that sizes and positions allow, of different roots; rows sorted by key, size and node."""
+def _candidates(similarity: float, steps: int | None):
+    """Pairs of a key's sets that sizes and positions allow, of different roots and up to so many places apart (None: any), and the
+    first beside each where they aren't all; rows sorted by key, size and node."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _by_key(batches):
@@ -142,10 +143,10 @@ def _candidates(similarity: float, every: bool):
                     need = _meetings(np.minimum(n[i[ok]], n[j[ok]]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
-            if not every:
+            if steps:
                 yield from out(start, live)
             step = 1
-            while len(live) and (every or step == 1):
+            while len(live) and step <= (steps or len(key)):
                 live = live[live + step < len(key)]
                 live = live[key[live] == key[live + step]]
                 live = live[n[live] >= similarity * n[live + step] - 1e-9]
@@ -247,8 +248,13 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
     sets = store.materialize(src.mapInArrow(_sets(common, words, similarity), "row long, id long, node long, n int, keys array<long>, odd binary, fp long"), "sets")
     posts = sets.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
     shared = store.materialize(posts.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int, pos int"), "shared")
-    one = sets.select("node", "row").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    one = store.materialize(one.join(sets.select("row", "n", "odd", "fp", F.get("keys", F.lit(0)).alias("home")), "row").select("node", "row", "n", "odd", "fp", "home"), "shared-sets")
+    slim = store.materialize(sets.select("row", "id", "node", "n", "odd", "fp", F.get("keys", F.lit(0)).alias("home")), "slim-sets")
+    store.remove(spark, sets._veridune_path)
+    sets = slim
+    held = store.materialize(shared.select("node").distinct(), "shared-nodes")
+    one = sets.select("node", "row").join(_few(held), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    one = store.materialize(one, "shared-rows")
+    one = store.materialize(sets.select("row", "n", "odd", "fp", "home").join(_few(one), "row").select("node", "row", "n", "odd", "fp", "home"), "shared-sets")
     large = store.materialize(one.groupBy("home").count().where(F.col("count") > CHUNK), "homes")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK))
     homes = store.materialize(one.select("node", "home").join(_few(large), "home", "left").select("node", F.xxhash64("home", chunk).alias("home")), "homes")
@@ -263,7 +269,7 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
 
     def verified(pairs: DataFrame) -> DataFrame:
         home = lambda c: homes.select(F.col("node").alias(c), F.col("home").alias(f"h{c}"))
-        cells = pairs.join(home("a"), "a").join(home("b"), "b").select(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("cell"), "a", "b")
+        cells = pairs.join(_few(home("a")), "a").join(_few(home("b")), "b").select(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("cell"), "a", "b")
         cells = store.materialize(cells, "cells")
         likely = looked_at(cells, one.select("node", "n", F.col("odd").alias("data")), _possible(similarity), "likely")
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
@@ -274,20 +280,20 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
             store.remove(spark, t._veridune_path)
         return links
 
-    def candidates(roots: DataFrame, every: bool) -> DataFrame:
-        rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-        met = rooted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(similarity, every), PAIR_SCHEMA + ", need long")
+    def candidates(roots: DataFrame, steps: int | None) -> DataFrame:
+        rooted = shared.join(_few(roots), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        met = rooted.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(similarity, steps), PAIR_SCHEMA + ", need long")
         met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
-        return (met.where("met >= need") if every else met).select("a", "b")
+        return (met if steps == 1 else met.where("met >= least(need, 2)") if steps else met.where("met >= need")).select("a", "b")
 
     seen = store.materialize(first(one.select("node", "fp")), "pairs")
     edges = verified(seen)
-    for every in (False, True):
+    for steps in (1, 8, None):
         roots = connected_components(edges)
-        pairs = store.materialize(candidates(roots, every).join(seen, ["a", "b"], "left_anti"), "pairs")
+        pairs = store.materialize(candidates(roots, steps).join(seen, ["a", "b"], "left_anti"), "pairs")
         edges, seen = edges.unionByName(verified(pairs)), seen.unionByName(pairs)
     roots = connected_components(edges)
-    least = sets.select("row", "id", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "row")).alias("least"))
+    least = sets.select("row", "id", "node").join(_few(roots), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "row")).alias("least"))
     least = store.materialize(least.select(F.col("least.row").alias("row")), "least")
     for t in (sets, shared, one, large, homes):
         store.remove(spark, t._veridune_path)
