@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,29 +68,79 @@ def class_divergence(df: DataFrame, label: str, side: str) -> DataFrame:
     return p.agg(F.sum((F.col("p") + 1e-10) * F.log((F.col("p") + 1e-10) / (F.col("q") + 1e-10))).alias("kl"), (F.sum(half(F.col("p"))) / 2 + F.sum(half(F.col("q"))) / 2).alias("js_bits"))
 
 
-def _pairs(df: DataFrame, id_col: str, vector: str, side: str, rows: int) -> DataFrame:
-    """All pairs of the first rows of each side (a stated number: the statistic is defined on them)."""
-    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(side).orderBy(id_col))).where(F.col("__r") <= rows)
-    a = r.select(F.col(id_col).alias("i"), F.col(side).alias("si"), F.col(vector).alias("vi"), F.lit(1).alias("one"))
-    b = r.select(F.col(id_col).alias("j"), F.col(side).alias("sj"), F.col(vector).alias("vj"), F.lit(1).alias("one"))
-    d = F.zip_with("vi", "vj", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0))
-    return a.join(F.broadcast(b), "one").where("i <> j").select("si", "sj", F.aggregate(d, F.lit(0.0), lambda s, x: s + x).alias("d2"))
+BLOCK_ROWS = 256
 
 
-def mmd2(df: DataFrame, id_col: str, vector: str, side: str, sigma: float = 1.0, rows: int = 100) -> DataFrame:
-    """Unbiased squared MMD with a Gaussian kernel."""
-    k = _pairs(df, id_col, vector, side, rows).withColumn("k", F.exp(-F.col("d2") / (2 * sigma * sigma)))
-    within = lambda s: F.avg(F.when((F.col("si") == s) & (F.col("sj") == s), F.col("k")))
-    return k.agg((within(True) + within(False) - 2 * F.avg(F.when(F.col("si") & ~F.col("sj"), F.col("k")))).alias("mmd2"))
+def _deals(id_col: str, share: Column, rounds: int, seed: str) -> Column:
+    """Each round's side of a row, by a hash of round and id: true for about ``share`` of the rows."""
+    u = lambda r: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), r.cast("string"), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: u(r) < share) if rounds else F.array().cast("array<boolean>")
 
 
-def energy_distance(df: DataFrame, id_col: str, vector: str, side: str, rows: int = 200) -> DataFrame:
-    e = _pairs(df, id_col, vector, side, rows).withColumn("e", F.sqrt("d2"))
-    n = df.groupBy(side).agg(F.least(F.count(F.lit(1)), F.lit(rows)).alias("n"))
-    n = n.agg(F.max(F.when(F.col(side), F.col("n"))).alias("na"), F.max(F.when(~F.col(side), F.col("n"))).alias("nb"))
-    s = lambda c: F.coalesce(F.sum(F.when(c, F.col("e"))), F.lit(0.0))
-    g = e.agg(s(F.col("si") & ~F.col("sj")).alias("x"), s(F.col("si") & F.col("sj")).alias("a"), s(~F.col("si") & ~F.col("sj")).alias("b")).join(F.broadcast(n))  # one row each
-    return g.select((2 * F.col("x") / (F.col("na") * F.col("nb")) - F.col("a") / (F.col("na") * F.col("na")) - F.col("b") / (F.col("nb") * F.col("nb"))).alias("energy"))
+def bandwidth(df: DataFrame, id_col: str, vector: str, side: str, rows: int = 100) -> DataFrame:
+    """(sigma): median of the positive distances between the first ``rows`` rows of each side, as the statistic defines it."""
+    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(side).orderBy(id_col))).where(F.col("__r") <= rows)
+    r = r.select(F.col(id_col).alias("i"), F.col(vector).alias("v"), F.lit(1).alias("one"))
+    d = F.zip_with("v", "w", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0))
+    both = r.join(F.broadcast(r.select(F.col("i").alias("j"), F.col("v").alias("w"), "one")), "one")  # 2 * rows at most
+    return both.select(F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x)).alias("d")).where("d > 0").agg(F.median("d").alias("sigma"))
+
+
+def _gram_sums(gaussian: bool):
+    def rows(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                n, m = len(x["ids_a"]), len(x["ids_b"])
+                va, vb = (np.asarray(x[c], float).reshape(k, -1) for c, k in (("v_a", n), ("v_b", m)))
+                sa, sb = (np.asarray(x[c], float).reshape(k, -1) for c, k in (("s_a", n), ("s_b", m)))
+                d2 = np.maximum((va * va).sum(axis=1)[:, None] + (vb * vb).sum(axis=1)[None, :] - 2 * va @ vb.T, 0.0)
+                k = np.exp(-d2 / (2 * x["sigma"] ** 2)) if gaussian else np.sqrt(d2)
+                one = x["a"] == x["b"]
+                if one:
+                    np.fill_diagonal(k, 0.0)
+                yes, no = k @ sb, k @ (1 - sb)
+                tt, ff, tf = (sa * yes).sum(axis=0), ((1 - sa) * no).sum(axis=0), (sa * no).sum(axis=0)
+                tt, ff, tf = (tt / 2, ff / 2, tf) if one else (tt, ff, tf + ((1 - sa) * yes).sum(axis=0))
+                there = sa.sum(axis=0) if one else np.zeros(sa.shape[1])
+                yield pa.RecordBatch.from_pydict({"round": np.arange(len(tt)), "tt": tt, "ff": ff, "tf": tf, "nt": there, "nf": (n - there) if one else there})
+
+    return rows
+
+
+def pair_sums(df: DataFrame, id_col: str, vector: str, side: str, sigma: DataFrame | None = None, rounds: int = 0, seed: str = "0") -> DataFrame:
+    """(round, tt, ff, tf, nt, nf): sums over all unordered pairs inside each side and across, and the sides' sizes.
+
+    Gaussian kernel where sigma is given, distances elsewhere; round 0 has the sides as they are, others hashed ones.  Every
+    row meets every other: rows are dealt into blocks of about ``BLOCK_ROWS``, pairs of blocks are equi-joined, and a task sends
+    on a few sums a pair of blocks, never its pairs of rows.
+    """
+    one = df.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"), F.avg(F.col(side).cast("double")).alias("share"))
+    r = df.join(F.broadcast(one))  # one row
+    row = F.struct(F.col(id_col).cast("string").alias("id"), F.concat(F.array(side), _deals(id_col, F.col("share"), rounds, seed)).alias("s"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    held = r.groupBy(F.pmod(F.xxhash64(id_col), "blocks").alias("block"), "blocks").agg(F.collect_list(row).alias("r"))
+    held = held.select("block", "blocks", F.transform("r", lambda x: x.id).alias("ids"), F.flatten(F.transform("r", lambda x: x.s)).alias("s"), F.flatten(F.transform("r", lambda x: x.v)).alias("v"))
+    part = lambda c: held.select(F.col("block").alias(c), F.col("ids").alias(f"ids_{c}"), F.col("s").alias(f"s_{c}"), F.col("v").alias(f"v_{c}"))
+    pairs = held.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"))
+    pairs = pairs.join(part("a"), "a").join(part("b"), "b")
+    pairs = pairs.join(F.broadcast(sigma)) if sigma is not None else pairs.withColumn("sigma", F.lit(1.0))  # one row
+    sums = pairs.mapInArrow(_gram_sums(sigma is not None), "round long, tt double, ff double, tf double, nt double, nf double")
+    return sums.groupBy("round").agg(*[F.sum(c).alias(c) for c in ("tt", "ff", "tf", "nt", "nf")])
+
+
+def mmd2(df: DataFrame, id_col: str, vector: str, side: str, rounds: int = 100, seed: str = "0") -> DataFrame:
+    """(mmd2, p): unbiased squared MMD of all rows, Gaussian kernel of median bandwidth; p is the share of re-dealt sides that reach it."""
+    k = pair_sums(df, id_col, vector, side, bandwidth(df, id_col, vector, side), rounds, seed)
+    m = k.select("round", (2 * F.col("tt") / (F.col("nt") * (F.col("nt") - 1)) + 2 * F.col("ff") / (F.col("nf") * (F.col("nf") - 1)) - 2 * F.col("tf") / (F.col("nt") * F.col("nf"))).alias("m"))
+    own = F.max(F.when(F.col("round") == 0, F.col("m")))
+    g = m.agg(own.alias("mmd2"), F.collect_list("m").alias("ms"))  # a number a round
+    return g.select("mmd2", ((F.size(F.filter("ms", lambda x: x >= F.col("mmd2"))) - 1.0) / rounds).alias("p"))  # less round 0 itself
+
+
+def energy_distance(df: DataFrame, id_col: str, vector: str, side: str) -> DataFrame:
+    """(energy) of all rows."""
+    n2 = lambda a, b: F.col(a) * F.col(b)
+    e = pair_sums(df, id_col, vector, side)
+    return e.select((2 * F.col("tf") / n2("nt", "nf") - 2 * F.col("tt") / n2("nt", "nt") - 2 * F.col("ff") / n2("nf", "nf")).alias("energy"))
 
 
 def direction_coherence(df: DataFrame, id_col: str, vector: str, distance: str, top: int) -> DataFrame:
@@ -114,13 +166,28 @@ def arbitrate(votes: DataFrame) -> DataFrame:
     return g.withColumn("verdict", F.when(F.col("shape") >= 2, "suspicious").when((F.col("natural") > 0) & (F.col("shape") == 0), "natural").otherwise("undetermined"))
 
 
-def permutation_p(df: DataFrame, id_col: str, x: str, side: str, rounds: int = 200, seed: str = "0") -> DataFrame:
-    """(observed, p) for the difference of means; each round re-deals sides by md5 order, p = (1 + #>=) / (1 + rounds)."""
-    a = F.when(F.col(side), F.col(x))
-    b = F.when(~F.col(side), F.col(x))
-    obs = df.agg(F.abs(F.avg(a) - F.avg(b)).alias("observed"), F.avg(F.col(side).cast("double")).alias("share"))
-    r = df.select(id_col, x, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).join(F.broadcast(obs))  # one row
-    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.col("round").cast("string"), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    r = r.withColumn("s", u < F.col("share"))
-    g = r.groupBy("round", "observed").agg(F.abs(F.avg(F.when(F.col("s"), F.col(x))) - F.avg(F.when(~F.col("s"), F.col(x)))).alias("d"))
-    return g.groupBy("observed").agg(((1.0 + F.count_if(F.col("d") >= F.col("observed"))) / (1.0 + F.count(F.lit(1)))).alias("p"))
+def _dealt_sums(batches):
+    total = held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, v = (np.asarray(batch[c].to_pylist(), float) for c in ("s", "v"))
+        part, n = np.stack([s.T @ v, (1 - s).T @ v]), np.stack([s.sum(axis=0), (1 - s).sum(axis=0)])
+        total, held = (part, n) if total is None else (total + part, held + n)
+    if total is not None:
+        rounds, dims = total.shape[1:]
+        r, d = np.divmod(np.arange(rounds * dims), dims)
+        yield pa.RecordBatch.from_pydict({"round": r, "dim": d, "t": total[0].ravel(), "f": total[1].ravel(), "nt": held[0][r], "nf": held[1][r]})
+
+
+def permutation_p(df: DataFrame, id_col: str, vector: str, side: str, rounds: int = 200, seed: str = "0") -> DataFrame:
+    """(observed, p) for the length of the difference of means over all components; p = (1 + #>=) / (1 + rounds) over re-dealt sides.
+
+    A task sends on a sum a round and component, not its rows once a round.
+    """
+    one = df.agg(F.avg(F.col(side).cast("double")).alias("share"))
+    r = df.join(F.broadcast(one)).select(F.concat(F.array(side), _deals(id_col, F.col("share"), rounds, seed)).alias("s"), F.transform(vector, lambda x: x.cast("double")).alias("v"))  # one row
+    sums = r.mapInArrow(_dealt_sums, "round long, dim long, t double, f double, nt double, nf double").groupBy("round", "dim").agg(*[F.sum(c).alias(c) for c in ("t", "f", "nt", "nf")])
+    d = sums.groupBy("round").agg(F.sqrt(F.sum(F.pow(F.col("t") / F.col("nt") - F.col("f") / F.col("nf"), 2.0))).alias("d"))
+    g = d.agg(F.max(F.when(F.col("round") == 0, F.col("d"))).alias("observed"), F.collect_list("d").alias("ds"))  # a number a round
+    return g.select("observed", (F.size(F.filter("ds", lambda x: x >= F.col("observed"))) / (1.0 + rounds)).alias("p"))

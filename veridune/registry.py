@@ -450,15 +450,20 @@ def class_divergence(spark, sf):
 
 
 PAIR = """WITH r AS (SELECT vec_id, label < 5 AS s, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label < 5 ORDER BY vec_id) AS k FROM embeddings),
-d AS (SELECT a.s AS si, b.s AS sj, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) ** 2)) AS d2 FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.k <= {n} AND b.k <= {n})"""
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.s AS si, b.s AS sj, a.k AS ki, b.k AS kj, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) ** 2)) AS d2 FROM r a JOIN r b ON a.vec_id < b.vec_id)"""
 
 
-@query(PAIR.format(n=100) + " SELECT round(avg(exp(-d2 / 2)) FILTER (si AND sj) + avg(exp(-d2 / 2)) FILTER (NOT si AND NOT sj) - 2 * avg(exp(-d2 / 2)) FILTER (si AND NOT sj), 6) AS mmd2 FROM d")
+@query(PAIR + """, h AS (SELECT median(sqrt(d2)) AS sigma FROM d WHERE ki <= 100 AND kj <= 100 AND d2 > 0), k AS (SELECT i, j, si, sj, exp(-d2 / (2 * sigma * sigma)) AS k FROM d, h),
+share AS (SELECT avg(s::INT) AS share FROM r), deal AS (SELECT vec_id, round_, ('0x' || substr(md5('0/' || round_ || '/' || vec_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < share AS s FROM r, share, (SELECT unnest(range(1, 101)) AS round_)
+UNION ALL SELECT vec_id, 0, s FROM r), n AS (SELECT round_, count(*) FILTER (s)::DOUBLE AS nt, count(*) FILTER (NOT s)::DOUBLE AS nf FROM deal GROUP BY 1),
+m AS (SELECT a.round_ AS round_, 2 * sum(k) FILTER (a.s AND b.s) / (nt * (nt - 1)) + 2 * sum(k) FILTER (NOT a.s AND NOT b.s) / (nf * (nf - 1)) - 2 * sum(k) FILTER (a.s <> b.s) / (nt * nf) AS m
+  FROM k JOIN deal a ON a.vec_id = i JOIN deal b ON b.vec_id = j AND a.round_ = b.round_ JOIN n ON n.round_ = a.round_ GROUP BY a.round_, nt, nf)
+SELECT round(any_value(o), 6) AS mmd2, round((count(*) FILTER (m >= o) - 1) / 100.0::DOUBLE, 6) AS p FROM m, (SELECT m AS o FROM m WHERE round_ = 0)""")
 def mmd2(spark, sf):
-    return r6(drift.mmd2(sides(spark, sf), "vec_id", "embedding", "side"), "mmd2")
+    return r6(drift.mmd2(sides(spark, sf), "vec_id", "embedding", "side"), "mmd2", "p")
 
 
-@query(PAIR.format(n=200) + ", n AS (SELECT count(*) FILTER (s AND k <= 200) AS na, count(*) FILTER (NOT s AND k <= 200) AS nb FROM r) SELECT round(2 * sum(sqrt(d2)) FILTER (si AND NOT sj) / (na * nb) - sum(sqrt(d2)) FILTER (si AND sj) / (na * na) - sum(sqrt(d2)) FILTER (NOT si AND NOT sj) / (nb * nb), 6) AS energy FROM d, n GROUP BY na, nb")
+@query(PAIR + ", n AS (SELECT count(*) FILTER (s)::DOUBLE AS na, count(*) FILTER (NOT s)::DOUBLE AS nb FROM r) SELECT round(2 * sum(sqrt(d2)) FILTER (si <> sj) / (na * nb) - 2 * sum(sqrt(d2)) FILTER (si AND sj) / (na * na) - 2 * sum(sqrt(d2)) FILTER (NOT si AND NOT sj) / (nb * nb), 6) AS energy FROM d, n GROUP BY na, nb")
 def energy_distance(spark, sf):
     return r6(drift.energy_distance(sides(spark, sf), "vec_id", "embedding", "side"), "energy")
 
@@ -482,12 +487,12 @@ def arbiter(spark, sf):
     return drift.arbitrate(e)
 
 
-@query("""WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS x, label < 5 AS s FROM embeddings), o AS (SELECT abs(avg(x) FILTER (s) - avg(x) FILTER (NOT s)) AS observed, avg(s::INT) AS share FROM x),
-r AS (SELECT round_, x, ('0x' || substr(md5('0/' || round_ || '/' || vec_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < share AS s FROM x, o, (SELECT unnest(range(1, 201)) AS round_)), g AS (SELECT round_, abs(avg(x) FILTER (s) - avg(x) FILTER (NOT s)) AS d FROM r GROUP BY 1)
-SELECT round(observed, 6) AS observed, round((1.0::DOUBLE + count(*) FILTER (d >= observed)) / 201, 6) AS p FROM g, o GROUP BY observed""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label < 5 AS s FROM embeddings), share AS (SELECT avg(s::INT) AS share FROM v),
+deal AS (SELECT vec_id, round_, ('0x' || substr(md5('0/' || round_ || '/' || vec_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < share AS s FROM v, share, (SELECT unnest(range(1, 201)) AS round_) UNION ALL SELECT vec_id, 0, s FROM v),
+x AS (SELECT vec_id, unnest(x) AS x, unnest(range(len(x))) AS dim FROM v), g AS (SELECT round_, dim, avg(x) FILTER (s) - avg(x) FILTER (NOT s) AS e FROM x JOIN deal USING (vec_id) GROUP BY 1, 2), d AS (SELECT round_, sqrt(sum(e * e)) AS d FROM g GROUP BY 1)
+SELECT round(any_value(o), 6) AS observed, round(count(*) FILTER (d >= o) / 201.0::DOUBLE, 6) AS p FROM d, (SELECT d AS o FROM d WHERE round_ = 0)""")
 def permutation_p(spark, sf):
-    e = sides(spark, sf).select("vec_id", F.col("embedding")[0].cast("double").alias("x"), "side")
-    return r6(drift.permutation_p(e, "vec_id", "x", "side"), "observed", "p")
+    return r6(drift.permutation_p(sides(spark, sf), "vec_id", "embedding", "side"), "observed", "p")
 
 
 # -- decisions ---------------------------------------------------------------------------------------------------------
