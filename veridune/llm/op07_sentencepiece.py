@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ class PieceModel:
         self.is_byte = {i: b for b, i in self.byte.items()}
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.bytes_of = [bytes([self.is_byte[i]]) if i in self.is_byte else b"" if i in self.control else p.encode() if i != self.unknown else " ⁇ ".encode() for i, p in enumerate(self.pieces)]
+        self.texts = pa.array([b.decode("utf-8", "surrogateescape").replace(MARK, " ").encode("utf-8", "surrogateescape") for b in self.bytes_of], pa.large_binary())
+        self.partial = np.array([self.is_byte.get(i, 0) >= 128 for i in range(n)])  # part of a character
         self.beside: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -170,6 +173,24 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+    def decode_lists(self, values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """decode() of the lists values[ends[i]:ends[i + 1]]: pieces' texts one after another, lists with parts of characters by themselves."""
+        values = values[ends[0] : ends[-1]]
+        ends = (ends - ends[0]).astype(np.int64)
+        if not len(values):
+            return pa.array([""] * (len(ends) - 1), pa.large_string())
+        taken = self.texts.take(pa.array(values))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        parts = np.concatenate([[0], np.cumsum(self.partial[values])])
+        alone = parts[ends[1:]] > parts[ends[:-1]]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[ends])), taken.buffers()[2]])
+        raw = pc.if_else(pc.starts_with(raw, b" "), pc.binary_replace_slice(raw, 0, 1, b""), raw)
+        if alone.any():
+            own = iter([self.decode(values[ends[i] : ends[i + 1]].tolist()).encode() for i in np.flatnonzero(alone)])
+            raw = pc.replace_with_mask(raw, pa.array(alone), pa.array(list(own), pa.large_binary()))
+        return raw.cast(pa.large_string())
+
+
 def model(path: str | None) -> PieceModel:
     path = path or default_path("piece_bpe_32k.model")
     if path not in _LOADED:
@@ -196,7 +217,10 @@ def _decode(path: str | None):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([m.decode(x or ()) for x in batch["ids"].to_pylist()], pa.string())], names=["id", "text"])
+            size = pc.fill_null(pc.list_value_length(batch["ids"]), 0).to_numpy()
+            values = pc.list_flatten(batch["ids"]).to_numpy(zero_copy_only=False)
+            text = m.decode_lists(values, np.concatenate([[0], np.cumsum(size)]))
+            yield pa.RecordBatch.from_arrays([batch["id"], text.cast(pa.string())], names=["id", "text"])
 
     return rows
 
@@ -209,7 +233,7 @@ def _round_trip(path: str | None):
         for batch in _encode(path)(batches):
             ids = batch["ids"]
             values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            text = pa.array([m.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            text = m.decode_lists(values, ends).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch["id"], ids, text], names=["id", "ids", "decoded"])
 
     return rows
@@ -218,7 +242,8 @@ def _round_trip(path: str | None):
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """id_col and ids array<int> of each whole text by the model file ``path`` (default piece_bpe_32k.model).
 
-    Null or empty texts have no ids.  Null ids and repeated rows pass through.  No start or end id is added.
+    Null or empty texts have no ids.  Null ids and repeated rows pass through.  No start or end id is added.  Texts and words may
+    have any length; further columns, of whatever names, are left out.  Empty table: empty result.
     """
     store.ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
