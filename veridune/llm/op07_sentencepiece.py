@@ -137,7 +137,10 @@ class PieceModel:
         """Marked words: a run of marks belongs to the word behind it."""
         if not text:
             return []
-        first, *rest = (MARK + text.replace(" ", MARK)).split(MARK)[1:]
+        words = text.replace(" ", MARK).split(MARK)
+        if "" not in words:  # no runs of marks
+            return [MARK + w for w in words]
+        first, *rest = words
         out, held = [], MARK + first
         for w in rest:
             if held.strip(MARK):
@@ -153,7 +156,9 @@ class PieceModel:
         if len(self.cache) > MOST_WORDS:  # two generations: what is used stays
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
-        fresh = {w for s in split for w in s}
+        fresh: set[str] = set()
+        for s in split:
+            fresh.update(s)
         fresh.difference_update(cache)
         words = []
         for w in fresh:
