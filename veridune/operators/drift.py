@@ -166,18 +166,21 @@ def arbitrate(votes: DataFrame) -> DataFrame:
     return g.withColumn("verdict", F.when(F.col("shape") >= 2, "suspicious").when((F.col("natural") > 0) & (F.col("shape") == 0), "natural").otherwise("undetermined"))
 
 
-def _dealt_sums(batches):
-    total = held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        s, v = (np.asarray(batch[c].to_pylist(), float) for c in ("s", "v"))
-        part, n = np.stack([s.T @ v, (1 - s).T @ v]), np.stack([s.sum(axis=0), (1 - s).sum(axis=0)])
-        total, held = (part, n) if total is None else (total + part, held + n)
-    if total is not None:
-        rounds, dims = total.shape[1:]
-        r, d = np.divmod(np.arange(rounds * dims), dims)
-        yield pa.RecordBatch.from_pydict({"round": r, "dim": d, "t": total[0].ravel(), "f": total[1].ravel(), "nt": held[0][r], "nf": held[1][r]})
+def _dealt_sums():
+    def rows(batches):
+        total = held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, v = (np.asarray(batch[c].to_pylist(), float) for c in ("s", "v"))
+            part, n = np.stack([s.T @ v, (1 - s).T @ v]), np.stack([s.sum(axis=0), (1 - s).sum(axis=0)])
+            total, held = (part, n) if total is None else (total + part, held + n)
+        if total is not None:
+            rounds, dims = total.shape[1:]
+            r, d = np.divmod(np.arange(rounds * dims), dims)
+            yield pa.RecordBatch.from_pydict({"round": r, "dim": d, "t": total[0].ravel(), "f": total[1].ravel(), "nt": held[0][r], "nf": held[1][r]})
+
+    return rows
 
 
 def permutation_p(df: DataFrame, id_col: str, vector: str, side: str, rounds: int = 200, seed: str = "0") -> DataFrame:
@@ -187,7 +190,7 @@ def permutation_p(df: DataFrame, id_col: str, vector: str, side: str, rounds: in
     """
     one = df.agg(F.avg(F.col(side).cast("double")).alias("share"))
     r = df.join(F.broadcast(one)).select(F.concat(F.array(side), _deals(id_col, F.col("share"), rounds, seed)).alias("s"), F.transform(vector, lambda x: x.cast("double")).alias("v"))  # one row
-    sums = r.mapInArrow(_dealt_sums, "round long, dim long, t double, f double, nt double, nf double").groupBy("round", "dim").agg(*[F.sum(c).alias(c) for c in ("t", "f", "nt", "nf")])
+    sums = r.mapInArrow(_dealt_sums(), "round long, dim long, t double, f double, nt double, nf double").groupBy("round", "dim").agg(*[F.sum(c).alias(c) for c in ("t", "f", "nt", "nf")])
     d = sums.groupBy("round").agg(F.sqrt(F.sum(F.pow(F.col("t") / F.col("nt") - F.col("f") / F.col("nf"), 2.0))).alias("d"))
     g = d.agg(F.max(F.when(F.col("round") == 0, F.col("d"))).alias("observed"), F.collect_list("d").alias("ds"))  # a number a round
     return g.select("observed", (F.size(F.filter("ds", lambda x: x >= F.col("observed"))) / (1.0 + rounds)).alias("p"))
