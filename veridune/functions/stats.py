@@ -50,6 +50,13 @@ def cauchy(ps: Column) -> Column:
     return F.least(F.greatest(0.5 - F.atan(t) / math.pi, F.lit(0.0)), F.lit(1.0))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed up to 64, beyond that by its asymptotic series (error below 1e-13)."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(64)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    m = d(n)
+    return F.when(n <= 64, few).otherwise(F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * m * m * m * m))
+
+
 def bonferroni(ps: Column) -> Column:
     return F.least(F.lit(1.0), F.size(ps) * F.array_min(ps))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import ranks
 
 
 def label_patterns(df: DataFrame, contributor: str, given: str, suggested: str, p: str, top: int = 20) -> DataFrame:
@@ -112,7 +113,8 @@ def attack_success(df: DataFrame, kind: str, attacked: Column, success: Column,
 
 def exchangeability(df: DataFrame, by: str, x: str, tests: int = 1, alpha: float = 0.05) -> DataFrame:
     """n, mean, sd, quartiles by group and what its size allows: the smallest p-value and whether that can reject among ``tests``."""
-    g = df.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), *[F.percentile(x, q).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.75)])
+    g = df.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    g = g.join(ranks.quantiles(df, x, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, (by,)).drop("n"), by, "left")
     return g.withColumn("floor", F.lit(1.0) / (F.col("n") + 1)).withColumn("can_reject", F.col("floor") <= alpha / tests)
 
 
@@ -120,7 +122,7 @@ def score_summary(df: DataFrame, by: str, x: str) -> DataFrame:
     """Mean, 95 % quantile and largest of a group's finite scores, with how many there are of how many."""
     v = F.col(x).cast("double")
     ok = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(ok).alias("n_finite"), F.avg(ok).alias("mean"), F.percentile(ok, 0.95).alias("q95"), F.max(ok).alias("max"))
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(ok).alias("n_finite"), F.avg(ok).alias("mean"), F.max(ok).alias("max")).join(ranks.quantiles(df.withColumn("__ok", ok), "__ok", {"q95": 0.95}, (by,)).drop("n"), by, "left")
 
 
 def kind_summary(df: DataFrame, kind: str, x: str, gated: Column) -> DataFrame:

@@ -50,7 +50,7 @@ def review_queue(df: DataFrame, key: str, q: str = "q", **costs: float) -> DataF
     c = ranks.running(out, "review_value", {"above": F.lit(1).cast("long")}, descending=True)
     tie = Window.partitionBy("review_value").orderBy(key)
     size = Window.partitionBy("review_value")
-    return c.withColumn("rank", F.col("above") - F.count(F.lit(1)).over(size) + F.row_number().over(tie) - 1).drop("above")
+    return c.withColumn("rank", F.col("above") - F.count(F.lit(1)).over(size) + F.row_number().over(tie) - 1).drop("above", "__all_above")
 
 
 def catch_curve(queue: DataFrame, bad: str, points: list[int]) -> DataFrame:

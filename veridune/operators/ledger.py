@@ -22,7 +22,7 @@ def stratified_half(df: DataFrame, key: str, stratum: str, seed: str = "") -> Da
     """df with split: even ranks (in md5 order within the stratum) calibrate."""
     x = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 12), 16, 10).cast("double")
     out = ranks.running(df.withColumn("order_", x), "order_", {"rank_": F.lit(1).cast("long")}, (stratum,))
-    return out.withColumn("split", F.when((F.col("rank_") - 1) % 2 == 0, F.lit("calibration")).otherwise(F.lit("evaluation"))).drop("order_", "rank_")
+    return out.withColumn("split", F.when((F.col("rank_") - 1) % 2 == 0, F.lit("calibration")).otherwise(F.lit("evaluation"))).drop("order_", "rank_", "__all_rank_")
 
 
 def long_form(records: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def fpr_rule(ledger: DataFrame, alpha: float = 0.05, min_n: int = 20, higher: bo
     the calibration negatives.
     """
     cal = ledger.where("split = 'calibration' and not is_positive")
-    thr = cal.groupBy("signal").agg(F.percentile("score", F.lit(1 - alpha if higher else alpha)).alias("threshold"), (F.max if higher else F.min)("score").alias("extreme"), F.count(F.lit(1)).alias("n_calibration"))
+    cut = ranks.quantiles(cal, "score", {"threshold": 1 - alpha if higher else alpha}, ("signal",)).drop("n")
+    thr = cut.join(cal.groupBy("signal").agg((F.max if higher else F.min)("score").alias("extreme"), F.count(F.lit(1)).alias("n_calibration")), "signal")
     ev = ledger.where("split = 'evaluation'").join(F.broadcast(thr), "signal")  # one row a signal
     f = fired(F.col("score"), F.col("threshold"), higher)
     g = ev.groupBy("signal", "threshold", "extreme", "n_calibration").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import ranks
 
 SEVERITY = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 WEIGHT = {"INFO": 0.0, "LOW": 1.0, "MEDIUM": 2.0, "HIGH": 5.0, "CRITICAL": 10.0}
@@ -106,9 +107,9 @@ def zscore_outliers(df: DataFrame, by: str, x: str, most: float = 3.0) -> DataFr
 
 def mad_outliers(df: DataFrame, by: str, x: str, most: float = 2.0) -> DataFrame:
     """Rows whose (median - x) / (1.4826 MAD) exceeds most; groups without spread are not tested."""
-    m = df.groupBy(by).agg(F.percentile(x, F.lit(0.5)).alias("med"))
+    m = ranks.quantiles(df, x, {"med": 0.5}, (by,)).drop("n")
     dev = df.join(m, by).withColumn("__d", F.abs(F.col(x) - F.col("med")))
-    mad = dev.groupBy(by).agg(F.percentile("__d", F.lit(0.5)).alias("mad")).where("mad >= 1e-10")
+    mad = ranks.quantiles(dev, "__d", {"mad": 0.5}, (by,)).drop("n").where("mad >= 1e-10")
     return dev.join(mad, by).withColumn("score", (F.col("med") - F.col(x)) / (1.4826 * F.col("mad"))).where(F.col("score") > most).drop("__d", "med", "mad")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 SALTS = 64
 
 
@@ -93,7 +95,7 @@ def mahalanobis(reference: DataFrame, df: DataFrame, id_col: str, vector: str, r
 
 def ood_flags(reference: DataFrame, df: DataFrame, id_col: str, vector: str, contamination: float = 0.05) -> DataFrame:
     """Distances and whether they lie beyond the reference's own (1 - contamination) quantile."""
-    cut = mahalanobis(reference, reference, id_col, vector).agg(F.percentile("distance", 1 - contamination).alias("cut"))
+    cut = ranks.quantiles(mahalanobis(reference, reference, id_col, vector), "distance", {"cut": 1 - contamination}).drop("n")
     return mahalanobis(reference, df, id_col, vector).join(F.broadcast(cut)).select(id_col, "distance", (F.col("distance") > F.col("cut")).alias("flagged"))
 
 

@@ -100,7 +100,7 @@ def conformal_threshold(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS threshold FROM events GROUP BY ALL")
 def quantile_threshold(spark, sf):
-    return r6(read(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.95)).alias("threshold")), "threshold")
+    return r6(ranks.quantiles(read(spark, sf, "events"), "value", {"threshold": 0.95}, ("event_type",)).drop("n"), "threshold")
 
 
 BHQ = f"""{PV}, r AS (SELECT event_id, p, row_number() OVER (ORDER BY p, event_id) AS k, count(*) OVER () AS n FROM p),
@@ -250,7 +250,7 @@ t AS (SELECT seed, quantile_cont(value, 0.95) AS thr FROM x WHERE h = 0 AND NOT
 def split_stability(spark, sf):
     e = read(spark, sf, "events").where("event_type <> 'error'").select("event_id", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("seed"))
     x = e.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.col("seed").cast("string"), F.col("event_id").cast("string"))), 1, 8), 16, 10).cast("long") % 2)
-    t = x.where("h = 0").groupBy("seed").agg(F.percentile("value", F.lit(0.95)).alias("thr"))
+    t = ranks.quantiles(x.where("h = 0"), "value", {"thr": 0.95}, ("seed",)).drop("n")
     return x.where("h = 1").join(F.broadcast(t), "seed").groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("thr")).alias("k"))
 
 
