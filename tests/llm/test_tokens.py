@@ -55,6 +55,28 @@ def test_token_files(spark, tmp_path):
     assert o8.read_token_files(spark, str(tmp_path / "e")).collect() == []
 
 
+def test_mixcoder_is_no_larger_than_adaptive_frequencies_of_ids():
+    """Against the ideal size of blocks coded by counts of ids so far in the block (each of the file's ids once to begin with)."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.concatenate([np.array(e.ids + [2], "<u4") for e in t.encode_batch(texts(), add_special_tokens=False)])
+    block, distinct, bits = mixcoder.block_for(len(ids)), len(np.unique(ids)), 0.0
+    for a in range(0, len(ids), block):
+        seen = {}
+        for j, x in enumerate(ids[a : a + block].tolist()):
+            bits -= np.log2((seen.get(x, 0) + 1) / (j + distinct))
+            seen[x] = seen.get(x, 0) + 1
+    image = mixcoder.encode(ids)
+    assert (mixcoder.decode(image) == ids).all()
+    assert 8 * len(image) <= bits
+
+
+def test_a_damaged_table_is_found():
+    image = bytearray(mixcoder.encode(np.arange(3000, dtype="<u4")))
+    image[45] ^= 1
+    with pytest.raises(ValueError):
+        mixcoder.decode(bytes(image))
+
+
 @pytest.mark.parametrize("case", ["random", "repeats", "one", "wide", "empty", "zero"])
 def test_mixcoder_round_trip(case):
     r = np.random.default_rng(7)

@@ -5,9 +5,10 @@ broken) alone.  Blocks run in lockstep as lanes of numpy arrays: a step codes on
 
 Model of a lane: what followed the last two ids and what followed the last id here before (order 2, order 1), each with a
 confidence; their adaptive probabilities are mixed in the logistic domain with weights learnt as it goes, giving the
-probability that the prediction holds.  If it doesn't, the id's bit length follows by adaptive frequencies (order 0),
-renewed every ``RENEW`` steps; its lower bits, which no model predicts, stand in a stream of plain bits beside the range
-coder's words.  All model arithmetic is in integers.
+probability that the prediction holds.  If it doesn't, order 0 says which id it is: ids are coded by their rank in the file's
+table, commonest first, the rank's bit length by adaptive frequencies renewed every ``RENEW`` steps.  Ids of one bit length
+are about equally common, so a rank's lower bits stand as they are in a stream of plain bits beside the range coder's words.
+The table heads the file with a checksum of its own; a block needs it and nothing else.  All model arithmetic is in integers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ BLOCK = 4096
 LEAST_BLOCK = 1024
 LANES = 2048
 SLOTS = 1 << 12
-MAGIC = b"VTOK2\0\0\0"
+MAGIC = b"VTOK3\0\0\0"
+NARROW = 1 << 22  # ids below are counted in an array
 CLASSES, STRIDE = 33, 64
 RENEW = 32
 ONE = 12  # bits of a probability
@@ -251,11 +253,43 @@ def block_for(n: int, lanes: int = LANES) -> int:
     return min(BLOCK, max(LEAST_BLOCK, -(-n // (lanes * 64)) * 64))
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, commonest first (ids of ranks of one bit length ascending), and each id's rank."""
+    if len(ids) and int(ids.max()) < NARROW:
+        seen = np.bincount(ids)
+        values, inverse = np.flatnonzero(seen), None
+        counts = seen[values]
+    else:
+        values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    for k in range(len(order).bit_length()):
+        order[1 << k : 2 << k].sort()
+    rank = np.empty(len(order), _U)
+    rank[order] = np.arange(len(order), dtype=_U)
+    if inverse is not None:
+        return values[order].astype("<u4"), rank[inverse]
+    by_id = np.zeros(len(seen), _U)
+    by_id[values] = rank
+    return values[order].astype("<u4"), by_id.take(ids)
+
+
+def _pack_table(table: np.ndarray) -> bytes:
+    """Differences of neighbours (mod 2 ** 32), all lowest bytes first, deflated."""
+    return zlib.compress(np.diff(table, prepend=_U(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 9)
+
+
+def _unpack_table(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=_U)
+
+
 def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> bytes:
-    """A file image: magic, ids, block size, then per block its bytes of words and of plain bits and the checksum of its ids, then the blocks."""
+    """A file image: magic, ids, block size, bytes and checksum of the packed table, the table, then per block its bytes of words and of plain bits and the checksum of its ids, then the blocks."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     block = block or block_for(n, lanes)
+    table, codes = _ranked(ids)
+    packed = _pack_table(table)
     sizes = np.full(-(-n // block), block, np.int64)
     if n % block:
         sizes[-1] = n % block
@@ -263,20 +297,24 @@ def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> byt
     for a in range(0, len(sizes), lanes):
         s = sizes[a : a + lanes]
         grid = np.zeros((len(s), block), _U)
-        grid.reshape(-1)[: int(s.sum())] = ids[a * block : a * block + int(s.sum())]
+        grid.reshape(-1)[: int(s.sum())] = codes[a * block : a * block + int(s.sum())]
         parts += _run(s, grid, None)
     head = np.array([[len(p), len(q), zlib.crc32(ids[j * block : (j + 1) * block].tobytes())] for j, (p, q) in enumerate(parts)], "<u4").reshape(-1, 3)
-    return MAGIC + np.array([n, block], "<u8").tobytes() + head.tobytes() + b"".join(x for p in parts for x in p)
+    return MAGIC + np.array([n, block, len(packed), zlib.crc32(packed)], "<u8").tobytes() + packed + head.tobytes() + b"".join(x for p in parts for x in p)
 
 
 def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
-    """The ids of a file image; raises ValueError if it isn't one or a block's checksum differs."""
+    """The ids of a file image; raises ValueError if it isn't one or the checksum of the table or of a block differs."""
     if image[:8] != MAGIC:
         raise ValueError("not a token file")
-    n, block = (int(x) for x in np.frombuffer(image, "<u8", 2, 8))
+    n, block, size, crc = (int(x) for x in np.frombuffer(image, "<u8", 4, 8))
+    packed = image[40 : 40 + size]
+    if zlib.crc32(packed) != crc:
+        raise ValueError("the table is damaged")
+    table = _unpack_table(packed)
     count = -(-n // block)
-    head = np.frombuffer(image, "<u4", 3 * count, 24).reshape(-1, 3).astype(np.int64)
-    at = 24 + 12 * count + np.concatenate([[0], np.cumsum(head[:, :2].ravel())])
+    head = np.frombuffer(image, "<u4", 3 * count, 40 + size).reshape(-1, 3).astype(np.int64)
+    at = 40 + size + 12 * count + np.concatenate([[0], np.cumsum(head[:, :2].ravel())])
     sizes = np.full(count, block, np.int64)
     if n % block:
         sizes[-1] = n % block
@@ -285,8 +323,9 @@ def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
         s = sizes[a : a + lanes]
         got = _run(s, None, [(image[at[2 * j] : at[2 * j + 1]], image[at[2 * j + 1] : at[2 * j + 2]]) for j in range(a, a + len(s))])
         for j, m in enumerate(s.tolist()):
-            ids = got[j, :m].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != head[a + j, 2]:
+            ranks = got[j, :m]
+            ids = table[np.minimum(ranks, len(table) - 1)]
+            if ranks.max() >= len(table) or zlib.crc32(ids.tobytes()) != head[a + j, 2]:
                 raise ValueError(f"block {a + j} is damaged")
             out[(a + j) * block : (a + j) * block + m] = ids
     return out
