@@ -732,3 +732,4 @@ def ood_flags(spark, sf):
 @query(None)
 def contributor_concentration_p(spark, sf):
     return r6(spectral.concentration_test(read(spark, sf, "events").withColumn("c", F.col("user_id") % 20), "c", F.col("value") > 100), "max_rate", "p")
+from . import report_queries  # noqa: E402,F401
