@@ -143,3 +143,20 @@ def test_plan_covers_the_histogram_and_is_close():
                 used[k] = used.get(k, 0) + times * n
         assert used == hist
         assert sum(t for t, _ in configurations) <= 1.03 * max(bound, lengths.sum() / 2048) + 3, spread
+
+
+@pytest.mark.parametrize("most", [60, 400, 1500, 2047])
+def test_plan_is_no_worse_than_best_fit(most):
+    n, c = np.unique(np.random.default_rng(most).integers(1, most + 1, 20_000), return_counts=True)
+    histogram = dict(zip(n.tolist(), c.tolist(), strict=True))
+    plan, bound = o9.plan(histogram, 2048)
+    total = np.zeros(2049, np.int64)
+    total[n] = c
+    used = sum(times for times, _ in plan)
+    assert bound - 1e-6 <= used <= sum(times for times, _ in o9._best_fit(total, 2048))
+    got = np.zeros(2049, np.int64)
+    for times, items in plan:
+        assert sum(k * m for k, m in items) <= 2048
+        for k, m in items:
+            got[k] += times * m
+    assert (got[n] == c).all() and got.sum() == c.sum()

@@ -82,6 +82,7 @@ def plan(histogram: dict[int, int], size: int, rounds: int = ROUNDS, near: float
 
     Each round prices all configurations by one dynamic program and takes those within ``near`` of the best that start
     with each length; a round's share of the volume is spread over them.  Weights fall with coverage at ``rate``.
+    Where plain best-fit on the whole histogram needs fewer sequences than the rounded program, its sequences are taken.
     """
     total = np.zeros(size + 1, np.int64)
     for n, c in histogram.items():
@@ -91,6 +92,7 @@ def plan(histogram: dict[int, int], size: int, rounds: int = ROUNDS, near: float
         out.append((int(total[size]), [(size, 1)]))
     full, left = float(total[size]), total.copy()
     left[size] = 0
+    plain = _best_fit(left.copy(), size)
     kinds = np.flatnonzero(left)
     bound = float((np.arange(size + 1) * left).sum()) / size
     need = bound
@@ -114,14 +116,16 @@ def plan(histogram: dict[int, int], size: int, rounds: int = ROUNDS, near: float
                 got[k] += x
         cover[kinds] += got[kinds] / left[kinds]
         need = max(need, bound)
+    whole: list[tuple[int, list[tuple[int, int]]]] = []
     # whole multiples, nothing covered twice; fullest configurations first
     for items, x in sorted(amount.items(), key=lambda e: (-sum(e[0]), e[0])):
         k, n = np.unique(items, return_counts=True)
         times = min(int(x / max(1.0, cover[k].max())), int((left[k] // n).min()))
         if times:
             left[k] -= times * n
-            out.append((times, list(zip(k.tolist(), n.tolist(), strict=True))))
-    return out + _best_fit(left, size), bound + full
+            whole.append((times, list(zip(k.tolist(), n.tolist(), strict=True))))
+    whole += _best_fit(left, size)
+    return out + min(whole, plain, key=lambda c: sum(times for times, _ in c)), bound + full
 
 
 def _pieces(path: str | None, size: int, end: int):
@@ -204,7 +208,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
             at += length * n
         base += times
     where = spark.sparkContext.broadcast({k: tuple(np.array(c, np.int64) for c in v) for k, v in table.items()})  # a few thousand configurations at most
-    ranked = counts.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n"))
+    # prefix sums within a partition's blocks and over partitions, so that a length that every block holds isn't one task's
+    counts = counts.withColumn("part", F.shiftright("block", 32))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("length", "part").agg(F.sum("n").alias("all")).select("length", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    within = F.sum("n").over(Window.partitionBy("length", "part").orderBy("block")) - F.col("n")
+    ranked = counts.withColumn("within", within).join(parts, ["length", "part"]).withColumn("first", F.col("base") + F.col("within"))
     ranks = ranked.groupBy("block").agg(F.collect_list(F.struct("length", "first")).alias("ranks"))
     out = blocks.select("block", "payload").join(ranks, "block").mapInArrow(_place(where), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
