@@ -171,7 +171,7 @@ def _fragment_rows(text: str, id_col: str, unit, n_buckets: int):
                 got = list(of(block, batch["payload"][i], batch["bits"][i].as_py() or ()))
                 if got:
                     b, k, kind, blob = zip(*got, strict=True)
-                    b = [n_buckets + block % 64 if x < 0 else x for x in b]  # marks only pass through
+                    b = [n_buckets + (block * 0x9E3779B97F4A7C15 >> 32) % n_buckets if x < 0 else x for x in b]  # marks only pass through, spread as wide as fragments
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "block", "kind", "blob"])
 
     return rows
