@@ -114,12 +114,16 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stream_replays(spark, tmp_path):
-    spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c"), ("k", 5, "a")], "key string, seq long, nonce string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema("key string, seq long, nonce string").parquet(str(tmp_path / "in"))
-    q = monitor.stream_replays(s, "key", "seq", "nonce").writeStream.format("memory").queryName("rep").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.nonce, r.problem) for r in spark.table("rep").collect()) == [("a", "replayed_nonce"), ("c", "stale_sequence")]
+    rows = [("k", 1, "a", 1), ("k", 2, "b", 2), ("k", 2, "c", 3), ("k", 5, "a", 4), ("m", 9, "b", 5), ("m", 8, "d", 6)]
+    kind = "key string, seq long, nonce string, arrived long"
+    s = spark.readStream.schema(kind).parquet(str(tmp_path / "in" / "*"))
+    for part, some in (("1", rows[3::-1]), ("2", rows[4:])):  # a batch in reverse order, then one more under another key
+        spark.createDataFrame(some, kind).coalesce(1).write.parquet(str(tmp_path / "in" / part))
+        q = monitor.stream_replays(s, "key", "seq", "nonce", "arrived").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = chains.replays(spark.createDataFrame(rows, kind), "key", "seq", "nonce").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("k", 2, "c", "stale_sequence"), ("k", 5, "a", "replayed_nonce"), ("m", 8, "d", "stale_sequence"), ("m", 9, "b", "replayed_nonce")]
 
 
 def test_planner(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridune.functions import stats
-from veridune.operators import ranks, reports
+from veridune.operators import assets, decisions, drift, ranks, reports
 
 
 def test_running_sums_and_quantiles_of_awkward_values(spark):
@@ -69,3 +69,23 @@ def test_controls_baselines_and_empty_tables(spark):
     none = spark.createDataFrame([], "asset string, item long, signal string, p double")
     assert reports.asset_verdict(none, "asset", ["item"]).collect() == []
     assert reports.uniformity(none, "p", ("signal",)).collect() == []
+
+
+def test_paired_fingerprint(spark):
+    kind = "image_id long, class_id string, box string, x1 double, y1 double, x2 double, y2 double, score double"
+    a = spark.createDataFrame([(1, "c", "a1", 0.0, 0.0, 10.0, 10.0, 0.9), (1, "c", "a2", 50.0, 0.0, 60.0, 10.0, 0.8), (2, "c", "a3", 0.0, 0.0, 10.0, 10.0, 0.5)], kind)
+    b = spark.createDataFrame([(1, "c", "b1", 0.0, 0.0, 10.0, 8.0, 0.6), (1, "d", "b2", 50.0, 0.0, 60.0, 10.0, 0.8), (3, "c", "b3", 0.0, 0.0, 10.0, 10.0, 0.5)], kind)
+    got = {r.image_id: (r.n_reference, r.n_suspect, r.matched, r.reference_only, r.suspect_only, round(r.jaccard, 6), r.mean_iou and round(r.mean_iou, 6), r.score_gap and round(r.score_gap, 6)) for r in assets.paired_fingerprint(a, b).collect()}
+    assert got == {1: (2, 2, 1, 1, 1, round(1 / 3, 6), 0.8, 0.3), 2: (1, 0, 0, 1, 0, 0.0, None, None), 3: (0, 1, 0, 0, 1, 0.0, None, None)}
+
+
+def test_ks_p_against_known_values(spark):
+    ks = spark.createDataFrame([(0, 200, 200, 0.136), (1, 200, 200, 0.163), (2, 200, 200, 0.0)], "dim long, n_a long, n_b long, ks double")
+    p = [r.p for r in drift.ks_pvalues(ks).orderBy("dim").collect()]  # 1.36 and 1.63 are the 5 % and 1 % points
+    assert abs(p[0] - 0.0494) < 1e-3 and abs(p[1] - 0.0098) < 1e-3 and p[2] == 1.0
+
+
+def test_budget_without_bad_items(spark):
+    q = spark.createDataFrame([(0, False), (1, False)], "rank long, bad boolean")
+    assert tuple(decisions.budget_for_fraction(q, "bad").first()) == (0, None)
+    assert tuple(decisions.flag_all(q, F.col("rank") < 1, F.col("bad")).first()) == (1, 0, 0, None)

@@ -94,6 +94,20 @@ def detection_quality(truth: DataFrame, found: DataFrame, image: str = "image_id
     return n.select("n_true", "n_found", "tp", p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-9))).alias("f1"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"))
 
 
+def paired_fingerprint(reference: DataFrame, suspect: DataFrame, image: str = "image_id", threshold: float = 0.5) -> DataFrame:
+    """Per image: boxes of either side, greedy matches within class, boxes of one side only, their Jaccard index, mean IoU and mean score gap.
+
+    Rows (image, class_id, box, x1, y1, x2, y2, score).  An image without matches has null means; one with no box on a side counts 0 there.
+    """
+    a = reference.groupBy(image).agg(F.count(F.lit(1)).alias("n_reference"))
+    b = suspect.groupBy(image).agg(F.count(F.lit(1)).alias("n_suspect"))
+    m = greedy_match(reference, suspect, image, threshold)
+    m = m.join(reference.select(image, F.col("box").alias("a"), F.col("score").alias("__sa")), [image, "a"]).join(suspect.select(image, F.col("box").alias("b"), F.col("score").alias("__sb")), [image, "b"])
+    m = m.groupBy(image).agg(F.count(F.lit(1)).alias("matched"), F.avg("iou").alias("mean_iou"), F.avg(F.col("__sa") - F.col("__sb")).alias("score_gap"))
+    j = a.join(b, image, "full").join(m, image, "left").fillna(0, ["n_reference", "n_suspect", "matched"])
+    return j.select("*", (F.col("n_reference") - F.col("matched")).alias("reference_only"), (F.col("n_suspect") - F.col("matched")).alias("suspect_only"), (F.col("matched") / (F.col("n_reference") + F.col("n_suspect") - F.col("matched"))).alias("jaccard"))
+
+
 def label_nll(df: DataFrame, asset: str, image: str, p: str, share: float = 0.1) -> DataFrame:
     """Per asset: images and the mean of the largest ``share`` of their worst -log p of the given label (floor 1e-12)."""
     worst = df.groupBy(asset, image).agg(F.max(-F.log(F.greatest(F.col(p).cast("double"), F.lit(1e-12)))).alias("nll"))

@@ -128,7 +128,16 @@ def verify_seals(seals: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def snapshot(df: DataFrame, line: str) -> DataFrame:
-    """(n, digest) of the non-blank lines, whatever their order: sums of row hashes, so rows need not meet in one task."""
-    h = F.sha2(F.col(line), 256)
-    part = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
-    return df.where(F.trim(line) != "").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(part(a)), F.lit(0)).alias(f"s{i}") for i, a in enumerate((1, 9))]).select("n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), F.col("s0").cast("string"), F.col("s1").cast("string")), 256).alias("digest"))
+    """(n, digest) of the non-blank lines, whatever their order.
+
+    Lines become their SHA-256 with a count; digests of one leading part, sorted, are hashed into one, by six, three and no
+    leading hex digits in turn, so that no task holds more than a 16,777,216th of the distinct lines or 4,096 digests.
+    """
+    h = df.where(F.trim(line) != "").groupBy(F.sha2(F.col(line), 256).alias("__h")).agg(F.count(F.lit(1)).alias("__c"))
+    level = h.select(F.substring("__h", 1, 6).alias("__k"), F.concat_ws(":", "__h", F.col("__c").cast("string")).alias("__v"), F.col("__c").alias("__n"))
+    for digits in (3, 0, None):
+        joined = F.sha2(F.concat_ws(";", F.array_sort(F.collect_list("__v"))), 256)
+        up = level.groupBy("__k").agg(joined.alias("__d"), F.sum("__n").alias("__n"))
+        if digits is not None:
+            level = up.select(F.substring("__k", 1, digits).alias("__k"), F.concat_ws(":", "__k", "__d").alias("__v"), "__n")
+    return up.select(F.col("__n").alias("n"), F.col("__d").alias("digest"))

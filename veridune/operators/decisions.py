@@ -59,6 +59,18 @@ def catch_curve(queue: DataFrame, bad: str, points: list[int]) -> DataFrame:
     return queue.select(F.col(bad).cast("long").alias("y"), "rank", F.explode(b).alias("budget")).groupBy("budget").agg(F.sum(F.when(F.col("rank") < F.col("budget"), F.col("y")).otherwise(0)).alias("caught"))
 
 
+def budget_for_fraction(queue: DataFrame, bad: str, fraction: float = 0.9) -> DataFrame:
+    """(n_bad, budget): the fewest first ranks that hold ``fraction`` of all bad items; null where there is none."""
+    c = ranks.running(queue.select("rank", F.col(bad).cast("long").alias("__y")), "rank", {"__caught": F.col("__y")})
+    return c.agg(F.coalesce(F.max("__all___caught"), F.lit(0)).alias("n_bad"), F.min(F.when((F.col("__all___caught") > 0) & (F.col("__caught") >= fraction * F.col("__all___caught")), F.col("rank") + 1)).alias("budget"))
+
+
+def flag_all(df: DataFrame, flagged: Column, bad: Column) -> DataFrame:
+    """The one point of looking at every flagged item: (budget, caught, n_bad, caught_share)."""
+    g = df.agg(F.count_if(flagged).alias("budget"), F.count_if(flagged & bad).alias("caught"), F.count_if(bad).alias("n_bad"))
+    return g.withColumn("caught_share", F.when(F.col("n_bad") > 0, F.col("caught") / F.col("n_bad")))
+
+
 def invert_power(curve: DataFrame, rate: str = "rate", power: str = "power", target: float = 0.8) -> DataFrame:
     return curve.agg(F.min(F.when(F.col(power) >= target, F.col(rate))).alias("r_star"))
 

@@ -34,6 +34,16 @@ def ks_dimensions(df: DataFrame, vector: str, side: str) -> DataFrame:
     return ranks.two_sample(by_dimension(df, vector, side), "x", side, ("dim",))
 
 
+def ks_pvalues(ks: DataFrame, alpha: float = 0.05, terms: int = 100) -> DataFrame:
+    """ks_dimensions with p (the limiting distribution, alternating series) and drifted: p at or below alpha over the number of dimensions."""
+    lam = F.col("ks") * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    sign = lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + sign(k) * F.exp(-2 * k * k * lam * lam))
+    p = F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))  # below 0.2: 1 - 1e-12 or more
+    m = ks.agg(F.count(F.lit(1)).alias("__m"))
+    return ks.withColumn("p", p).join(F.broadcast(m)).withColumn("drifted", F.col("p") <= alpha / F.col("__m")).drop("__m")  # m: one row
+
+
 def dim_concentration(ks: DataFrame, share: float = 0.1) -> DataFrame:
     """Share of the summed statistics in the top tenth of dimensions (at least one)."""
     n = ks.agg(F.count(F.lit(1)).alias("n"), F.sum("ks").alias("all_"))

@@ -138,6 +138,13 @@ def overall_risk(findings: DataFrame) -> DataFrame:
     return g.select("n", risk.alias("risk"), disposition.alias("disposition"))
 
 
+def pooled_rates(rates: DataFrame, by: list[str]) -> DataFrame:
+    """item_rates of several assets taken together: counts are summed before any ratio; null where a denominator is 0."""
+    g = rates.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    return g.withColumn("tpr", ratio(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("fpr", ratio(F.col("fp"), F.col("fp") + F.col("tn"))).withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+
+
 def item_rates(df: DataFrame, by: list[str], flag: Column, bad: Column) -> DataFrame:
     g = df.groupBy(*by).agg(F.count_if(flag & bad).alias("tp"), F.count_if(flag & ~bad).alias("fp"), F.count_if(~flag & bad).alias("fn"), F.count_if(~flag & ~bad).alias("tn"))
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))

@@ -403,6 +403,12 @@ def item_rates(spark, sf):
     return quality.item_rates(d, ["lang"], F.col("n_chars") > 2000, F.col("quality") == 0)
 
 
+@query("""WITH g AS (SELECT count(*) FILTER (n_chars > 2000 AND quality = 0) AS tp, count(*) FILTER (n_chars > 2000 AND quality <> 0) AS fp, count(*) FILTER (n_chars <= 2000 AND quality = 0) AS fn, count(*) FILTER (n_chars <= 2000 AND quality <> 0) AS tn, lang = 'en' AS english FROM documents JOIN labels USING (doc_id) GROUP BY english)
+SELECT *, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 4) END AS tpr, CASE WHEN fp + tn > 0 THEN round(fp::DOUBLE / (fp + tn), 4) END AS fpr, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 4) END AS precision FROM g""")
+def pooled_rates(spark, sf):
+    return quality.pooled_rates(item_rates(spark, sf).withColumn("english", F.col("lang") == "en"), ["english"])
+
+
 # -- drift -------------------------------------------------------------------------------------------------------------
 
 
@@ -426,6 +432,12 @@ def ks_dims(spark, sf):
     return r6(drift.ks_dimensions(sides(spark, sf), "embedding", "side"), "ks", "wasserstein")
 
 
+@query(f"""{KS}, l AS (SELECT dim, ks, ks * sqrt(n_a::DOUBLE * n_b / (n_a + n_b)) AS l, count(*) OVER () AS m FROM ks),
+p AS (SELECT dim, m, CASE WHEN l < 0.2 THEN 1 ELSE least(1, greatest(0, (SELECT sum((CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0::DOUBLE * k * k * l * l)) FROM range(1, 101) t(k)))) END AS p FROM l) SELECT dim, round(p, 6) AS p, p <= 0.05::DOUBLE / m AS drifted FROM p""")
+def ks_pvalues(spark, sf):
+    return r6(drift.ks_pvalues(drift.ks_dimensions(sides(spark, sf), "embedding", "side")).select("dim", "p", "drifted"), "p")
+
+
 @query(f"{KS}, r AS (SELECT ks, row_number() OVER (ORDER BY ks DESC, dim) AS k, count(*) OVER () AS n FROM ks) SELECT round(sum(ks) FILTER (k <= greatest(1, floor(n * 0.1))) / sum(ks), 6) AS concentration FROM r")
 def dim_concentration(spark, sf):
     return r6(drift.dim_concentration(drift.ks_dimensions(sides(spark, sf), "embedding", "side")), "concentration")
@@ -531,6 +543,17 @@ def catch_curve(spark, sf):
     return decisions.catch_curve(decisions.review_queue(q, "event_id"), "is_positive", [10, 50, 100, 500])
 
 
+@query(f"{QUEUE}, caught AS (SELECT rank, sum(is_positive::INT) OVER (ORDER BY rank) AS c, sum(is_positive::INT) OVER () AS t FROM rq) SELECT max(t)::BIGINT AS n_bad, min(rank + 1) FILTER (c >= 0.9 * t) AS budget FROM caught")
+def catch_budget(spark, sf):
+    q = decisions.item_posteriors(pvalues(spark, sf).select("event_id", "is_positive", "p"))
+    return decisions.budget_for_fraction(decisions.review_queue(q, "event_id"), "is_positive")
+
+
+@query("SELECT count(*) FILTER (value > 100) AS budget, count(*) FILTER (value > 100 AND event_type = 'error') AS caught, count(*) FILTER (event_type = 'error') AS n_bad, round(count(*) FILTER (value > 100 AND event_type = 'error')::DOUBLE / count(*) FILTER (event_type = 'error'), 6) AS caught_share FROM events")
+def flag_all(spark, sf):
+    return r6(decisions.flag_all(read(spark, sf, "events"), F.col("value") > 100, F.col("event_type") == "error"), "caught_share")
+
+
 @query("WITH m AS (SELECT user_id % 10 AS module, min(value) FILTER (value > 20) AS r FROM events GROUP BY 1) SELECT round(max(r) / 10000, 6) AS r_star, count(*) FILTER (r IS NULL) > 0 AS unbounded, max(r) / 10000 <= 0.02 AS accept_permitted FROM m")
 def residual_risk(spark, sf):
     m = read(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("module")).agg((F.min(F.when(F.col("value") > 20, F.col("value"))) / 10000).alias("r_star"))
@@ -545,7 +568,9 @@ def asset_rule(spark, sf):
     return r6(decisions.asset_rule(x, "l_orderkey", "signal", "score", "clean"), "p")
 
 
-@query(None)
+@query("""WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (n_chars < 200) AS k FROM documents GROUP BY source), x AS (SELECT (i + 0.5::DOUBLE) / 200 AS x FROM range(200) t(i)),
+l AS (SELECT source, n, k, x, (k + 1) * ln(x) + (n - k + 19) * ln(1 - x) AS l FROM g, x), m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY source)) AS d FROM l)
+SELECT source, n, k, round(sum(d) FILTER (x > 0.05) / sum(d), 6) AS posterior FROM m GROUP BY ALL""")
 def contributor_posterior(spark, sf):
     return r6(decisions.contributor_posterior(read(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", F.col("n_chars") < 200), "posterior")
 
@@ -597,7 +622,8 @@ def artefact_supersession(spark, sf):
     return chains.latest(read(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query(None)
+@query("""WITH h AS (SELECT sha256(text) AS h, count(*) AS c FROM documents WHERE trim(text, ' ') <> '' GROUP BY 1), a AS (SELECT h[:6] AS k, sha256(string_agg(h || ':' || c, ';' ORDER BY h)) AS d, sum(c) AS n FROM h GROUP BY 1),
+b AS (SELECT k[:3] AS k, sha256(string_agg(k || ':' || d, ';' ORDER BY k)) AS d, sum(n) AS n FROM a GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(k || ':' || d, ';' ORDER BY k)) AS digest FROM b""")
 def snapshot_digest(spark, sf):
     return chains.snapshot(read(spark, sf, "documents"), "text")
 
@@ -666,6 +692,12 @@ def reference_divergence(spark, sf):
     return r6(assets.unmatched(boxes(spark, sf, False), boxes(spark, sf, True)), "divergence")
 
 
+@query(None)
+def paired_fingerprint(spark, sf):
+    scored = lambda moved: boxes(spark, sf, moved).withColumn("score", F.col("x1") / 100)
+    return r6(assets.paired_fingerprint(scored(False), scored(True)), "mean_iou", "score_gap", "jaccard")
+
+
 @query(None)
 def detection_quality(spark, sf):
     return r6(assets.detection_quality(boxes(spark, sf, False), boxes(spark, sf, True)), "precision", "recall", "f1", "mean_iou")

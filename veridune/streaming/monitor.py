@@ -54,22 +54,30 @@ def stream_monitor(events: DataFrame, asset: str, t: str, score: str, cutoff: fl
     )
 
 
-def stream_replays(seals: DataFrame, key: str, seq: str, nonce: str) -> DataFrame:
-    """Replayed nonces and stale numbers of each key as they arrive; state: the key's greatest number and its nonces."""
-    kind = seals.schema[key].dataType.simpleString()
+def stream_replays(seals: DataFrame, key: str, seq: str, nonce: str, arrived: str, horizon: str | None = None) -> DataFrame:
+    """(key, seq, nonce, problem) of seals as they arrive: nonces seen before under any key, and numbers not above their key's greatest so far.
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, seen = state.get if state.exists else (None, [])
-        seen = set(seen)
-        out = []
-        for s, n in pd.concat(list(frames))[["seq", "nonce"]].itertuples(index=False):
-            problem = "replayed_nonce" if n in seen else "stale_sequence" if high is not None and s <= high else None
-            seen.add(n)
-            high = s if high is None else max(high, s)
-            if problem:
-                out.append((k[0], int(s), n, problem))
-        state.update((int(high), sorted(seen)))
+    State: a number for each nonce and each key; rows of a batch are taken by ``arrived``.  A nonce
+    is forgotten once it hasn't been seen for ``horizon`` (such as '30 days'; None: never).  A seal with both problems gives both rows.
+    """
+    kind = seals.schema[key].dataType.simpleString()
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if horizon else GroupStateTimeout.NoTimeout
+
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        high, out, is_nonce = state.get[0] if state.exists else None, [], of[0] == "nonce"
+        for r in pd.concat(list(frames)).sort_values("arrived", kind="stable")[["key", "seq", "nonce"]].itertuples(index=False):
+            if high is not None and (is_nonce or r.seq <= high):
+                out.append((*r, "replayed_nonce" if is_nonce else "stale_sequence"))
+            high = int(r.seq) if high is None else max(high, int(r.seq))
+        state.update((high,))
+        if horizon and is_nonce:
+            state.setTimeoutDuration(horizon)
         yield pd.DataFrame(out, columns=["key", "seq", "nonce", "problem"])
 
-    src = seals.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), F.col(nonce).cast("string").alias("nonce"))
-    return src.groupBy("key").applyInPandasWithState(step, f"key {kind}, seq long, nonce string, problem string", "high long, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    src = seals.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), F.col(nonce).cast("string").alias("nonce"), F.col(arrived).alias("arrived"))
+    # one stateful step is allowed on a stream: a seal goes to its nonce and to its key
+    ends = F.inline(F.array(F.struct(F.lit("nonce").alias("what"), F.col("nonce").alias("value")), F.struct(F.lit("key").alias("what"), F.col("key").cast("string").alias("value"))))
+    return src.select("*", ends).groupBy("what", "value").applyInPandasWithState(step, f"key {kind}, seq long, nonce string, problem string", "high long", "append", timeout)
