@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridune.functions import stats
-from veridune.operators import assets, decisions, drift, ranks, reports
+from veridune.operators import assets, decisions, drift, population, quality, ranks, reports
 
 
 def test_running_sums_and_quantiles_of_awkward_values(spark):
@@ -89,3 +89,26 @@ def test_budget_without_bad_items(spark):
     q = spark.createDataFrame([(0, False), (1, False)], "rank long, bad boolean")
     assert tuple(decisions.budget_for_fraction(q, "bad").first()) == (0, None)
     assert tuple(decisions.flag_all(q, F.col("rank") < 1, F.col("bad")).first()) == (1, 0, 0, None)
+
+
+def test_label_check_finds_swapped_labels(spark):
+    r = random.Random(5)
+    rows = [(i, "ab"[(i % 2) ^ (i % 40 == 7)], [4.0 * (i % 2) + r.gauss(0, 0.5), r.gauss(0, 1)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label string, x array<double>")
+    assert sorted(x.id for x in quality.label_check(df, "id", "label", "x").where("flagged").collect()) == [7, 47, 87, 127, 167]
+    for bad in (df.where("id < 10"), df.where("label = 'a'"), df.where("label = 'a' or id = 1")):
+        with pytest.raises(ValueError):
+            quality.label_check(bad, "id", "label", "x")
+
+
+def test_scores_resume_where_they_stopped(spark, tmp_path):
+    seen = []
+
+    def score(d):
+        seen.append(d.count())
+        return d.withColumn("score", F.lit(1.0))
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, part string")
+    path = str(tmp_path / "scores")
+    population.score_resumable(rows.where("id < 3"), score, path, ["id", "part"])
+    assert population.score_resumable(rows, score, path, ["id", "part"]).count() == 3 and seen == [2, 1]

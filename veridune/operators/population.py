@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def reconcile(plan: DataFrame, disk: DataFrame, key: str, digest: str) -> DataFr
     return j.select(F.coalesce("__a", "__b").alias(key), status.alias("status"))
 
 
+def pending(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
+    """rows whose key isn't done yet; a null in a key equals a null."""
+    d = done.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    return rows.join(d, same, "left_anti")
+
+
+def score_resumable(rows: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, key: list[str]) -> DataFrame:
+    """Scores what path doesn't hold yet, adds it there in one commit, and returns all that is there; to be called again after a failure."""
+    spark = rows.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p.suffix("/_SUCCESS"))
+    todo = pending(rows, spark.read.parquet(path), key) if there else rows
+    score(todo).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def even_pick(df: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """About k evenly spaced rows of each group, first included."""
     w = Window.partitionBy(by)

@@ -138,6 +138,32 @@ def overall_risk(findings: DataFrame) -> DataFrame:
     return g.select("n", risk.alias("risk"), disposition.alias("disposition"))
 
 
+def label_check(df: DataFrame, key: str, label: str, features: str, folds: int = 5, confidence: float = 0.7, l2: float = 1e-3) -> DataFrame:
+    """(key, label, predicted, confidence, flagged): what models fitted on the other folds say of each row's label.
+
+    A multinomial logistic regression on standardised features a fold; folds go by hash of the key, as many as the smallest
+    class has rows at most.  flagged: another label is predicted, with at least ``confidence``.  Rows without label or features
+    take no part; fewer than 20 rows, fewer than two classes or a class of one row raise ValueError.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    live = df.where(F.col(label).isNotNull() & F.col(features).isNotNull())
+    classes = sorted((r[0], r[1]) for r in live.groupBy(label).count().collect())  # a row a class
+    if sum(n for _, n in classes) < 20 or len(classes) < 2 or min(n for _, n in classes) < 2:
+        raise ValueError("labels need 20 rows, two classes and two rows a class")
+    k = min(folds, min(n for _, n in classes))
+    names = F.array(*[F.lit(c) for c, _ in classes])
+    x = live.select(key, label, array_to_vector(F.col(features).cast("array<double>")).alias("__x"), (F.array_position(names, F.col(label)) - 1).cast("double").alias("__y"), F.pmod(F.xxhash64(key), F.lit(k)).alias("__f"))
+    lr = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", predictionCol="__c", family="multinomial", regParam=l2, maxIter=50)
+    out = None
+    for f in range(k):
+        got = lr.fit(x.where(F.col("__f") != f)).transform(x.where(F.col("__f") == f))
+        got = got.select(key, label, F.element_at(names, F.col("__c").cast("int") + 1).alias("predicted"), F.array_max(vector_to_array("__p")).alias("confidence"))
+        out = got if out is None else out.unionByName(got)
+    return out.withColumn("flagged", (F.col("predicted") != F.col(label)) & (F.col("confidence") >= confidence))
+
+
 def pooled_rates(rates: DataFrame, by: list[str]) -> DataFrame:
     """item_rates of several assets taken together: counts are summed before any ratio; null where a denominator is 0."""
     g = rates.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])

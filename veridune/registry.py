@@ -210,10 +210,13 @@ def flag_overlap(spark, sf):
     return r6(ledger.flag_overlap(o.where("hit")), "jaccard")
 
 
-@query(None)
+@query("""WITH c AS (SELECT 'value' AS signal, event_type AS kind, count(*) AS n, count(*) FILTER (value > 150) AS hits FROM events GROUP BY event_type), b AS (SELECT *, (SELECT sum(hits)::DOUBLE / sum(n) FROM c) AS baseline FROM c),
+m AS (SELECT *, unnest(range(n + 1)) AS i FROM b WHERE n >= 3 AND baseline > 0 AND baseline < 1), d AS (SELECT *, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(baseline) + (n - i) * ln(1 - baseline)) AS d FROM m),
+p AS (SELECT signal, kind, n, hits, baseline, least(1, 2 * least(sum(d) FILTER (i >= hits), sum(d) FILTER (i <= hits))) AS p FROM d GROUP BY ALL), r AS (SELECT *, (SELECT count(*) FROM p b WHERE b.p <= a.p) AS rank, (SELECT count(*) FROM p) AS m FROM p a),
+q AS (SELECT *, (SELECT least(1, min(b.p * b.m / b.rank)) FROM r b WHERE b.p >= a.p) AS q FROM r a) SELECT signal, kind, n, hits, round(baseline, 6) AS baseline, round(p, 6) AS p, rank, round(q, 6) AS q, q <= 0.05 AS bh, q * (SELECT sum(1.0::DOUBLE / i) FROM range(1, 1000) t(i) WHERE i <= m) <= 0.05 AS by FROM q""")
 def kind_family(spark, sf):
     e = events(spark, sf).groupBy("signal", F.col("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 150).alias("hits"))
-    return ledger.kind_family(e)
+    return r6(ledger.kind_family(e), "baseline", "p", "q")
 
 
 @query("""WITH r AS (SELECT event_id AS id, event_type AS kind, value, user_id FROM events)
@@ -409,6 +412,17 @@ def pooled_rates(spark, sf):
     return quality.pooled_rates(item_rates(spark, sf).withColumn("english", F.col("lang") == "en"), ["english"])
 
 
+@query(None)
+def label_check(spark, sf):
+    return r6(quality.label_check(read(spark, sf, "embeddings"), "vec_id", "label", "embedding"), "confidence")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def pending_rows(spark, sf):
+    done = read(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return population.pending(read(spark, sf, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
 # -- drift -------------------------------------------------------------------------------------------------------------
 
 
@@ -628,6 +642,19 @@ def snapshot_digest(spark, sf):
     return chains.snapshot(read(spark, sf, "documents"), "text")
 
 
+@query("""WITH s AS (SELECT k AS kind, row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1 AS pos, p_size + (k = 'attack')::INT * 15 AS v FROM part, (SELECT unnest(['clean', 'attack']) AS k)), n AS (SELECT kind, count(*) AS n FROM s GROUP BY 1),
+d AS (SELECT kind, a.s AS s, b.t AS t, ('0x' || substr(md5('/' || kind || '/' || a.s || '/' || b.t), 1, 8))::BIGINT % n AS pos FROM n, range(200) a(s), range(80) b(t)), x AS (SELECT kind, s, t + 1 AS t, (v > 45)::INT AS hit FROM d JOIN s USING (kind, pos)),
+r AS (SELECT kind, s, t, sum(hit) OVER w AS k, sum(ln(1 + 0.5 * (hit - 0.1))) OVER w AS l FROM x WINDOW w AS (PARTITION BY kind, s ORDER BY t)), g AS (SELECT kind, s, max(l) >= ln(1 / 0.045) AS a, max((k > 0.1 * t + 1.645 * sqrt(0.1 * 0.9 * t))::INT) AS f FROM r GROUP BY 1, 2)
+SELECT kind, count(*) AS streams, round(avg(a::INT), 6) AS monitor_alarms, round(avg(f), 6) AS repeated_alarms FROM g GROUP BY kind""")
+def monitor_simulation(spark, sf):
+    # part keys run from the least without gaps
+    p = read(spark, sf, "part")
+    pos = F.col("p_partkey") - p.agg(F.min("p_partkey")).first()[0]
+    both = F.explode(F.array(F.struct(F.lit("clean").alias("kind"), F.col("p_size").alias("v")), F.struct(F.lit("attack").alias("kind"), (F.col("p_size") + 15).alias("v"))))
+    s = p.select(pos.cast("long").alias("pos"), both.alias("x")).select("pos", "x.*")
+    return r6(monitor.simulate(s, "kind", "pos", "v", 45.0, 0.1), "monitor_alarms", "repeated_alarms")
+
+
 @query("""WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sum(ln(1 + 0.5 * ((value > 100)::INT - 0.1))) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events)
 SELECT user_id, count(*) AS steps, round(max_by(l, i), 6) AS log_wealth, round(greatest(max(l), 0), 6) AS high_water, min(i) FILTER (l >= ln(1 / 0.045))::INT AS alarm_at, false AS refused FROM x GROUP BY user_id""")
 def eprocess_batch(spark, sf):

@@ -29,6 +29,27 @@ def eprocess(df: DataFrame, asset: str, t: str, score: str, cutoff: float, bound
     return x.groupBy(asset).agg(F.count(F.lit(1)).alias("steps"), F.max_by("__l", "__i").alias("log_wealth"), F.greatest(F.max("__l"), F.lit(0.0)).alias("high_water"), F.min(F.when(F.col("__hit"), F.col("__i"))).alias("alarm_at"), F.max(bad).alias("refused"))
 
 
+def simulate(scores: DataFrame, kind: str, pos: str, score: str, cutoff: float, bound: float, streams: int = 200, horizon: int = 80, seed: str = "", alpha: float = 0.05, delta: float = 0.005) -> DataFrame:
+    """Per kind: simulated streams, the share the monitor alarms on, and the share a test repeated at every step alarms on.
+
+    scores: (kind, pos from 0 without gaps, score).  Step t of stream s takes the row that an md5 of seed, kind, s and t names.
+    The repeated test alarms where, at some step, more than bound t + 1.645 sqrt(bound (1 - bound) t) scores so far exceed the cutoff.
+    """
+    n = scores.groupBy(kind).agg(F.count(F.lit(1)).alias("__n"))
+    spark = scores.sparkSession
+    steps = spark.range(streams * horizon).select((F.col("id") / horizon).cast("long").alias("__s"), (F.col("id") % horizon).alias("__t")).join(F.broadcast(n))  # n: a row a kind
+    h = F.md5(F.concat_ws("/", F.lit(seed), F.col(kind), F.col("__s").cast("string"), F.col("__t").cast("string")))
+    drawn = steps.withColumn("__pos", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("__n"))
+    x = drawn.join(scores.select(kind, F.col(pos).alias("__pos"), F.col(score).alias("__v")), [kind, "__pos"])
+    x = x.select(kind, "__s", "__t", "__v", F.struct(kind, "__s").alias("__stream"))
+    bets = eprocess(x, "__stream", "__t", "__v", cutoff, bound, alpha=alpha, delta=delta).select(F.col(f"__stream.{kind}").alias(kind), F.col("alarm_at").isNotNull().alias("__a"))
+    w = Window.partitionBy("__stream").orderBy("__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = F.col("__t") + 1
+    fixed = x.withColumn("__k", F.sum((F.col("__v") > cutoff).cast("long")).over(w)).groupBy(kind, "__s").agg(F.max(F.col("__k") > bound * t + 1.645 * F.sqrt(bound * (1 - bound) * t)).alias("__r"))
+    a = bets.groupBy(kind).agg(F.count(F.lit(1)).alias("streams"), F.avg(F.col("__a").cast("int")).alias("monitor_alarms"))
+    return a.join(fixed.groupBy(kind).agg(F.avg(F.col("__r").cast("int")).alias("repeated_alarms")), kind)
+
+
 def stream_monitor(events: DataFrame, asset: str, t: str, score: str, cutoff: float, bound: float, stake: float = 0.5, alpha: float = 0.05, delta: float = 0.005) -> DataFrame:
     """The same over a stream: one row an asset and micro-batch with its state so far; rows of a batch are taken by t."""
     bar = math.log(1 / (alpha - delta))
