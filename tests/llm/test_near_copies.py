@@ -77,3 +77,13 @@ def test_parities_keep_every_similar_pair_and_few_others():
         both = len(np.intersect1d(sets[a], sets[b]))
         s = both / (len(sets[a]) + len(sets[b]) - both)
         assert k if s >= 0.8 else (not k or s > 0.75), (len(sets[a]), s)
+
+
+def test_parities_are_small_and_rule_out_sets_that_share_half():
+    r = np.random.default_rng(2)
+    for n in (100, 511, 700, 6000):
+        h = r.integers(0, 1 << 63, 3 * n // 2, np.uint64)
+        sets = [np.unique(h[:n]), np.unique(h[n // 2 :])]
+        data = [near_copies._parities(s) for s in sets]
+        assert all(8 * len(d) <= max(128, 2 * len(s)) for d, s in zip(data, sets, strict=True))
+        assert not near_copies._possible(0.8)(np.array(list(map(len, sets))), data, np.array([0]), np.array([1])).any()

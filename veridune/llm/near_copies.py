@@ -28,8 +28,8 @@ from . import store
 from .components import connected_components
 from .grams import majority_bits
 
-SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
-LEAST_PARITIES = 512
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 100_000  # late from about 48 rows on, so that a key's pairs stay few at any size
+LEAST_PARITIES = 128
 CHUNK = 128
 CELL_SCHEMA = "cell long, a long, b long"
 PAIR_SCHEMA = "a long, b long"
@@ -60,8 +60,9 @@ def _all(words: int):
 
 
 def _parities(h: np.ndarray) -> bytes:
-    """A bit for each bucket that holds an odd number of hashes; four buckets a hash or more, so that long texts don't fill them."""
-    buckets = max(LEAST_PARITIES, 1 << (4 * len(h)).bit_length())
+    """A bit for each bucket that holds an odd number of hashes; a bucket a hash or more: sets of similarity 0.7 already differ in too many, and
+    these bits travel to every cell that looks at the set."""
+    buckets = max(LEAST_PARITIES, 1 << len(h).bit_length())
     return np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets).astype(np.uint8) & 1).tobytes()
 
 
@@ -260,9 +261,11 @@ def keep_one(docs: DataFrame, first: Callable[[DataFrame], DataFrame], id_col: s
     homes = store.materialize(one.select("node", "home").join(_few(large), "home", "left").select("node", F.xxhash64("home", chunk).alias("home")), "homes")
 
     def looked_at(pairs: DataFrame, data: DataFrame, decide: Callable, name: str) -> DataFrame:
-        """The pairs(cell, a, b) that decide keeps, by data(node, n, data) sent to each cell that needs it."""
+        """The written pairs(cell, a, b) that decide keeps, by data(node, n, data) sent to each cell that needs it."""
         need = pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct()
-        sent = need.join(data, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "data")
+        if 2 * pairs.count() <= BROADCAST_ROWS // 2:  # a row and its place in the hash table
+            need = F.broadcast(need)
+        sent = data.join(need, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "data")
         asked = pairs.select("cell", "a", "b", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("data"))
         dealt = sent.unionByName(asked).repartition(parts, "cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
         return store.materialize(dealt.mapInArrow(_by_cell(decide), CELL_SCHEMA), name)
