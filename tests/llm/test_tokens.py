@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -160,3 +161,49 @@ def test_plan_is_no_worse_than_best_fit(most):
         for k, m in items:
             got[k] += times * m
     assert (got[n] == c).all() and got.sum() == c.sum()
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_words_beside_marks_are_one_unit(name, kind):
+    enc = units.UnitEncoder(public_tokenizers.path(name), kind)
+    words = ["".join(w) for w in zip("abcdefghijklmnop" * 4, "éstuvwxyzéstuvwx" * 4, "aeiou" * 20, strict=False)]
+    enc.encode([" " + "".join(f"{w}{m} {w}{m}{m}\n" for w in words for m in ",.;:!?)*")])
+    assert len(enc.cache) <= 2 * len(set(words)) + 30
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_ids_of_many_texts_at_once(name, kind):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    enc = units.UnitEncoder(public_tokenizers.path(name), kind, most=500)
+    r = random.Random(2)
+    signs = ["a", "B", "é", "É", "×", " ", " ", "  ", "\n", "\t", "1", "23", ".", "'s", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "中", "　", "́", "İ", "\x1c", "\x85", "“"]
+    some = [*ODD, None, *["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)]]
+    for end in (None, 7):
+        for a in range(0, len(some), 700):
+            ids, n = enc.ids(pa.array(some[a : a + 700], pa.string()), end)
+            want = [t.encode(x or "", add_special_tokens=False).ids + ([] if end is None else [end]) for x in some[a : a + 700]]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_a_carry_goes_into_words_that_have_left():
+    coder = mixcoder._Encoder(2, 8)
+    for lane in (0, 1):  # words 5, 65535, 65535 and state 2 ** 64 - 1, in the first lane alone with a carry to come
+        for i, word in enumerate((5, 65535, 65535)):
+            coder.out[2 * i + lane] = word
+        coder.at[lane] = 6 + lane
+    coder.low[:] = ~np.uint64(0)
+    coder.add(2, np.array([1, 0], np.uint64))
+    assert coder.out.reshape(-1, 2)[:4].T.tolist() == [[6, 0, 0, 0], [5, 65535, 65535, 0]] and coder.low.tolist() == [0, (1 << 64) - 1]
+
+
+@pytest.mark.parametrize("case", ["zero", "random"])
+def test_any_changed_byte_of_a_block_is_found(case):
+    ids = np.random.default_rng(3).integers(0, 1 if case == "zero" else 900, 2000).astype("<u4")
+    image = mixcoder.encode(ids, block=512, lanes=4)
+    body = len(image) - sum(np.frombuffer(image, "<u4", 8, 40 + int(np.frombuffer(image, "<u8", 1, 24)[0]))[::2].tolist())
+    assert (mixcoder.decode(image) == ids).all()
+    for i in sorted({*range(body, min(body + 24, len(image))), *range(max(body, len(image) - 24), len(image))}):
+        broken = bytearray(image)
+        broken[i] ^= 1
+        with pytest.raises(ValueError):
+            mixcoder.decode(bytes(broken))

@@ -3,12 +3,15 @@
 Every block of at most ``BLOCK`` ids (fewer in short files) is coded by itself from a fresh state, with a checksum, so blocks can be read (or found
 broken) alone.  Blocks run in lockstep as lanes of numpy arrays: a step codes one id of each.
 
-Model of a lane: what followed the last two ids and what followed the last id here before (order 2, order 1), each with a
-confidence; their adaptive probabilities are mixed in the logistic domain with weights learnt as it goes, giving the
-probability that the prediction holds.  If it doesn't, order 0 says which id it is: ids are coded by their rank in the file's
-table, commonest first, the rank's bit length by adaptive frequencies renewed every ``RENEW`` steps.  Ids of one bit length
-are about equally common, so a rank's lower bits stand as they are in a stream of plain bits beside the range coder's words.
+Ids are coded by their rank in the file's table, commonest first.  Model of a lane: what followed the last two ids and what
+followed the last id here before (order 2, order 1), each with a confidence; their adaptive probabilities are mixed in the
+logistic domain with weights learnt as it goes, giving the probability that the prediction holds.  If it doesn't, order 0
+says which id it is: the rank's bit length by adaptive frequencies renewed every ``RENEW`` steps, and, since ids of one bit
+length are about equally common, the rank's lower bits in equal parts of what is left of the range.
 The table heads the file with a checksum of its own; a block needs it and nothing else.  All model arithmetic is in integers.
+
+Arrays hold both orders at once (first row: order 1), and all lanes take every step of the arithmetic, hit or not: whole
+rows cost less than picking the lanes that need it.
 """
 
 from __future__ import annotations
@@ -20,232 +23,231 @@ import numpy as np
 BLOCK = 4096
 LEAST_BLOCK = 1024
 LANES = 2048
-SLOTS = 1 << 12
-MAGIC = b"VTOK3\0\0\0"
+SLOTS = 1 << 12  # at most, and no more than twice a block's ids
+MAGIC = b"VTOK4\0\0\0"
 NARROW = 1 << 22  # ids below are counted in an array
-CLASSES, STRIDE = 33, 64
 RENEW = 32
 ONE = 12  # bits of a probability
-_BOT, _TOP, _WORD = np.uint64(1 << 32), np.uint64(1 << 48), np.uint64(16)
+SURE = 7  # the highest confidence, kept beside an id in 3 bits
+_LEAST = np.uint64(1 << 48)
 _STRETCH = np.array([0, *[round(256 * np.log(p / (4096 - p))) for p in range(1, 4096)]], np.int32)
 _STRETCH[0] = _STRETCH[1]
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2048, 2048)], np.int32)
-_U = np.uint32
+_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2048, 2048)], np.uint64)
+_U, _L = np.uint32, np.uint64
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.row, self.lane = np.arange(lanes) * SLOTS, np.arange(lanes) * 16
-        self.t1, self.t2 = np.zeros(lanes * SLOTS, _U), np.zeros(lanes * SLOTS, _U)  # id << 4 | confidence
-        self.p1, self.p2 = np.full(lanes * 16, 1024, np.int32), np.full(lanes * 16, 2048, np.int32)
-        self.w1, self.w2 = np.full(lanes, 1 << 15, np.int32), np.full(lanes, 1 << 15, np.int32)
-        self.count = np.ones((lanes, CLASSES), np.int32)
-        self.cum = np.full((lanes, STRIDE), 1 << ONE, np.int32)
-        self.cum[:, 0] = 0
-        self.a, self.b = np.zeros(lanes, _U), np.zeros(lanes, _U)  # the last id and the one before
+    def __init__(self, lanes: int, longest: int, distinct: int):
+        self.n = self.lanes = lanes
+        slots = min(SLOTS, 1 << max(longest - 1, 1).bit_length())
+        self.mask, self.down = _L(slots - 1), _L(65 - slots.bit_length())
+        self.classes = (distinct - 1).bit_length() + 1
+        self.lane = np.arange(lanes)
+        self.row = np.stack([self.lane, self.lane + lanes]) * slots
+        self.state = np.stack([self.lane, self.lane + lanes]) * 16
+        self.table = np.zeros(2 * lanes * slots, np.uint16 if distinct <= 1 << 13 else np.uint32)  # rank << 3 | confidence
+        self.p = np.repeat(np.array([1024, 2048], np.int32), 16 * lanes)
+        self.w = np.full((2, lanes), 1 << 15, np.int32)
+        self.count = np.ones((self.classes, lanes), np.int32)
+        self.seen, self.kept = np.empty((RENEW, lanes), np.int64), 0
+        self.a, self.b = np.zeros(lanes, _L), np.zeros(lanes, _L)  # the last rank, and the one before, multiplied
 
     def start(self, t: int, n: int) -> None:
         """Step t, with the first n lanes."""
         if n < self.n:
-            for name in ("row", "lane", "a", "b", "w1", "w2"):
-                setattr(self, name, getattr(self, name)[:n])
-            self.count, self.cum, self.n = self.count[:n], self.cum[:n], n
+            self.note()
+            self.lane, self.a, self.b = self.lane[:n], self.a[:n], self.b[:n]
+            self.row, self.state, self.w = self.row[:, :n], self.state[:, :n], self.w[:, :n].copy()
+            self.n = n
+        if t % 8 == 0:  # between, weights move by less than 2 ** 17, and products stay below 2 ** 30
+            np.minimum(np.maximum(self.w, -(1 << 18), out=self.w), 1 << 18, out=self.w)
         if t % RENEW == 0 or t < RENEW and t & (t - 1) == 0:
-            total = self.count.sum(axis=1, dtype=np.int32)
-            f = self.count * np.int32((1 << ONE) - CLASSES) // total[:, None] + np.int32(1)
-            f[np.arange(n), f.argmax(axis=1)] += (1 << ONE) - f.sum(axis=1, dtype=np.int32)
-            np.cumsum(f, axis=1, out=self.cum[:, 1 : CLASSES + 1])
+            self.note()
+            count = self.count
+            total = count.sum(axis=0, dtype=np.int32)
+            f = count * np.int32((1 << ONE) - self.classes) // total + np.int32(1)
+            f[f.argmax(axis=0), np.arange(self.lanes)] += (1 << ONE) - f.sum(axis=0, dtype=np.int32)
+            first = np.cumsum(f, axis=0, dtype=np.int32) - f
+            self.first, self.goals = first.astype(_L).reshape(-1), first[1:].astype(np.uint16)
+            self.f = f.astype(_L).reshape(-1)
             big = total > 1 << 13
             if big.any():
-                self.count[big] = (self.count[big] + 1) >> 1
+                count[:, big] = (count[:, big] + 1) >> 1
+
+    def note(self) -> None:
+        """Counts the classes of the steps since the last time."""
+        if self.kept:
+            seen = np.bincount(self.seen[: self.kept, : self.n].ravel(), minlength=(self.classes + 1) * self.lanes)
+            self.count += 24 * seen[: self.classes * self.lanes].reshape(self.classes, self.lanes).astype(np.int32)
+            self.kept = 0
 
     def predict(self) -> np.ndarray:
-        a = self.a * _U(40503)
-        self.i1 = self.row + ((a >> _U(4)) & _U(SLOTS - 1))
-        self.i2 = self.row + (((a ^ (self.b * _U(60493)) ^ (self.a >> _U(3))) >> _U(2)) & _U(SLOTS - 1))
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        c1, c2 = self.e1 & _U(15), self.e2 & _U(15)
-        chosen = np.where(c2 > 0, self.e2, self.e1)
-        self.guess = chosen >> _U(4)
-        self.k1 = self.lane + np.where((self.e1 ^ chosen) < 16, c1, _U(15))  # 15: order 1 says otherwise
-        self.k2 = self.lane + c2
-        self.q1, self.q2 = self.p1.take(self.k1), self.p2.take(self.k2)
-        self.s1, self.s2 = _STRETCH.take(self.q1), _STRETCH.take(self.q2)
-        dot = (self.w1 * self.s1 + self.w2 * self.s2) >> 16
-        self.p = _SQUASH.take(np.minimum(np.maximum(dot, -2048), 2047) + 2048)
-        return self.p
-
-    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        y = hit.astype(np.int32) << ONE
-        err = y - self.p
-        for w, s in ((self.w1, self.s1), (self.w2, self.s2)):
-            w += (s * err) >> 10
-            np.minimum(np.maximum(w, -(1 << 18), out=w), 1 << 18, out=w)
-        self.p1[self.k1] = np.minimum(np.maximum(self.q1 + ((y - self.q1) >> 4), 32), 4064)
-        self.p2[self.k2] = np.minimum(np.maximum(self.q2 + ((y - self.q2) >> 4), 32), 4064)
-        packed = ids << _U(4)
-        new = np.where(ids < 1 << 28, packed | _U(1), _U(0))  # larger ids are never predicted
-        for t, i, e in ((self.t1, self.i1, self.e1), (self.t2, self.i2, self.e2)):
-            c = e & _U(15)
-            same = (e ^ packed) - _U(1) < 13
-            t[i] = np.where(same, e + (c < 13), np.where(c > 3, e - c + (c >> _U(1)), new))
-        self.b, self.a = self.a, ids
-
-
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+        """Sets guess; the probability that it holds, of 4096."""
+        h = self.a * _L(11400714819323198485)
+        h ^= self.b
+        h >>= self.down
+        self.i = i = self.row.copy()
+        i[0] += (self.a & self.mask).view(np.int64)
+        i[1] += h.view(np.int64)
+        self.e = e = self.table.take(i)
+        kind = e.dtype.type
+        self.c = c = e & kind(SURE)
+        chosen = np.where(c[1] > 0, e[1], e[0])
+        self.guess = chosen >> kind(3)
+        k = c.copy()
+        k[0] |= ((e[0] ^ chosen) > SURE).astype(kind) << kind(3)  # 8 and on: order 1 says otherwise
+        self.k = k.astype(np.int64)
+        self.k += self.state
+        self.q = self.p.take(self.k)
+        self.s = _STRETCH.take(self.q)
+        dot = self.w * self.s
+        dot = dot[0] + dot[1]
+        dot >>= 16
+        dot += 2048
+        self.odds = _SQUASH.take(dot, mode="clip")
+        return self.odds
+
+    def update(self, ranks: np.ndarray, hit: np.ndarray) -> None:
+        y = hit.astype(np.int32)
+        err = y << ONE
+        err -= self.odds.astype(np.int32)
+        s = self.s
+        s *= err
+        s >>= 10
+        self.w += s
+        y *= 4047
+        y += 32
+        q = y - self.q
+        q >>= 4
+        q += self.q
+        self.p[self.k] = q  # 32 to 4064
+        e, c, kind = self.e, self.c, self.e.dtype.type
+        packed = ranks.astype(kind) << kind(3)
+        same = e ^ packed
+        same -= kind(1)
+        packed |= kind(1)
+        self.table[self.i] = np.where(same < SURE, e + (c < SURE), np.where(c > 3, e - kind(3), packed))
+        self.b = self.a * _L(0xD6E8FEB86659FD93)
+        self.a = ranks.astype(_L)
 
 
 class _Encoder:
-    """Carry-less: 64-bit state, words of 16 bits leave when the range is below 2 ** 32."""
+    """Range coder: 64-bit state; words of 16 bits leave when the range is below 2 ** 48, a carry goes into words that have left."""
 
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-        self.out, self.pos = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes, _L), np.full(lanes, ~_L(0))
+        self.lanes, self.out, self.at = lanes, np.zeros(lanes * room, "<u2"), np.arange(lanes)  # a row: a word of each lane
+
+    def add(self, n: int, more: np.ndarray) -> None:
+        low = self.low[:n]
+        low += more
+        at = self.at[:n][low < more]
+        while len(at):
+            at -= self.lanes
+            word = self.out[at] + np.uint16(1)
+            self.out[at] = word
+            at = at[word == 0]
 
     def renew(self, n: int) -> None:
-        go = np.flatnonzero(self.range[:n] < _BOT)
+        go = np.flatnonzero(self.range[:n] < _LEAST)
         while len(go):
-            low, rng = self.low[go], self.range[go]
-            rng = np.where((low ^ (low + rng)) < _TOP, rng, -low & (_BOT - np.uint64(1)))
-            at = self.pos[go]
-            self.out[go, at] = low >> np.uint64(48)
-            self.pos[go] = at + 1
-            self.low[go] = low << _WORD
-            rng = rng << _WORD
+            low, at = self.low[go], self.at[go]
+            self.out[at] = low >> _L(48)
+            self.at[go] = at + self.lanes
+            self.low[go] = low << _L(16)
+            rng = self.range[go] << _L(16)
             self.range[go] = rng
-            go = go[rng < _BOT]
+            go = go[rng < _LEAST]
 
     def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.out[lanes, self.pos] = self.low >> np.uint64(48)
-            self.pos += 1
-            self.low <<= _WORD
-        return [self.out[j, :n].tobytes() for j, n in enumerate(self.pos.tolist())]
+        """The shortest number in the range: one more word, zeros follow."""
+        self.add(len(self.low), np.full(len(self.low), _LEAST - _L(1)))
+        self.out[self.at] = self.low >> _L(48)
+        words = self.at // self.lanes + 1
+        rows = np.ascontiguousarray(self.out.reshape(-1, self.lanes)[: int(words.max())].T)
+        return [rows[j, :n].tobytes() for j, n in enumerate(words.tolist())]
 
 
 class _Decoder:
     def __init__(self, parts: list[bytes]):
         n = len(parts)
-        self.data = np.zeros((n, max(max(map(len, parts)) // 2, 4) + 1), "<u2")
+        rows = np.zeros((n, max(map(len, parts)) // 2 + 5), "<u2")
         for j, p in enumerate(parts):
-            self.data[j, : len(p) // 2] = np.frombuffer(p, "<u2", len(p) // 2)
-        self.pos = np.full(n, 4, np.int64)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-        self.code = np.zeros(n, np.uint64)
+            rows[j, : len(p) // 2] = np.frombuffer(p, "<u2", len(p) // 2)
+        self.lanes, self.data, self.at = n, np.ascontiguousarray(rows.T).reshape(-1), np.arange(n) + 4 * n
+        self.range, self.code = np.full(n, ~_L(0)), np.zeros(n, _L)  # code: above the range's low end
         for c in range(4):
-            self.code = (self.code << _WORD) | self.data[:, c]
+            self.code = (self.code << _L(16)) | rows[:, c]
 
     def renew(self, n: int) -> None:
-        go = np.flatnonzero(self.range[:n] < _BOT)
+        go = np.flatnonzero(self.range[:n] < _LEAST)
         while len(go):
-            low, rng = self.low[go], self.range[go]
-            rng = np.where((low ^ (low + rng)) < _TOP, rng, -low & (_BOT - np.uint64(1)))
-            at = self.pos[go]
-            self.code[go] = (self.code[go] << _WORD) | self.data[go, at]
-            self.pos[go] = np.minimum(at + 1, self.data.shape[1] - 1)  # damaged blocks may ask for more
-            self.low[go] = low << _WORD
-            rng = np.maximum(rng << _WORD, np.uint64(1))
+            at = self.at[go]
+            self.code[go] = (self.code[go] << _L(16)) | self.data.take(at, mode="clip")  # damaged blocks may ask for more
+            self.at[go] = at + self.lanes
+            rng = self.range[go] << _L(16)
             self.range[go] = rng
-            go = go[rng < _BOT]
-
-
-def _pack_bits(ids: np.ndarray, bits: np.ndarray) -> list[bytes]:
-    """The lowest bits of each id, one lane's after another's, as 32-bit words a lane."""
-    out = []
-    for a in range(0, len(ids), 64):
-        k = bits[a : a + 64].astype(np.int64)
-        end = np.cumsum(k, axis=1)
-        words = (end[:, -1] + 31) >> 5
-        first = np.cumsum(words) - words
-        at = end - k + (first << 5)[:, None]
-        j = np.nonzero(k)
-        at, value = at[j], (ids[a : a + 64][j].astype(np.uint64) & ((np.uint64(1) << k[j].astype(np.uint64)) - np.uint64(1))) << (at[j] & 31).astype(np.uint64)
-        n = int(words.sum())
-        # the bits of a word don't overlap, so that sums are unions and below 2 ** 32
-        flat = np.bincount(at >> 5, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1) + np.bincount((at >> 5) + 1, (value >> np.uint64(32)).astype(np.float64), n + 1)[: n + 1]
-        flat = flat[:n].astype("<u4")
-        out += [flat[f : f + w].tobytes() for f, w in zip(first.tolist(), words.tolist(), strict=True)]
-    return out
-
-
-class _Bits:
-    def __init__(self, parts: list[bytes]):
-        width = max(map(len, parts)) // 4 + 2
-        self.words = np.zeros((len(parts), width), "<u4")
-        for j, p in enumerate(parts):
-            self.words[j, : len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
-        self.flat, self.row, self.most = self.words.reshape(-1), np.arange(len(parts)) * width, (width - 2) * 32
-        self.pos = np.zeros(len(parts), np.int64)
-
-    def take(self, i: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        pos = self.pos[i]
-        at = self.row[i] + (pos >> 5)
-        both = self.flat.take(at).astype(np.uint64) | (self.flat.take(at + 1).astype(np.uint64) << np.uint64(32))
-        self.pos[i] = np.minimum(pos + bits, self.most)  # damaged blocks may ask for more
-        return ((both >> (pos & 31).astype(np.uint64)) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(_U)
-
+            go = go[rng < _LEAST]
 
-def _classes(cum: np.ndarray, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """The last class of each row that starts at or below the goal."""
-    k = row.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        k += np.where(cum.take(np.minimum(k + step, row + STRIDE - 1)) <= goal, step, 0)
-    return np.minimum(k - row, CLASSES - 1)
 
-
-def _run(lengths: np.ndarray, ids: np.ndarray | None, parts: list[tuple[bytes, bytes]] | None):
-    """Codes lanes (longest first): ids (lanes x BLOCK) to parts, or parts to ids."""
+def _run(lengths: np.ndarray, distinct: int, ranks: np.ndarray | None, parts: list[bytes] | None):
+    """Codes lanes (longest first): ranks (lanes x longest) to parts, or parts to ranks."""
     lanes, longest = len(lengths), int(lengths.max())
-    model, encode = _Model(lanes), parts is None
+    model, encode = _Model(lanes, longest, distinct), parts is None
     if encode:
-        coder, bits = _Encoder(lanes, 2 * longest + 8), np.zeros((lanes, longest), np.uint8)
-        steps = np.ascontiguousarray(ids.T)
+        coder, steps = _Encoder(lanes, 4 * longest + 8), np.ascontiguousarray(ranks.T)
+        bits = np.frexp(np.arange(distinct, dtype=np.float64))[1].astype(np.int64)
     else:
-        coder, bits = _Decoder([p[0] for p in parts]), _Bits([p[1] for p in parts])
-        steps = np.zeros((longest, lanes), _U)
-    one = np.uint64(ONE)
+        coder, steps = _Decoder(parts), np.zeros((longest, lanes), _U)
+    one, unit, none = _L(ONE), _L(1), np.int64(model.classes * lanes)
     for t in range(longest):
         n = lanes if t < lengths[-1] else int(np.searchsorted(-lengths, -t, "left"))  # lanes with an id at t
         model.start(t, n)
-        p = model.predict().astype(np.uint64)
-        low, rng = coder.low[:n], coder.range[:n]
-        r = rng >> one
-        split = r * p
+        p = model.predict()
+        rng = coder.range[:n]
+        split = rng >> one
+        split *= p
+        left = rng - split
+        left >>= one
+        x = steps[t, :n]
         if encode:
-            x = steps[t, :n]
             hit = x == model.guess
+            k = bits.take(x)
+        else:
+            code = coder.code[:n]
+            hit = code < split
+            rest = code - split
+            goal = np.minimum(rest // left, _L((1 << ONE) - 1)).astype(np.uint16)
+            k = np.add.reduce((model.goals[:, :n] <= goal).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        at = k * lanes
+        at += model.lane
+        first = model.first.take(at)
+        first *= left
+        left *= model.f.take(at)
+        k = k.view(_L)
+        top = unit << k
+        top >>= unit
+        left >>= np.maximum(k, unit) - unit
+        if encode:
+            more = x - top
+            more *= left
+            more += first
+            more += split
+            more[hit] = 0
+            coder.add(n, more)
         else:
-            hit = coder.code[:n] - low < split
-            x = steps[t, :n]
-            x[:] = model.guess
-        low += np.where(hit, np.uint64(0), split)
-        rng[:] = np.where(hit, split, (r << one) - split)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            row, cum = miss * STRIDE, model.cum.reshape(-1)
-            r = rng[miss] >> one
-            if encode:
-                v = x[miss]
-                k = _bit_length(v)
-                bits[miss, t] = np.maximum(k - 1, 0)
-            else:
-                goal = (coder.code[miss] - low[miss]) // np.maximum(r, np.uint64(1))
-                k = _classes(cum, row, np.minimum(goal, np.uint64((1 << ONE) - 1)).astype(np.int32))
-                most = np.maximum(k - 1, 0)
-                x[miss] = np.where(k > 0, (_U(1) << most.astype(_U)) | bits.take(miss, most), _U(0))
-            at = row + k
-            start = cum.take(at)
-            low[miss] += r * start.astype(np.uint64)
-            rng[miss] = r * (cum.take(at + 1) - start).astype(np.uint64)
-            model.count.reshape(-1)[miss * CLASSES + k] += 24
+            rest -= first
+            v = np.minimum(rest // left, np.maximum(top, unit) - unit)
+            rest -= v * left
+            v += top
+            x[:] = np.where(hit, model.guess, v)
+            code[:] = np.where(hit, code, rest)
+        rng[:] = np.where(hit, split, left)
+        model.seen[model.kept, :n] = np.where(hit, none, at)
+        model.kept += 1
         coder.renew(n)
         model.update(x, hit)
-    if not encode:
-        return steps.T
-    return list(zip(coder.finish(), _pack_bits(ids[:, :longest], bits), strict=True))
+    return coder.finish() if encode else steps.T
 
 
 def block_for(n: int, lanes: int = LANES) -> int:
@@ -284,7 +286,7 @@ def _unpack_table(data: bytes) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> bytes:
-    """A file image: magic, ids, block size, bytes and checksum of the packed table, the table, then per block its bytes of words and of plain bits and the checksum of its ids, then the blocks."""
+    """A file image: magic, ids, block size, bytes and checksum of the packed table, the table, then per block its bytes and the checksum of its ids and bytes, then the blocks."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     block = block or block_for(n, lanes)
@@ -293,14 +295,14 @@ def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> byt
     sizes = np.full(-(-n // block), block, np.int64)
     if n % block:
         sizes[-1] = n % block
-    parts: list[tuple[bytes, bytes]] = []
+    parts: list[bytes] = []
     for a in range(0, len(sizes), lanes):
         s = sizes[a : a + lanes]
         grid = np.zeros((len(s), block), _U)
         grid.reshape(-1)[: int(s.sum())] = codes[a * block : a * block + int(s.sum())]
-        parts += _run(s, grid, None)
-    head = np.array([[len(p), len(q), zlib.crc32(ids[j * block : (j + 1) * block].tobytes())] for j, (p, q) in enumerate(parts)], "<u4").reshape(-1, 3)
-    return MAGIC + np.array([n, block, len(packed), zlib.crc32(packed)], "<u8").tobytes() + packed + head.tobytes() + b"".join(x for p in parts for x in p)
+        parts += _run(s, len(table), grid[:, : s[0]], None)
+    head = np.array([[len(p), zlib.crc32(p, zlib.crc32(ids[j * block : (j + 1) * block].tobytes()))] for j, p in enumerate(parts)], "<u4").reshape(-1, 2)
+    return MAGIC + np.array([n, block, len(packed), zlib.crc32(packed)], "<u8").tobytes() + packed + head.tobytes() + b"".join(parts)
 
 
 def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
@@ -313,19 +315,20 @@ def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
         raise ValueError("the table is damaged")
     table = _unpack_table(packed)
     count = -(-n // block)
-    head = np.frombuffer(image, "<u4", 3 * count, 40 + size).reshape(-1, 3).astype(np.int64)
-    at = 40 + size + 12 * count + np.concatenate([[0], np.cumsum(head[:, :2].ravel())])
+    head = np.frombuffer(image, "<u4", 2 * count, 40 + size).reshape(-1, 2).astype(np.int64)
+    at = 40 + size + 8 * count + np.concatenate([[0], np.cumsum(head[:, 0])])
     sizes = np.full(count, block, np.int64)
     if n % block:
         sizes[-1] = n % block
     out = np.empty(n, "<u4")
     for a in range(0, count, lanes):
         s = sizes[a : a + lanes]
-        got = _run(s, None, [(image[at[2 * j] : at[2 * j + 1]], image[at[2 * j + 1] : at[2 * j + 2]]) for j in range(a, a + len(s))])
+        parts = [image[at[j] : at[j + 1]] for j in range(a, a + len(s))]
+        got = _run(s, len(table), None, parts)
         for j, m in enumerate(s.tolist()):
             ranks = got[j, :m]
             ids = table[np.minimum(ranks, len(table) - 1)]
-            if ranks.max() >= len(table) or zlib.crc32(ids.tobytes()) != head[a + j, 2]:
+            if ranks.max() >= len(table) or zlib.crc32(parts[j], zlib.crc32(ids.tobytes())) != head[a + j, 1]:
                 raise ValueError(f"block {a + j} is damaged")
             out[(a + j) * block : (a + j) * block + m] = ids
     return out

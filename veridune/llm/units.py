@@ -1,7 +1,8 @@
 """Token ids of whole texts by way of their distinct units.
 
 A pre-tokeniser never joins what stands on both sides of certain places, so a text's ids are those of its units in turn.
-Units repeat, and each distinct one is encoded about once a worker; two generations of ``most`` units are remembered.
+Many texts are cut at such places at once, by the classes of their bytes, and their units counted as one dictionary, of
+which each is encoded about once a worker; two generations of ``most`` units are remembered.
 """
 
 from __future__ import annotations
@@ -9,23 +10,39 @@ from __future__ import annotations
 import os
 import re
 import struct
+from codecs import charmap_decode
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import store
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Unicode White_Space, which the tokenizers' \s stands for (Python's \s has four control characters more)
 _WS = "\t-\r \x85\xa0  -     　"
 _SLOW = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_CUT = re.compile(r" \s| $")
-#: words whose pre-tokens are plain: Latin-1 letters, digits one by one, ASCII marks but the apostrophe
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
-_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: white space beyond ASCII's
+_WIDE = re.compile(f"[{_WS[_WS.index(chr(0x85)):]}]")
+#: units whose pre-tokens are plain: Latin-1 letters, digits, ASCII marks but the apostrophe, after at most one space
+_PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(1, 6)
+#: classes of bytes; a Latin-1 letter is 0xC3 and one of 0x80 to 0xBF but for the signs × and ÷
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(9, 14), 32]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[b for b in range(33, 127) if chr(b) != "'" and not chr(b).isalnum()]] = _MARK
+_CLASS[[0x97, 0xB7]] = _OTHER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: byte-level alphabets write a byte as the character of its number, or, where that isn't a visible one, as 256 and on
 _SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS = {b: b for b in _SEEN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
-_LATIN = {c: "".join(chr(_AS[b]) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-#: units that can be encoded many at a time, with a line break between: a space and then none that is white
-_JOINS = re.compile(rf" [^{_WS}]{{1,64}}")
+_BYTES = "".join(chr(_AS[b]) for b in range(256))
+_PACK = [struct.Struct(f"<{k}I").pack for k in range(65)]
+#: bytes of text that are cut at once
+_AT_ONCE = 6 << 20
 _CACHE: dict[str, tuple] = {}
 
 
@@ -35,6 +52,15 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _join(a: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Runs of a, the i-th of n[i] items, put together in the order of ``which``."""
+    long = n[which]
+    to = np.cumsum(long)
+    at = np.repeat((np.cumsum(n) - n)[which] - to + long, long)
+    at += np.arange(len(at))
+    return a.take(at)
+
+
 class UnitEncoder:
     """Little-endian 32-bit ids of texts; kind "words": white space only separates; kind "bytes": it belongs to what follows."""
 
@@ -43,83 +69,141 @@ class UnitEncoder:
 
         self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict = {}
-        self.old: dict = {}
-        self.parts: dict[str, bytes] = {}
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def units(self, text: str) -> list:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, n = self.ids(pa.array(texts, pa.large_string()))
+        raw, to = ids.tobytes(), 4 * np.cumsum(n)
+        return [raw[b - 4 * k : b] for b, k in zip(to.tolist(), n.tolist(), strict=True)]
+
+    def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after another, each followed by ``end`` if given, and how many each has. Null text: empty."""
+        out, counts, a = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while a < len(texts):
+            to = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _AT_ONCE, "right")))
+            got = self._some(texts.slice(a, to - a), end)
+            out.append(got[0])
+            counts.append(got[1])
+            a = to
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _some(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        buf, off = store.texts_of({"text": texts}, "text")
+        slow = self._slow(texts, buf, off) if self.kind == "bytes" else []
+        if slow:  # their units are found by a regular expression and stand in for them
+            whole = texts.to_pylist()
+            units = [[whole[i]] if any(s in whole[i] for s in self.special) else _SLOW.findall(whole[i]) for i in slow]
+            keep = np.ones(len(whole), bool)
+            keep[slow] = False
+            buf, off = store.texts_of({"text": pc.if_else(pa.array(keep), texts, pa.scalar("", texts.type))}, "text")
+        starts, buf = self._starts(buf, off)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(buf)).dictionary_encode()
+        words, codes = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy().astype(np.int64)
+        n = np.diff(np.searchsorted(starts, off))
+        if slow:
+            at = {}
+            more = [[at.setdefault(u, len(words) + len(at)) for u in part] for part in units]
+            words += at
+            codes = np.insert(codes, np.repeat((np.cumsum(n) - n)[slow], [len(m) for m in more]), [c for m in more for c in m])
+            n[slow] = [len(m) for m in more]
+        known = self._known(words)
+        if end is not None:
+            codes = np.insert(codes, np.cumsum(n), len(known))
+            known.append(struct.pack("<I", end))
+            n += 1
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        per = np.concatenate([[0], np.cumsum(size[codes])])
+        to = np.concatenate([[0], np.cumsum(n)])
+        return _join(np.frombuffer(b"".join(known), "<u4"), size, codes), np.diff(per[to])
+
+    def _slow(self, texts: pa.Array, buf: np.ndarray, off: np.ndarray) -> list[int]:
+        """Texts with added tokens or with white space beyond ASCII's, which may stand beside other white space."""
+        found: set[int] = set()
+        for s in self.special:
+            found.update(np.flatnonzero(pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)).tolist())
+        lead = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))
+        found.update(i for i in np.unique(np.searchsorted(off, lead, "right") - 1).tolist() if _WIDE.search(texts[i].as_py()))
+        return sorted(found)
+
+    def _starts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where units start: a text, a change of class, the last of some white space, to which what follows belongs if it is a space; with kind "words" each digit.
+
+        And the bytes, with kind "words" plain letters in lower case.
+        """
+        if not len(buf):
+            return np.zeros(0, np.int64), buf
+        cls = _CLASS.take(buf)
+        first = np.unique(off[:-1][off[:-1] < len(buf)])
+        white = cls == _SPACE
+        before, after = np.empty(len(buf), np.uint8), np.empty(len(buf), bool)
+        before[1:], after[:-1] = cls[:-1], ~white[1:]
+        before[first], after[np.append(first[1:], len(buf)) - 1] = 0, False
+        start = cls != before
+        if self.kind == "words":
+            start |= cls == _DIGIT
+        start |= white & after
+        odd = cls == _OTHER
+        odd[:-1] |= (buf[:-1] == 60) & (buf[1:] == 124)  # <|
+        odd = np.flatnonzero(odd)
+        same = None
+        if len(odd):  # all between white space is left to the library
+            runs = np.flatnonzero(~white & ((before == _SPACE) | (before == 0)))
+            stops = np.flatnonzero(~white & (np.append(white[1:], True) | np.append(before[1:] == 0, True))) + 1
+            r = np.unique(np.searchsorted(runs, odd, "right") - 1)
+            deep = np.zeros(len(buf) + 1, np.int8)
+            deep[runs[r] + 1] += 1
+            np.subtract.at(deep, stops[r], 1)
+            start &= np.cumsum(deep[:-1], dtype=np.int8) == 0
+            if self.kind == "words":
+                deep[runs[r] + 1] -= 1
+                deep[runs[r]] += 1
+                same = np.cumsum(deep[:-1], dtype=np.int8) != 0
+        blank = np.flatnonzero((buf == 32) & after) + 1
+        start[blank] = False
         if self.kind == "words":
-            return text.encode().split()
-        if any(s in text for s in self.special):
-            return [text]
-        if _CUT.search(text):
-            return _SLOW.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+            low = _LOWER.take(buf)
+            low[1:] += ((buf[:-1] == 0xC3) & (buf[1:] < 0x9F)).view(np.uint8) << 5
+            buf = low if same is None else np.where(same, buf, low)
+        return np.flatnonzero(start), buf
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
+    def _known(self, units: list[str]) -> list[bytes]:
+        """Each unit's ids."""
         if len(self.cache) > self.most:  # two generations: what is used stays
             self.old, self.cache = self.cache, {}
-        cache, old = self.cache, self.old
-        fresh: set = set()
-        for u in split:
-            fresh.update(u)
-        fresh.difference_update(cache)
-        order = []
-        for x in fresh:
-            y = old.get(x)
-            if y is None:
-                order.append(x)
-            else:
-                cache[x] = y
-        order = self._plain(order) if self.kind == "words" else self._joined(order)
-        for a in range(0, len(order), 1 << 14):
-            part = order[a : a + (1 << 14)]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast([x if isinstance(x, str) else x.decode() for x in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                cache[u] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join([cache[x] for x in u]) for u in split]
-
-    def _joined(self, units: list[str], many: int = 64) -> list[str]:
-        """Caches units by encoding many as lines of one text, where each line break is an id of its own; gives back the others."""
-        if len(self.line) != 1:
-            return units
-        joins, rest = [], []
-        for u in units:
-            (joins if _JOINS.fullmatch(u) and not any(s in u for s in self.special) else rest).append(u)
-        for a in range(0, len(joins), 1 << 14):
-            groups = [joins[b : b + many] for b in range(a, min(a + (1 << 14), len(joins)), many)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                raw, breaks = ids.tobytes(), 4 * np.flatnonzero(ids == self.line[0])
-                if len(breaks) != len(group) - 1:
-                    rest += group
-                    continue
-                for u, start, stop in zip(group, [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)], strict=True):
-                    self.cache[u] = raw[start:stop]
-        return rest
-
-    def _plain(self, words: list[bytes]) -> list[bytes]:
-        """Caches words of plain pre-tokens, by the library's model on each lower-cased pre-token; gives back the others."""
-        cache, tokenize, rest, parts = self.cache, self.tokenizer.model.tokenize, [], self.parts
-        if len(parts) > self.most:
-            parts.clear()
-        for w in words:
-            s = w.decode()
-            if not _PLAIN.fullmatch(s) or "<|" in s:
-                rest.append(w)
+        cache = self.cache
+        got = list(map(cache.get, units))
+        fresh = [i for i, x in enumerate(got) if x is None]
+        if self.old:
+            for i, x in zip(fresh, map(self.old.get, [units[i] for i in fresh]), strict=True):
+                if x is not None:
+                    got[i] = cache[units[i]] = x
+            fresh = [i for i in fresh if got[i] is None]
+        some = [units[i] for i in fresh]
+        plain = [m is not None for m in map(_PLAIN.fullmatch, some)]
+        rest, words, tokenize = [], self.kind == "words", self.tokenizer.model.tokenize
+        for i, u, ok in zip(fresh, some, plain, strict=True):
+            if not ok or "<|" in u:
+                rest.append(i)
                 continue
-            out = []
-            for p in _PIECE.findall(s.lower()):
-                ids = parts.get(p)
-                if ids is None:
-                    t = tokenize(p if p.isascii() else p.translate(_LATIN))
-                    ids = parts[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t])
-                out.append(ids)
-            cache[w] = b"".join(out)
-        return rest
+            if words:
+                if u[0] != " " and " " + u in cache:
+                    got[i] = cache[u] = cache[" " + u]
+                    continue
+                p = u.lstrip(" ")
+                if len(p) > 1 and p.isdigit():
+                    rest.append(i)
+                    continue
+            else:
+                p = u
+            ids = [t.id for t in tokenize(charmap_decode(p.encode(), "strict", _BYTES)[0])]  # one pre-token, so the model's ids are the library's
+            got[i] = cache[u] = _PACK[len(ids)](*ids) if len(ids) < 65 else np.array(ids, "<u4").tobytes()
+        for a in range(0, len(rest), 1 << 14):
+            part = rest[a : a + (1 << 14)]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False), strict=True):
+                got[i] = cache[units[i]] = np.array(e.ids, "<u4").tobytes()
+        return got
 
 
 def encoder(path: str, kind: str) -> UnitEncoder:
