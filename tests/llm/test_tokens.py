@@ -207,3 +207,41 @@ def test_any_changed_byte_of_a_block_is_found(case):
         broken[i] ^= 1
         with pytest.raises(ValueError):
             mixcoder.decode(bytes(broken))
+
+
+@pytest.mark.parametrize("rows", [0, 1, 256, 600])
+def test_a_batch_is_tokenised_at_once_and_kept_in_blocks_of_256(rows, monkeypatch):
+    import pyspark
+
+    from veridune.llm import store
+
+    class Counted(units.UnitEncoder):
+        calls = 0
+
+        def ids(self, *args):
+            Counted.calls += 1
+            return super().ids(*args)
+
+        def encode(self, some):
+            Counted.calls += 1
+            return super().encode(some)
+
+    path, size = public_tokenizers.path("word_bpe_49k.json"), 7
+    monkeypatch.setattr(o9, "encoder", Counted)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Here", (), {"partitionId": lambda self: 3})()))
+    some = [None if i % 50 == 9 else " ".join(["word, Word!"] * (i % 9)) for i in range(rows)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int64()), pa.array(some, pa.string())], names=["id", "text"])
+    blocks = list(o9._pieces(path, size, 0)([batch]))
+    assert Counted.calls <= 1 and len(blocks) == -(-rows // 256)
+    assert [b["block"][0].as_py() for b in blocks] == [(3 << 32) | i for i in range(len(blocks))]
+    t, want, got = Tokenizer.from_file(path), [], []
+    for d, x in enumerate(some):
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4")
+        want += [(d, p // size, p, len(ids[p : p + size]), zlib.crc32(ids[p : p + size].tobytes())) for p in range(0, len(ids), size)]
+    for b in blocks:
+        held = [tuple(r.values()) for r in store.load(b["payload"][0].as_buffer()).to_pylist()]
+        got += held
+        assert len({d for d, *_ in held}) <= 256
+        n, c = np.unique([h[3] for h in held], return_counts=True)
+        assert (b["lengths"][0].as_py(), b["counts"][0].as_py()) == (n.tolist(), c.tolist())
+    assert got == want

@@ -134,25 +134,22 @@ def _pieces(path: str | None, size: int, end: int):
 
         enc = encoder(path or default_path("word_bpe_49k.json"), "words")
         part, seq = TaskContext.get().partitionId(), 0
-        tail = np.array([end], "<u4").tobytes()
-        step = 4 * size
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a in range(0, len(texts), 256):
-                doc, piece, start, length, crc = [], [], [], [], []
-                for d, ids in zip(batch["id"][a : a + 256].to_pylist(), enc.encode([t or "" for t in texts[a : a + 256]]), strict=True):
-                    ids += tail
-                    for p in range(0, len(ids), step):
-                        x = ids[p : p + step]
-                        doc.append(d)
-                        piece.append(p // step)
-                        start.append(p // 4)
-                        length.append(len(x) // 4)
-                        crc.append(zlib.crc32(x))
-                t = pa.table({"doc": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int32()), "crc": pa.array(crc, pa.int64())})
-                n, c = np.unique(np.array(length, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([c.tolist()], pa.list_(pa.int64())), pa.array([store.dump(t)], pa.binary())], names=["block", "lengths", "counts", "payload"])
-                seq += 1
+            ids, n = enc.ids(batch["text"], end)
+            raw, docs, a = memoryview(ids.view(np.uint8)), batch["id"].to_numpy(), 0
+            per = -(-n // size)
+            to = np.cumsum(per)
+            row = np.repeat(np.arange(len(n)), per)
+            piece = np.arange(len(row)) - (to - per)[row]
+            start = piece * size
+            length = np.minimum(n[row] - start, size)
+            ends = 4 * np.cumsum(length)  # pieces stand one after another, as the ids do
+            crc = np.array([zlib.crc32(raw[x:y]) for x, y in zip((ends - 4 * length).tolist(), ends.tolist(), strict=True)], np.int64)
+            for b in to[np.minimum(np.arange(255, len(n) + 255, 256), len(n) - 1)].tolist():
+                t = pa.table({"doc": pa.array(docs[row[a:b]]), "piece": pa.array(piece[a:b].astype(np.int32)), "start": pa.array(start[a:b]), "length": pa.array(length[a:b].astype(np.int32)), "crc": pa.array(crc[a:b])})
+                k, c = np.unique(length[a:b], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([k.tolist()], pa.list_(pa.int64())), pa.array([c.tolist()], pa.list_(pa.int64())), pa.array([store.dump(t)], pa.binary())], names=["block", "lengths", "counts", "payload"])
+                seq, a = seq + 1, b
 
     return rows
 
