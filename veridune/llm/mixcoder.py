@@ -6,7 +6,7 @@ broken) alone.  Blocks run in lockstep as lanes of numpy arrays: a step codes on
 Ids are coded by their rank in the file's table, commonest first.  Model of a lane: what followed the last two ids and what
 followed the last id here before (order 2, order 1), each with a confidence; their adaptive probabilities are mixed in the
 logistic domain with weights learnt as it goes, giving the probability that the prediction holds.  If it doesn't, order 0
-says which id it is: the rank's bit length by adaptive frequencies renewed every ``RENEW`` steps, and, since ids of one bit
+says which id it is: the rank's bit length by adaptive frequencies, the file's to begin with, renewed every ``RENEW`` steps, and, since ids of one bit
 length are about equally common, the rank's lower bits in equal parts of what is left of the range.
 The table heads the file with a checksum of its own; a block needs it and nothing else.  All model arithmetic is in integers.
 
@@ -34,21 +34,25 @@ _STRETCH = np.array([0, *[round(256 * np.log(p / (4096 - p))) for p in range(1,
 _STRETCH[0] = _STRETCH[1]
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2048, 2048)], np.uint64)
 _U, _L = np.uint32, np.uint64
+PRIOR = 800  # what the file's classes count for at the start of a block; an id counts for 24
+#: how often a guess holds at first, of 4096, by confidence; from 8 on: order 1 says otherwise than order 2
+_HOLDS = np.array([[128, 256, 1152, 1664, 1664, 1664, 1664, 1792, 96, 96, 448, 896, 960, 1024, 1024, 1024], [320, 160, 1536, *[2048] * 13]], np.int32)
 
 
 class _Model:
-    def __init__(self, lanes: int, longest: int, distinct: int):
+    def __init__(self, lanes: int, longest: int, distinct: int, classes: np.ndarray):
         self.n = self.lanes = lanes
         slots = min(SLOTS, 1 << max(longest - 1, 1).bit_length())
         self.mask, self.down = _L(slots - 1), _L(65 - slots.bit_length())
-        self.classes = (distinct - 1).bit_length() + 1
+        self.classes = len(classes)
         self.lane = np.arange(lanes)
         self.row = np.stack([self.lane, self.lane + lanes]) * slots
         self.state = np.stack([self.lane, self.lane + lanes]) * 16
         self.table = np.zeros(2 * lanes * slots, np.uint16 if distinct <= 1 << 13 else np.uint32)  # rank << 3 | confidence
-        self.p = np.repeat(np.array([1024, 2048], np.int32), 16 * lanes)
+        self.p = np.concatenate([np.tile(holds, lanes) for holds in _HOLDS])
         self.w = np.full((2, lanes), 1 << 15, np.int32)
-        self.count = np.ones((self.classes, lanes), np.int32)
+        classes = classes.astype(np.int64)
+        self.count = np.repeat((classes * PRIOR // max(int(classes.sum()), 1) + 1).astype(np.int32)[:, None], lanes, axis=1)
         self.seen, self.kept = np.empty((RENEW, lanes), np.int64), 0
         self.a, self.b = np.zeros(lanes, _L), np.zeros(lanes, _L)  # the last rank, and the one before, multiplied
 
@@ -190,13 +194,18 @@ class _Decoder:
             go = go[rng < _LEAST]
 
 
-def _run(lengths: np.ndarray, distinct: int, ranks: np.ndarray | None, parts: list[bytes] | None):
+def _bits(distinct: int) -> np.ndarray:
+    """The bit length of each rank."""
+    return np.frexp(np.arange(distinct, dtype=np.float64))[1].astype(np.int64)
+
+
+def _run(lengths: np.ndarray, distinct: int, classes: np.ndarray, ranks: np.ndarray | None, parts: list[bytes] | None):
     """Codes lanes (longest first): ranks (lanes x longest) to parts, or parts to ranks."""
     lanes, longest = len(lengths), int(lengths.max())
-    model, encode = _Model(lanes, longest, distinct), parts is None
+    model, encode = _Model(lanes, longest, distinct, classes), parts is None
     if encode:
         coder, steps = _Encoder(lanes, 4 * longest + 8), np.ascontiguousarray(ranks.T)
-        bits = np.frexp(np.arange(distinct, dtype=np.float64))[1].astype(np.int64)
+        bits = _bits(distinct)
     else:
         coder, steps = _Decoder(parts), np.zeros((longest, lanes), _U)
     one, unit, none = _L(ONE), _L(1), np.int64(model.classes * lanes)
@@ -286,12 +295,13 @@ def _unpack_table(data: bytes) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> bytes:
-    """A file image: magic, ids, block size, bytes and checksum of the packed table, the table, then per block its bytes and the checksum of its ids and bytes, then the blocks."""
+    """A file image: magic, ids, block size, bytes and checksum of the packed table, the table (how many ids have ranks of each bit length, then the ids by rank), then per block its bytes and the checksum of its ids and bytes, then the blocks."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     block = block or block_for(n, lanes)
     table, codes = _ranked(ids)
-    packed = _pack_table(table)
+    classes = np.bincount(np.repeat(_bits(len(table)), np.bincount(codes, minlength=len(table)))).astype("<u4")
+    packed = bytes([len(classes)]) + classes.tobytes() + _pack_table(table)
     sizes = np.full(-(-n // block), block, np.int64)
     if n % block:
         sizes[-1] = n % block
@@ -300,7 +310,7 @@ def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> byt
         s = sizes[a : a + lanes]
         grid = np.zeros((len(s), block), _U)
         grid.reshape(-1)[: int(s.sum())] = codes[a * block : a * block + int(s.sum())]
-        parts += _run(s, len(table), grid[:, : s[0]], None)
+        parts += _run(s, len(table), classes, grid[:, : s[0]], None)
     head = np.array([[len(p), zlib.crc32(p, zlib.crc32(ids[j * block : (j + 1) * block].tobytes()))] for j, p in enumerate(parts)], "<u4").reshape(-1, 2)
     return MAGIC + np.array([n, block, len(packed), zlib.crc32(packed)], "<u8").tobytes() + packed + head.tobytes() + b"".join(parts)
 
@@ -313,7 +323,8 @@ def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
     packed = image[40 : 40 + size]
     if zlib.crc32(packed) != crc:
         raise ValueError("the table is damaged")
-    table = _unpack_table(packed)
+    classes = np.frombuffer(packed, "<u4", packed[0], 1)
+    table = _unpack_table(packed[1 + 4 * packed[0] :])
     count = -(-n // block)
     head = np.frombuffer(image, "<u4", 2 * count, 40 + size).reshape(-1, 2).astype(np.int64)
     at = 40 + size + 8 * count + np.concatenate([[0], np.cumsum(head[:, 0])])
@@ -324,11 +335,11 @@ def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
     for a in range(0, count, lanes):
         s = sizes[a : a + lanes]
         parts = [image[at[j] : at[j + 1]] for j in range(a, a + len(s))]
-        got = _run(s, len(table), None, parts)
+        got = np.ascontiguousarray(_run(s, len(table), classes, None, parts))
+        known = table.take(got, mode="clip")
         for j, m in enumerate(s.tolist()):
-            ranks = got[j, :m]
-            ids = table[np.minimum(ranks, len(table) - 1)]
-            if ranks.max() >= len(table) or zlib.crc32(parts[j], zlib.crc32(ids.tobytes())) != head[a + j, 1]:
+            ids = known[j, :m]
+            if got[j, :m].max() >= len(table) or zlib.crc32(parts[j], zlib.crc32(ids.tobytes())) != head[a + j, 1]:
                 raise ValueError(f"block {a + j} is damaged")
             out[(a + j) * block : (a + j) * block + m] = ids
     return out

@@ -18,7 +18,7 @@ from . import mixcoder, store
 from .units import default_path, encoder
 
 #: blocks side by side; a step over twice the blocks costs much less than two steps
-WIDE = 2 * mixcoder.LANES
+WIDE = 4 * mixcoder.LANES
 FILE_SCHEMA = "file long, n_ids long, docs array<long>, sizes array<long>, image binary"
 
 

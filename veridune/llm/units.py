@@ -180,11 +180,10 @@ class UnitEncoder:
                 if x is not None:
                     got[i] = cache[units[i]] = x
             fresh = [i for i in fresh if got[i] is None]
-        some = [units[i] for i in fresh]
-        plain = [m is not None for m in map(_PLAIN.fullmatch, some)]
-        rest, words, tokenize = [], self.kind == "words", self.tokenizer.model.tokenize
-        for i, u, ok in zip(fresh, some, plain, strict=True):
-            if not ok or "<|" in u:
+        words, tokenize, rest = self.kind == "words", self.tokenizer.model.tokenize, []
+        for i in fresh:
+            u = units[i]
+            if not _PLAIN.fullmatch(u) or "<|" in u:
                 rest.append(i)
                 continue
             if words:
@@ -197,7 +196,8 @@ class UnitEncoder:
                     continue
             else:
                 p = u
-            ids = [t.id for t in tokenize(charmap_decode(p.encode(), "strict", _BYTES)[0])]  # one pre-token, so the model's ids are the library's
+            # one pre-token, so that the model's ids are the library's
+            ids = [t.id for t in tokenize(p.replace(" ", _BYTES[32]) if p.isascii() else charmap_decode(p.encode(), "strict", _BYTES)[0])]
             got[i] = cache[u] = _PACK[len(ids)](*ids) if len(ids) < 65 else np.array(ids, "<u4").tobytes()
         for a in range(0, len(rest), 1 << 14):
             part = rest[a : a + (1 << 14)]
