@@ -245,3 +245,34 @@ def test_a_batch_is_tokenised_at_once_and_kept_in_blocks_of_256(rows, monkeypatc
         n, c = np.unique([h[3] for h in held], return_counts=True)
         assert (b["lengths"][0].as_py(), b["counts"][0].as_py()) == (n.tolist(), c.tolist())
     assert got == want
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_units_held_are_found_together_and_not_encoded_again(name, kind, monkeypatch):
+    enc = units.UnitEncoder(public_tokenizers.path(name), kind)
+    asked = []
+    monkeypatch.setattr(enc, "_encode", lambda some, f=enc._encode: asked.append(list(some)) or f(some))
+    some = [*texts(), " " + "long" * 9, "x\u3000" + "longer" * 9]
+    first = enc.encode(some)
+    fresh = sum(map(len, asked))
+    asked.clear()
+    assert enc.encode(some) == first
+    assert fresh > 1000 and 1000 * sum(map(len, asked)) < fresh  # but for those pushed out
+
+
+@pytest.mark.parametrize("places", [1, 3, 22])
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_crowded_places_and_units_alike(name, kind, places, monkeypatch):
+    """Units that differ in their length, their last byte or a zero byte, at the lengths where keys end; few places, so that most are pushed out."""
+    monkeypatch.setattr(units._Held, "PLACES", places)
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    enc = units.UnitEncoder(public_tokenizers.path(name), kind, most=300)
+    r = random.Random(5)
+    some = ["a" * n + c for n in (0, 1, 6, 7, 8, 9, 14, 15, 16, 17, 21, 22, 23, 24, 25, 40) for c in ("", "b", "c", "\0", "\0\0", "é", "--", "'s")]
+    some += ["".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    for _ in range(3):
+        r.shuffle(some)
+        for text, ids in zip(some, enc.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+        for text in some[:40]:
+            assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)

@@ -264,8 +264,8 @@ def block_for(n: int, lanes: int = LANES) -> int:
     return min(BLOCK, max(LEAST_BLOCK, -(-n // (lanes * 64)) * 64))
 
 
-def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, commonest first (ids of ranks of one bit length ascending), and each id's rank."""
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, commonest first (ids of ranks of one bit length ascending), how often each occurs, and each id's rank."""
     if len(ids) and int(ids.max()) < NARROW:
         seen = np.bincount(ids)
         values, inverse = np.flatnonzero(seen), None
@@ -278,10 +278,10 @@ def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(len(order), _U)
     rank[order] = np.arange(len(order), dtype=_U)
     if inverse is not None:
-        return values[order].astype("<u4"), rank[inverse]
+        return values[order].astype("<u4"), counts[order], rank[inverse]
     by_id = np.zeros(len(seen), _U)
     by_id[values] = rank
-    return values[order].astype("<u4"), by_id.take(ids)
+    return values[order].astype("<u4"), counts[order], by_id.take(ids)
 
 
 def _pack_table(table: np.ndarray) -> bytes:
@@ -299,8 +299,8 @@ def encode(ids: np.ndarray, block: int | None = None, lanes: int = LANES) -> byt
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     block = block or block_for(n, lanes)
-    table, codes = _ranked(ids)
-    classes = np.bincount(np.repeat(_bits(len(table)), np.bincount(codes, minlength=len(table)))).astype("<u4")
+    table, counts, codes = _ranked(ids)
+    classes = np.bincount(_bits(len(table)), weights=counts).astype("<u4")
     packed = bytes([len(classes)]) + classes.tobytes() + _pack_table(table)
     sizes = np.full(-(-n // block), block, np.int64)
     if n % block:
@@ -336,9 +336,8 @@ def decode(image: bytes, lanes: int = LANES) -> np.ndarray:
         s = sizes[a : a + lanes]
         parts = [image[at[j] : at[j + 1]] for j in range(a, a + len(s))]
         got = np.ascontiguousarray(_run(s, len(table), classes, None, parts))
-        known = table.take(got, mode="clip")
         for j, m in enumerate(s.tolist()):
-            ids = known[j, :m]
+            ids = table.take(got[j, :m], mode="clip")
             if got[j, :m].max() >= len(table) or zlib.crc32(parts[j], zlib.crc32(ids.tobytes())) != head[a + j, 1]:
                 raise ValueError(f"block {a + j} is damaged")
             out[(a + j) * block : (a + j) * block + m] = ids

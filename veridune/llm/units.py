@@ -2,7 +2,7 @@
 
 A pre-tokeniser never joins what stands on both sides of certain places, so a text's ids are those of its units in turn.
 Many texts are cut at such places at once, by the classes of their bytes, and their units counted as one dictionary, of
-which each is encoded about once a worker; two generations of ``most`` units are remembered.
+which each is encoded about once a worker; up to about ``most`` units are remembered.
 """
 
 from __future__ import annotations
@@ -52,25 +52,95 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _join(a: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Runs of a, the i-th of n[i] items, put together in the order of ``which``."""
-    long = n[which]
-    to = np.cumsum(long)
-    at = np.repeat((np.cumsum(n) - n)[which] - to + long, long)
+def _join(a: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of a put together, the i-th of n[i] items from at[i] on."""
+    at = np.repeat(at - np.cumsum(n) + n, n)
     at += np.arange(len(at))
     return a.take(at)
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a longer copy if n items don't fit."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+class _Held:
+    """Units and their ids, looked up many at once.
+
+    A unit of at most LONGEST bytes is a key of three numbers, its bytes and its length, so that equal keys are equal units; it may
+    stand in two neighbouring places of a table, the newer ones first.  What is pushed out is encoded anew.  Others are in a dict.
+    """
+
+    LONGEST = 23
+    PLACES = 22  # as bits
+    _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def clear(self) -> None:
+        self.n = self.used = 0
+        self.places = np.full(1 << self.PLACES, -1, np.int32)
+        self.keys = [np.zeros(1 << 12, np.uint64) for _ in range(3)]
+        self.at, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4")
+        self.others: dict[str, int] = {}
+
+    def look(self, buf: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Numbers of the units at off, of n bytes (-1: not held), their keys and places."""
+        words = np.ndarray(len(buf) + 1, "<u8", np.append(buf, np.zeros(24, np.uint8)), strides=(1,))
+        keys = [words[np.minimum(off + 8 * j, len(buf))] & self._MASK[np.clip(n - 8 * j, 0, 8)] for j in range(3)]
+        keys[2] |= n.astype(np.uint64) << np.uint64(56)
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        for k, odd in zip(keys[1:], (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD), strict=True):
+            h ^= h >> np.uint64(31)
+            h += k
+            h *= np.uint64(odd)
+        place = (h >> np.uint64(64 - self.PLACES)).view(np.int64)
+        found = np.full(len(off), -1, np.int64)
+        for way in (0, 1):
+            left = np.flatnonzero(found < 0)
+            e = self.places[place[left] ^ way].astype(np.int64)
+            same = (e >= 0) & (n[left] <= self.LONGEST)
+            for mine, key in zip(self.keys, keys, strict=True):
+                same &= mine[e] == key[left]
+            found[left[same]] = e[same]
+        return found, keys, place
+
+    def add(self, ids: list[bytes]) -> np.ndarray:
+        """Numbers of new units with these ids."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        a, b = self.n, self.n + len(ids)
+        self.at, self.size, self.ids = _grown(self.at, b), _grown(self.size, b), _grown(self.ids, self.used + int(size.sum()))
+        self.size[a:b], self.at[a:b] = size, self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + int(size.sum())] = np.frombuffer(b"".join(ids), "<u4")
+        self.n, self.used = b, self.used + int(size.sum())
+        return np.arange(a, b)
+
+    def put(self, e: np.ndarray, keys: list[np.ndarray], place: np.ndarray) -> None:
+        """Units e are found by these keys from now on."""
+        self.keys = [_grown(k, self.n) for k in self.keys]
+        for mine, key in zip(self.keys, keys, strict=True):
+            mine[e] = key
+        old = self.places[place]
+        self.places[place[old >= 0] ^ 1] = old[old >= 0]
+        self.places[place] = e
+        lost = self.places[place] != e  # to another of these
+        self.places[place[lost] ^ 1] = e[lost]
+
+
 class UnitEncoder:
     """Little-endian 32-bit ids of texts; kind "words": white space only separates; kind "bytes": it belongs to what follows."""
 
-    def __init__(self, path: str, kind: str, most: int = 600_000):
+    def __init__(self, path: str, kind: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = _Held(most)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, n = self.ids(pa.array(texts, pa.large_string()))
@@ -100,23 +170,21 @@ class UnitEncoder:
             buf, off = store.texts_of({"text": pc.if_else(pa.array(keep), texts, pa.scalar("", texts.type))}, "text")
         starts, buf = self._starts(buf, off)
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(buf)).dictionary_encode()
-        words, codes = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy().astype(np.int64)
+        words, more, codes = pieces.dictionary, {}, pieces.indices.to_numpy().astype(np.int64)
         n = np.diff(np.searchsorted(starts, off))
         if slow:
-            at = {}
-            more = [[at.setdefault(u, len(words) + len(at)) for u in part] for part in units]
-            words += at
-            codes = np.insert(codes, np.repeat((np.cumsum(n) - n)[slow], [len(m) for m in more]), [c for m in more for c in m])
-            n[slow] = [len(m) for m in more]
-        known = self._known(words)
+            theirs = [[more.setdefault(u, len(words) + len(more)) for u in part] for part in units]
+            codes = np.insert(codes, np.repeat((np.cumsum(n) - n)[slow], [len(m) for m in theirs]), [c for m in theirs for c in m])
+            n[slow] = [len(m) for m in theirs]
+        ids, size = self._known(words, list(more))
         if end is not None:
-            codes = np.insert(codes, np.cumsum(n), len(known))
-            known.append(struct.pack("<I", end))
+            codes = np.insert(codes, np.cumsum(n), len(size))
+            ids, size = np.append(ids, np.uint32(end)), np.append(size, 1)
             n += 1
-        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-        per = np.concatenate([[0], np.cumsum(size[codes])])
+        long = size.take(codes)
+        per = np.concatenate([[0], np.cumsum(long)])
         to = np.concatenate([[0], np.cumsum(n)])
-        return _join(np.frombuffer(b"".join(known), "<u4"), size, codes), np.diff(per[to])
+        return _join(ids, (np.cumsum(size) - size).take(codes), long), np.diff(per[to])
 
     def _slow(self, texts: pa.Array, buf: np.ndarray, off: np.ndarray) -> list[int]:
         """Texts with added tokens or with white space beyond ASCII's, which may stand beside other white space."""
@@ -168,41 +236,52 @@ class UnitEncoder:
             buf = low if same is None else np.where(same, buf, low)
         return np.flatnonzero(start), buf
 
-    def _known(self, units: list[str]) -> list[bytes]:
-        """Each unit's ids."""
-        if len(self.cache) > self.most:  # two generations: what is used stays
-            self.old, self.cache = self.cache, {}
-        cache = self.cache
-        got = list(map(cache.get, units))
-        fresh = [i for i, x in enumerate(got) if x is None]
-        if self.old:
-            for i, x in zip(fresh, map(self.old.get, [units[i] for i in fresh]), strict=True):
-                if x is not None:
-                    got[i] = cache[units[i]] = x
-            fresh = [i for i in fresh if got[i] is None]
+    def _known(self, words: pa.StringArray, more: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and then of ``more``, one after another, and how many each has."""
+        held = self.cache
+        if len(held) > held.most:
+            held.clear()
+        buf, off = store.texts_of({"text": words}, "text")
+        n, off = np.diff(off), off[:-1]
+        found, keys, place = held.look(buf, off, n)
+        fresh = np.flatnonzero(found < 0)
+        found = np.append(found, np.full(len(more), -1))
+        units = words.take(pa.array(fresh)).to_pylist() + more
+        fresh = np.append(fresh, np.arange(len(words), len(found)))
+        if held.others:
+            found[fresh] = [held.others.get(u, -1) for u in units]
+            left = np.flatnonzero(found[fresh] < 0)
+            fresh, units = fresh[left], [units[i] for i in left.tolist()]
+        found[fresh] = e = held.add(self._encode(units))
+        short = fresh < len(words)
+        short[short] = n[fresh[short]] <= held.LONGEST
+        at = fresh[short]
+        held.put(e[short], [k[at] for k in keys], place[at])
+        held.others.update((units[i], int(e[i])) for i in np.flatnonzero(~short).tolist())
+        size = held.size.take(found)
+        return _join(held.ids, held.at.take(found), size), size
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """Each unit's ids, by the library."""
+        got: list[bytes] = [b""] * len(units)
         words, tokenize, rest = self.kind == "words", self.tokenizer.model.tokenize, []
-        for i in fresh:
-            u = units[i]
+        for i, u in enumerate(units):
             if not _PLAIN.fullmatch(u) or "<|" in u:
                 rest.append(i)
                 continue
+            p = u
             if words:
-                if u[0] != " " and " " + u in cache:
-                    got[i] = cache[u] = cache[" " + u]
-                    continue
                 p = u.lstrip(" ")
                 if len(p) > 1 and p.isdigit():
                     rest.append(i)
                     continue
-            else:
-                p = u
             # one pre-token, so that the model's ids are the library's
             ids = [t.id for t in tokenize(p.replace(" ", _BYTES[32]) if p.isascii() else charmap_decode(p.encode(), "strict", _BYTES)[0])]
-            got[i] = cache[u] = _PACK[len(ids)](*ids) if len(ids) < 65 else np.array(ids, "<u4").tobytes()
+            got[i] = _PACK[len(ids)](*ids) if len(ids) < 65 else np.array(ids, "<u4").tobytes()
         for a in range(0, len(rest), 1 << 14):
             part = rest[a : a + (1 << 14)]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False), strict=True):
-                got[i] = cache[units[i]] = np.array(e.ids, "<u4").tobytes()
+                got[i] = np.array(e.ids, "<u4").tobytes()
         return got
 
 
