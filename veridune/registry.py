@@ -338,7 +338,7 @@ def nearest_neighbour(spark, sf):
 
 @query(f"""{COS.replace("WITH v", "WITH RECURSIVE v")}, e AS (SELECT a, b FROM c WHERE cosine >= 0.35 UNION SELECT b, a FROM c WHERE cosine >= 0.35), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""")
 def duplicate_components(spark, sf):
-    return quality.components(quality.near_pairs(read(spark, sf, "embeddings"), "vec_id", "embedding", 0.35))
+    return quality.components(quality.near_forest(read(spark, sf, "embeddings"), "vec_id", "embedding", 0.35))
 
 
 @query("""WITH g AS (SELECT sha256(text) AS c, source, doc_id, count(*) OVER (PARTITION BY text) AS size FROM documents), o AS (SELECT c, source, count(*) AS own, any_value(size) AS size FROM g WHERE size > 1 GROUP BY c, source HAVING count(*) >= 0.5 * any_value(size)),
