@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from veridune.operators import quality, tiles
+from veridune.operators import drift, quality, tiles
 
 SCHEMA = "id long, v array<double>"
 
@@ -113,3 +113,35 @@ def test_half_of_all_rows_one_vector(spark):
     rows = [(i, [1.0] * 8) if i % 2 else (i, rng.normal(size=8).tolist()) for i in range(4000)]
     got = {r.id: (r.neighbour, r.cosine) for r in quality.nearest(spark.createDataFrame(rows, SCHEMA), "id", "v").collect()}
     assert len(got) == 4000 and got[1] == (3, 1.0) and all(got[i] == (1, 1.0) for i in range(3, 4000, 2))
+
+
+def kernel_sums(rows, sigma):
+    """Per side pair after pair: {(side, side): sum}."""
+    out = {}
+    for k, (_, x, s) in enumerate(rows):
+        for _, y, t in rows[:k]:
+            d = math.dist(x, y)
+            key = tuple(sorted((s, t)))
+            out[key] = out.get(key, 0.0) + (d if sigma is None else math.exp(-d * d / (2 * sigma**2)))
+    return out
+
+
+@pytest.mark.parametrize("sigma", [None, 1.7])
+def test_pair_sums(spark, small, sigma):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=5).tolist(), bool(rng.random() < 0.4)) for i in rng.permutation(230)] + [(500, [1.0] * 5, True), (501, [1.0] * 5, False), (502, [1.0] * 5, True)]
+    schema = "id long, v array<double>, side boolean"
+    df = spark.createDataFrame([*rows, (600, None, True), (601, [1.0] * 5, None), (None, [1.0] * 5, True)], schema).repartition(4)
+    width = spark.createDataFrame([(sigma,)], "sigma double") if sigma else None
+    sums = drift.pair_sums(df, "id", "v", "side", width, 3)
+    assert not joins(sums)  # before: two joins of packed blocks, once a pair of 256 rows
+    got = {r.round: r for r in sums.collect()}
+    want = kernel_sums(rows, sigma)
+    assert len(got) == 4 and (got[0].nt, got[0].nf) == (sum(s for *_, s in rows), sum(not s for *_, s in rows))
+    for have, key in ((got[0].tt, (True, True)), (got[0].ff, (False, False)), (got[0].tf, (False, True))):
+        assert math.isclose(have, want[key], rel_tol=1e-7 if sigma is None else 1e-10)
+    whole = sum(want.values())
+    assert all(math.isclose(r.tt + r.ff + r.tf, whole, rel_tol=1e-7) and r.nt + r.nf == len(rows) for r in got.values())
+    assert drift.pair_sums(df.where("id < -1"), "id", "v", "side", width, 2).collect() == []
+    with pytest.raises(Exception, match="vectors of different lengths"):
+        drift.pair_sums(spark.createDataFrame([(1, [1.0], True), (2, [1.0, 2.0], False)], schema), "id", "v", "side").collect()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from . import ranks
+from . import ranks, tiles
 
 
 def moments(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -78,9 +78,6 @@ def class_divergence(df: DataFrame, label: str, side: str) -> DataFrame:
     return p.agg(F.sum((F.col("p") + 1e-10) * F.log((F.col("p") + 1e-10) / (F.col("q") + 1e-10))).alias("kl"), (F.sum(half(F.col("p"))) / 2 + F.sum(half(F.col("q"))) / 2).alias("js_bits"))
 
 
-BLOCK_ROWS = 256
-
-
 def _deals(id_col: str, share: Column, rounds: int, seed: str) -> Column:
     """Each round's side of a row, by a hash of round and id: true for about ``share`` of the rows."""
     u = lambda r: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), r.cast("string"), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
@@ -96,44 +93,18 @@ def bandwidth(df: DataFrame, id_col: str, vector: str, side: str, rows: int = 10
     return both.select(F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x)).alias("d")).where("d > 0").agg(F.median("d").alias("sigma"))
 
 
-def _gram_sums(gaussian: bool):
-    def rows(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                n, m = len(x["ids_a"]), len(x["ids_b"])
-                va, vb = (np.asarray(x[c], float).reshape(k, -1) for c, k in (("v_a", n), ("v_b", m)))
-                sa, sb = (np.asarray(x[c], float).reshape(k, -1) for c, k in (("s_a", n), ("s_b", m)))
-                d2 = np.maximum((va * va).sum(axis=1)[:, None] + (vb * vb).sum(axis=1)[None, :] - 2 * va @ vb.T, 0.0)
-                k = np.exp(-d2 / (2 * x["sigma"] ** 2)) if gaussian else np.sqrt(d2)
-                one = x["a"] == x["b"]
-                if one:
-                    np.fill_diagonal(k, 0.0)
-                yes, no = k @ sb, k @ (1 - sb)
-                tt, ff, tf = (sa * yes).sum(axis=0), ((1 - sa) * no).sum(axis=0), (sa * no).sum(axis=0)
-                tt, ff, tf = (tt / 2, ff / 2, tf) if one else (tt, ff, tf + ((1 - sa) * yes).sum(axis=0))
-                there = sa.sum(axis=0) if one else np.zeros(sa.shape[1])
-                yield pa.RecordBatch.from_pydict({"round": np.arange(len(tt)), "tt": tt, "ff": ff, "tf": tf, "nt": there, "nf": (n - there) if one else there})
-
-    return rows
-
-
 def pair_sums(df: DataFrame, id_col: str, vector: str, side: str, sigma: DataFrame | None = None, rounds: int = 0, seed: str = "0") -> DataFrame:
     """(round, tt, ff, tf, nt, nf): sums over all unordered pairs inside each side and across, and the sides' sizes.
 
     Gaussian kernel where sigma is given, distances elsewhere; round 0 has the sides as they are, others hashed ones.  Every
-    row meets every other: rows are dealt into blocks of about ``BLOCK_ROWS``, pairs of blocks are equi-joined, and a task sends
-    on a few sums a pair of blocks, never its pairs of rows.
+    row with an id, a side and a vector meets every other, by cells of two blocks of rows; a task sends on a few sums a cell.
     """
-    one = df.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"), F.avg(F.col(side).cast("double")).alias("share"))
-    r = df.join(F.broadcast(one))  # one row
-    row = F.struct(F.col(id_col).cast("string").alias("id"), F.concat(F.array(side), _deals(id_col, F.col("share"), rounds, seed)).alias("s"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    held = r.groupBy(F.pmod(F.xxhash64(id_col), "blocks").alias("block"), "blocks").agg(F.collect_list(row).alias("r"))
-    held = held.select("block", "blocks", F.transform("r", lambda x: x.id).alias("ids"), F.flatten(F.transform("r", lambda x: x.s)).alias("s"), F.flatten(F.transform("r", lambda x: x.v)).alias("v"))
-    part = lambda c: held.select(F.col("block").alias(c), F.col("ids").alias(f"ids_{c}"), F.col("s").alias(f"s_{c}"), F.col("v").alias(f"v_{c}"))
-    pairs = held.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"))
-    pairs = pairs.join(part("a"), "a").join(part("b"), "b")
-    pairs = pairs.join(F.broadcast(sigma)) if sigma is not None else pairs.withColumn("sigma", F.lit(1.0))  # one row
-    sums = pairs.mapInArrow(_gram_sums(sigma is not None), "round long, tt double, ff double, tf double, nt double, nf double")
+    live = df.where(F.col(id_col).isNotNull() & F.col(side).isNotNull() & F.col(vector).isNotNull())
+    n, share = live.agg(F.count(F.lit(1)), F.avg(F.col(side).cast("double"))).first()
+    width = sigma.first()[0] if sigma is not None else None
+    width = float("nan") if sigma is not None and width is None else width  # no two rows differ: undefined
+    s = F.concat(F.array(side), _deals(id_col, F.lit(share), rounds, seed))
+    sums = tiles.cells(live, id_col, vector, tiles.sums_of(width), "round long, tt double, ff double, tf double, nt double, nf double", s, n, one_dim=True)
     return sums.groupBy("round").agg(*[F.sum(c).alias(c) for c in ("tt", "ff", "tf", "nt", "nf")])
 
 
