@@ -249,3 +249,27 @@ def test_archives_and_folders(spark, tmp_path):
     files = spark.createDataFrame([("x", "1.png"), ("x", "9.png"), ("y", "1.png"), ("y", "2.png"), ("y", "2.png")], "folder string, file_name string")
     assert detections.best_folder(wanted, files).collect() == [("y", 2)]
     assert detections.best_folder(wanted.where("false"), files).collect() == []
+
+
+def test_islands_across_spans(spark, monkeypatch):
+    top, low, span = (1 << 63) - 1, -(1 << 63), population.SPAN
+    seeds = [*range(-70000, -3), *range(0, 5), 7, *range(span - 2, 3 * span + 1), 4 * span - 1, 4 * span, 5 * span, 6 * span - 1, low, low + 1, top - 1, top]
+    rows = [("a", x) for x in seeds] + [("b", x) for x in (span - 1, span, span, 3)] + [(None, 2 * span), (None, 2 * span + 1), ("a", None)]
+    out = population.islands(spark.createDataFrame(rows, "k string, x long"), ["k"], "x")
+    want = {}
+    for k, x in sorted({r for r in rows if r[1] is not None}, key=lambda r: (str(r[0]), r[1])):
+        runs = want.setdefault(k, [])
+        if runs and runs[-1][1] == x - 1:
+            runs[-1] = (runs[-1][0], x, runs[-1][2] + 1)
+        else:
+            runs.append((x, x, 1))
+    assert sorted((str(r.k), r.first, r.last, r.n) for r in out.select("k", F.col("first").alias("first_"), "last", "n").toDF("k", "first", "last", "n").collect()) == sorted((str(k), *x) for k, v in want.items() for x in v)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(k" in plan and all("__b" in line for line in plan.splitlines() if "row_number()" in line)  # before: a task sorted all of k
+
+
+def test_islands_of_other_numbers(spark):
+    rows = [(1, "0.5"), (1, "1.5"), (1, "65535.5"), (1, "65536.5"), (1, "9")]
+    for t in ("double", "decimal(20,1)"):
+        out = population.islands(spark.createDataFrame(rows, "k int, x string").withColumn("x", F.col("x").cast(t)), ["k"], "x")
+        assert sorted((float(r["first"]), float(r["last"]), r["n"]) for r in out.collect()) == [(0.5, 1.5, 2), (9.0, 9.0, 1), (65535.5, 65536.5, 2)]

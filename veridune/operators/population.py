@@ -34,11 +34,26 @@ def seed_of(model_id: Column) -> Column:
     return F.regexp_extract(model_id, r"_s(\d+)$", 1).try_cast("long") if hasattr(Column, "try_cast") else F.expr("null")
 
 
+SPAN = 1 << 16
+
+
 def islands(df: DataFrame, by: list[str], seed: str) -> DataFrame:
-    """(by, first, last, n) of each run of consecutive distinct seeds."""
-    w = Window.partitionBy(*by).orderBy(seed)
-    runs = df.where(F.col(seed).isNotNull()).select(*by, seed).distinct().withColumn("__g", F.col(seed) - F.row_number().over(w))
-    return runs.groupBy(*by, "__g").agg(F.min(seed).alias("first"), F.max(seed).alias("last"), F.count(F.lit(1)).alias("n")).drop("__g")
+    """(by, first, last, n) of each run of consecutive distinct seeds.
+
+    Runs are found inside spans of ``SPAN`` seed values, so that no task sorts all of a group; those that touch a border of their
+    span, two a span at most, are then joined to their neighbours.
+    """
+    base = F.col("__s") - F.pmod(F.col("__s"), F.lit(SPAN))
+    s = df.where(F.col(seed).isNotNull()).select(*by, F.col(seed).alias("__s")).distinct().withColumn("__b", base)
+    w = Window.partitionBy(*by, "__b").orderBy("__s")
+    runs = s.withColumn("__g", F.col("__s") - F.col("__b") - F.row_number().over(w)).groupBy(*by, "__b", "__g")
+    runs = runs.agg(F.min("__s").alias("first"), F.max("__s").alias("last"), F.count(F.lit(1)).alias("n"))
+    edge = (F.col("first") - F.col("__b") < 1) | (F.col("last") - F.col("__b") >= SPAN - 1)
+    w = Window.partitionBy(*by).orderBy("first")
+    follows = F.coalesce(F.lag("last").over(w) == F.try_subtract("first", F.lit(1)), F.lit(False))
+    open_ = runs.where(edge).withColumn("__new", (~follows).cast("long")).withColumn("__run", F.sum("__new").over(w))
+    joined = open_.groupBy(*by, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return runs.where(~edge).select(*by, "first", "last", "n").unionByName(joined.select(*by, "first", "last", "n"))
 
 
 def collisions(entries: DataFrame, key: str, source: str, digest: str | None = None) -> DataFrame:
