@@ -112,3 +112,39 @@ def test_scores_resume_where_they_stopped(spark, tmp_path):
     path = str(tmp_path / "scores")
     population.score_resumable(rows.where("id < 3"), score, path, ["id", "part"])
     assert population.score_resumable(rows, score, path, ["id", "part"]).count() == 3 and seen == [2, 1]
+
+
+def test_asset_verdict_sorts_no_items_and_keeps_ties(spark):
+    rng = random.Random(11)
+    rows = [(None if i % 9 == 0 else f"a{i % 9}", i // 2, i % 2, s, rng.choice([1e-7, 1e-7, 1e-4, 0.01, 0.2, 1.0, float("nan"), None])) for i in range(600) for s in rng.sample("cabd", rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "asset string, item long, part long, signal string, p double").repartition(4)
+    out = reports.asset_verdict(df, "asset", ["item", "part"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "SortAggregate" in x and "item" in x]  # before: all rows were sorted by item
+    items = {}
+    for a, i, k, s, p in rows:
+        items.setdefault((a, i, k), []).append((1.0 if p is None or math.isnan(p) else p, s))
+    one = sorted((min(1.0, min(v)[0] * len(v)), k) for k, v in ((k, v) for k, v in items.items()) for k in [(str(k[0]), *k)])
+    n, h = len(one), sum(1 / i for i in range(1, len(one) + 1))
+    cut = max((p for r, (p, _) in enumerate(one, 1) if p * n / r * h <= 0.05), default=-1.0)
+    want = {}
+    for p, (_, a, i, k) in one:
+        w = want.setdefault(a, [0, 0, 1.0, None])
+        w[0], w[2] = w[0] + 1, min(w[2], p)
+        if p <= cut:
+            best = min(items[a, i, k])
+            w[1], w[3] = w[1] + 1, best if w[3] is None else min(w[3], best)
+    got = {r.asset: (r.n_items, r.n_flagged, r.leading) for r in out.collect()}
+    assert got == {a: (w[0], w[1], w[3] and w[3][1]) for a, w in want.items()} and sum(g[1] for g in got.values()) > 20
+    assert {r.asset: r.asset_p for r in out.collect()} == {a: min(1.0, w[2] * w[0]) for a, w in want.items()}
+
+
+def test_running_sums_of_heavy_values(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.5, 0.5, 0.25, None, float("nan"), rng.random()]), rng.randint(0, 3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double, w long")
+    take = lambda: sorted(map(str, ranks.running(df, "x", {"s": F.col("w")}, ("k",), descending=True).select("k", "x", "w", "s", "__all_s").collect()))
+    whole = take()
+    monkeypatch.setattr(ranks, "HEAVY", 20)
+    assert len(whole) == 400 and take() == whole
+    assert "LeftAnti" in ranks.running(df, "x", {"s": F.col("w")})._jdf.queryExecution().executedPlan().toString()  # before: a value's rows went to one task

@@ -47,12 +47,20 @@ def ordered(t: DataFrame, x: str, sums: tuple[str, ...], by: tuple[str, ...] = (
     return out.withColumns({n: F.col(n) + F.col(f"__o{n}") for n in sums}).drop(*names.values(), *[f"__o{n}" for n in sums])
 
 
+HEAVY = 1 << 17  # rows that make a value heavy
+
+
 def running(df: DataFrame, x: str, sums: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
-    """df with, for each name in sums, the sum of its column over all rows that x does not put after this one (ties are in), and __all_ that name its total."""
-    c = ordered(df.groupBy(*by, x).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), x, tuple(sums), by, descending)
+    """df with, for each name in sums, the sum of its column over all rows that x does not put after this one (ties are in), and __all_ that name its total.
+
+    Sums of heavy values, one in ``HEAVY`` rows at most, are broadcast: their rows are neither sent to one task nor sorted.
+    """
+    c = ordered(df.groupBy(*by, x).agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("__n")), x, tuple(sums), by, descending)
     names = {k: f"__v{i}" for i, k in enumerate((*by, x))}
-    c = c.select(*[F.col(k).alias(v) for k, v in names.items()], *sums, *[f"__all_{n}" for n in sums])
-    return df.join(c, same(df, c, names)).drop(*names.values())
+    c = c.select(*[F.col(k).alias(v) for k, v in names.items()], *sums, *[f"__all_{n}" for n in sums], "__n")
+    heavy, light = F.broadcast(c.where(F.col("__n") >= HEAVY).drop("__n")), c.where(F.col("__n") < HEAVY).drop("__n")
+    rest = df.join(heavy, same(df, heavy, names), "left_anti")
+    return df.join(heavy, same(df, heavy, names)).unionByName(rest.join(light, same(rest, light, names))).drop(*names.values())
 
 
 def quantiles(df: DataFrame, x: str, q: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
@@ -95,20 +103,31 @@ def conformal_threshold(df: DataFrame, score: str, alpha: float = 0.05, by: tupl
     return c.where("c >= k").groupBy(*by, "n", "k").agg(F.min(score).alias("threshold"))
 
 
-def adjusted(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """df with bh, by (flags at alpha) and q (step-up adjusted p-values); rows without p go."""
-    live = df.where(F.col(p).isNotNull())
+def _steps(live: DataFrame, p: str) -> DataFrame:
+    """(__v, rank, q, __all_rank): each distinct p-value with its step-up adjusted one."""
     t = live.groupBy(p).agg(F.count(F.lit(1)).alias("rank"))
     c = ordered(t, p, ("rank",)).withColumn("__r", F.col(p) * F.col("__all_rank") / F.col("rank"))
     later = c.groupBy("__b").agg(F.min("__r").alias("__m"))
     later = later.select("__b", F.min("__m").over(Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))  # one row a bucket that isn't empty
     inside = Window.partitionBy("__b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = c.withColumn("__i", F.min("__r").over(inside)).join(later, "__b")
-    c = c.select(F.col(p).alias("__v"), "rank", F.least(F.lit(1.0), "__i", F.coalesce("__later", F.lit(float("inf")))).alias("q"), "__all_rank")
+    return c.select(F.col(p).alias("__v"), "rank", F.least(F.lit(1.0), "__i", F.coalesce("__later", F.lit(float("inf")))).alias("q"), "__all_rank")
+
+
+def adjusted(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """df with bh, by (flags at alpha) and q (step-up adjusted p-values); rows without p go."""
+    live = df.where(F.col(p).isNotNull())
+    c = _steps(live, p)
     out = live.join(c, live[p].eqNullSafe(c["__v"]))
     return out.withColumn("bh", F.col("q") <= alpha).withColumn("by", F.col("q") * stats.harmonic(F.col("__all_rank")) <= alpha).drop("__v", "__all_rank")
 
 
+def dependent_cut(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """(cut), one row: the greatest p-value that ``adjusted`` flags in ``by``, which are all that lie at or below it; null if it flags none."""
+    c = _steps(df.where(F.col(p).isNotNull()), p)
+    return c.where(F.col("q") * stats.harmonic(F.col("__all_rank")) <= alpha).agg(F.max("__v").alias("cut"))
+
+
 def auroc(df: DataFrame, score: str = "score", positive: str = "is_positive", by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks; null if a class is empty."""
     y = F.col(positive).cast("long")

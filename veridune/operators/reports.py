@@ -83,10 +83,17 @@ def asset_verdict(pvalues: DataFrame, asset: str, item: list[str], alpha: float
     verdict: 'compromised' where an item is flagged, 'suspect' where only the asset's own p-value lies at or below alpha, else
     'clean'.  leading: the signal with the least p-value among flagged items (ties: least name), or null.
     """
-    one = pvalues.groupBy(asset, *item).agg(F.least(F.lit(1.0), F.min(stats.finite_or_one(F.col("p"))) * F.count(F.lit(1))).alias("p"), F.min(F.struct(stats.finite_or_one(F.col("p")).alias("p"), "signal")).alias("best"))
-    flagged = ranks.adjusted(one, "p", alpha)
-    lead = F.min(F.when(F.col("by"), F.col("best"))).getField("signal")
-    g = flagged.groupBy(asset).agg(F.count(F.lit(1)).alias("n_items"), F.count_if("by").alias("n_flagged"), F.least(F.lit(1.0), F.min("p") * F.count(F.lit(1))).alias("asset_p"), lead.alias("leading"))
+    rows = pvalues.select(asset, *item, "signal", stats.finite_or_one(F.col("p")).alias("__p"))
+    one = rows.groupBy(asset, *item).agg(F.min("__p").alias("__least"), F.count(F.lit(1)).alias("__k"))  # fixed-width sums: hashed, not sorted
+    one = one.select(asset, *item, F.least(F.lit(1.0), F.col("__least") * F.col("__k")).alias("p"))
+    cut = F.broadcast(ranks.dependent_cut(one, "p", alpha))  # one row
+    seen = one.join(cut).withColumn("by", F.coalesce(F.col("p") <= F.col("cut"), F.lit(False)))
+    g = seen.groupBy(asset).agg(F.count(F.lit(1)).alias("n_items"), F.count_if("by").alias("n_flagged"), F.least(F.lit(1.0), F.min("p") * F.count(F.lit(1))).alias("asset_p"))
+    low = rows.join(cut).where("__p <= cut").drop("cut")  # a flagged item's least p-value is no greater than its own
+    names = {k: f"__f{i}" for i, k in enumerate((asset, *item))}
+    hit = seen.where("by").select(*[F.col(k).alias(v) for k, v in names.items()])
+    lead = low.join(hit, ranks.same(low, hit, names), "left_semi").groupBy(F.col(asset).alias("__a")).agg(F.min(F.struct("__p", "signal")).getField("signal").alias("leading"))
+    g = g.join(lead, g[asset].eqNullSafe(lead["__a"]), "left").drop("__a")
     return g.withColumn("verdict", F.when(F.col("n_flagged") > 0, "compromised").when(F.col("asset_p") <= alpha, "suspect").otherwise("clean"))
 
 
