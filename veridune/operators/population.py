@@ -46,8 +46,9 @@ def islands(df: DataFrame, by: list[str], seed: str) -> DataFrame:
     base = F.col("__s") - F.pmod(F.col("__s"), F.lit(SPAN))
     s = df.where(F.col(seed).isNotNull()).select(*by, F.col(seed).alias("__s")).distinct().withColumn("__b", base)
     w = Window.partitionBy(*by, "__b").orderBy("__s")
-    runs = s.withColumn("__g", F.col("__s") - F.col("__b") - F.row_number().over(w)).groupBy(*by, "__b", "__g")
-    runs = runs.agg(F.min("__s").alias("first"), F.max("__s").alias("last"), F.count(F.lit(1)).alias("n"))
+    s = s.withColumn("__start", F.coalesce(F.col("__s") - F.lag("__s").over(w) != 1, F.lit(True))).withColumn("__end", F.coalesce(F.lead("__s").over(w) - F.col("__s") != 1, F.lit(True)))
+    ends = s.where("__start or __end").withColumn("last", F.when(F.col("__end"), F.col("__s")).otherwise(F.lead("__s").over(w)))  # in the order it has: nothing is hashed
+    runs = ends.where("__start").select(*by, "__b", F.col("__s").alias("first"), "last", (F.col("last") - F.col("__s") + 1).cast("long").alias("n"))
     edge = (F.col("first") - F.col("__b") < 1) | (F.col("last") - F.col("__b") >= SPAN - 1)
     w = Window.partitionBy(*by).orderBy("first")
     follows = F.coalesce(F.lag("last").over(w) == F.try_subtract("first", F.lit(1)), F.lit(False))
